@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -153,22 +152,17 @@ def direction_label(
 
 
 def dot(x: Column | str, weights: Sequence[float], positions: Sequence[int] | None = None) -> Column:
-    """Sum of ``x[positions[i]] * weights[i]`` over an array column, in double."""
+    """Sum of ``x[positions[i]] * weights[i]`` over an array column, in double.
+
+    Positions that are not named do not count, whatever their value. The weights are one
+    constant array, so the expression stays small for any number of factors.
+    """
     x = _col(x)
     positions = range(len(weights)) if positions is None else positions
-    pairs = F.array(
-        *[x[int(p)].cast("double") * F.lit(float(w)) for p, w in zip(positions, weights, strict=True)]
-    )
-    return reduce_sum(pairs, len(weights))
-
-
-def reduce_sum(terms: Column, n: int) -> Column:
-    """Sum of an array column; NULL if any element is NULL, 0 for an empty one."""
-    if n == 0:
+    if not len(weights):
         return F.lit(0.0)
-    return F.aggregate(terms, F.lit(0.0), lambda acc, v: acc + v)
-
-
-def add_all(columns: Sequence[Column]) -> Column:
-    """Sum of columns."""
-    return reduce(lambda a, b: a + b, columns)
+    at = dict(zip((int(p) for p in positions), weights, strict=True))
+    row = F.array(*[F.lit(float(at[i])) if i in at else F.lit(None).cast("double") for i in range(max(at) + 1)])
+    named = F.slice(x, 1, max(at) + 1)
+    terms = F.zip_with(named, row, lambda v, w: F.when(w.isNotNull(), v.cast("double") * w).otherwise(0.0))
+    return F.aggregate(terms, F.lit(0.0), lambda total, v: total + v)

@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions import bare_chrom
 from factorloom.guards import require_columns, require_none, require_rows, require_unique
-from factorloom.operators.ordered import KEY, SEG, by_order, keyed, running
-from factorloom.session import broadcast_if_small
+from factorloom.operators.ordered import by_order, keyed, running
 
 #: log2 of the bin length of each level.
 LEVELS = (9, 12, 15, 18, 21, 24, 27, 30, 33, 40)
@@ -270,17 +269,3 @@ def region_map_coverage(pairs: DataFrame, features: DataFrame, regions: DataFram
         "features": features.count(),
     }
 
-
-__all__ = [
-    "KEY",
-    "LEVELS",
-    "SEG",
-    "assign_points",
-    "broadcast_if_small",
-    "check_disjoint",
-    "interval_counts",
-    "overlap_pairs",
-    "region_map",
-    "region_map_coverage",
-    "restrict_to_reference",
-]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from factorloom.guards import finite, require_columns, require_rows, require_unique
 from factorloom.operators.ordered import quantiles
 from factorloom.operators.sequence import CHUNK, gc_content
-from factorloom.session import broadcast_if_small
+from factorloom.session import broadcast_if_small, materialize
 
 #: Smallest stratum with a defined permutation variance.
 MIN_STRATUM_SIZE = 2
@@ -127,7 +127,8 @@ def gc_width_strata(
     rows = gc_content(regions, chunks, name=region, size=size).withColumn(
         "width", (F.col("end") - F.col("start")).cast("double")
     )
-    return covariate_strata(rows, ["gc", "width"], [gc_bins, width_bins], min_size=min_size)
+    # The content is computed once and read for the edges of both covariates.
+    return covariate_strata(materialize(rows), ["gc", "width"], [gc_bins, width_bins], min_size=min_size)
 
 
 def _one_pass(weights: DataFrame, scores: DataFrame, strata: DataFrame) -> DataFrame:
@@ -183,8 +184,14 @@ def _one_pass_dense(
             total = np.vstack([total, np.zeros((grow, width))]) + w.T @ s
             square = np.vstack([square, np.zeros((grow, width))]) + w.T @ (s * s)
         for name, at in index.items():
-            yield pa.RecordBatch.from_pydict(
-                {"id": [name] * width, "pos": list(range(width)), "ws": total[at], "wss": square[at]}
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([name] * width, pa.string()),
+                    pa.array(range(width), pa.int32()),
+                    pa.array(total[at], pa.float64()),
+                    pa.array(square[at], pa.float64()),
+                ],
+                names=["id", "pos", "ws", "wss"],
             )
 
     joined = vectors.join(per_region, "region").select("s", "ids", "ws")
@@ -226,10 +233,11 @@ def motif_enrichment(
     require_columns(weights, ["factor", "region", "weight"], "weights")
     require_columns(strata, ["region", "stratum"], "strata")
     require_columns(scores, ["region", "s"] if motifs is not None else ["region", "motif", "score"], "scores")
-    strata = strata.select("region", "stratum")
+    strata = materialize(strata.select("region", "stratum"))
     require_unique(strata, ["region"], "a region is in two strata")
     w = weights.select("factor", "region", F.col("weight").cast("double").alias("weight"))
-    w = w.join(strata, "region").select("factor", "region", "stratum", "weight")
+    # Read by the checks, the weight moments and the pass over the scores.
+    w = materialize(w.join(strata, "region").select("factor", "region", "stratum", "weight"))
     bad = w.agg(
         F.count_if(finite("weight").isNull()).alias("odd"), F.count_if(F.col("weight") < 0).alias("below")
     ).first()

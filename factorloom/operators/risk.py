@@ -11,6 +11,7 @@ from factorloom.functions import chrom_sort_key, parse_interval
 from factorloom.guards import number, require_columns, require_none, require_rows, require_unique
 from factorloom.operators.factors import keep_subset, with_factor_column
 from factorloom.operators.ordered import first_k_per_group, quantiles
+from factorloom.session import materialize
 
 
 def peak_risk(
@@ -132,6 +133,7 @@ def risk_track(
 
 def track_ticks(track: DataFrame) -> DataFrame:
     """One tick per chromosome: its offset plus the median start."""
+    track = materialize(track.select("chrom", "start", "x"))
     offsets = track.groupBy("chrom").agg(F.min(F.col("x") - F.col("start")).alias("offset"))
     middle = quantiles(track, "start", {"middle": 0.5}, ["chrom"]).drop("n")
     return offsets.join(middle, "chrom").select("chrom", (F.col("offset") + F.col("middle")).alias("tick"))

@@ -66,7 +66,8 @@ def balanced_sample(
         return ranked.where(F.col("draw") < n)
     # With replacement every category gives `min_count` draws of its numbered rows.
     sizes = rows.groupBy(category).agg(F.count(F.lit(1)).alias("_size"))
-    draws = sizes.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint"))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+    draws = sizes.withColumn("_draw", F.explode(numbers))
     token = F.concat_ws(":", F.col("_draw").cast("string"), F.col(category).cast("string"), F.lit(str(seed)))
     number = F.conv(F.substring(F.md5(token), 1, 12), 16, 10).cast("bigint")
     draws = draws.select(category, "_draw", F.pmod(number, F.col("_size")).alias("draw"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions import p_one_tailed, significant
 from factorloom.guards import finite, require_columns
-from factorloom.operators.ordered import KEY, SEG, keyed, positions, running, unkeyed, value_ranks
+from factorloom.operators.ordered import KEY, keyed, positions, running, unkeyed, value_ranks
 
 Z_COLUMN = "Coefficient_z-score"
 
@@ -133,5 +133,3 @@ def bh_boundary(
     best = F.min(passing) if tail == "upper" else F.max(passing)
     return unkeyed(keyed(df, keys).groupBy(KEY).agg(best.alias(out)), keys, out)
 
-
-__all__ = ["SEG", "Z_COLUMN", "add_fdr", "bh_boundary", "bh_qvalues", "compare_bh", "legacy_bh_qvalues"]

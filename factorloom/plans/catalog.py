@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factorloom.plans import queries_stats
+from factorloom.plans import queries_genome, queries_graph, queries_groups, queries_sources, queries_stats
 from factorloom.plans.registry import ORACLE, QUERIES
 
 flagship = queries_stats.bh_by_family
 
-__all__ = ["ORACLE", "QUERIES", "flagship"]
+__all__ = ["ORACLE", "QUERIES", "flagship", "queries_genome", "queries_graph", "queries_groups", "queries_sources", "queries_stats"]
