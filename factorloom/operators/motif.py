@@ -36,6 +36,8 @@ def soft_threshold(
     require_columns(weights, [factor, weight], "weights")
     if pct <= 0:
         return weights
+    # Read for the cuts and again to apply them.
+    weights = materialize(weights)
     cuts = quantiles(weights.where(F.col(weight) > 0), weight, {"_cut": pct / 100.0}, [factor])
     joined = weights.join(broadcast_if_small(cuts.drop("n")), factor, "left")
     kept = F.when(F.col(weight) < F.col("_cut"), F.lit(0.0)).otherwise(F.col(weight))

@@ -171,7 +171,8 @@ def quantiles(
     One row per group that has a finite value: the keys, a column per entry of
     `probabilities`, and ``n``. Counts per (group, segment) find the few segments that hold
     a wanted position; only their rows are grouped and sorted. Runs one job for the
-    split points and one that writes the wanted segments.
+    split points and one that writes the wanted segments; `df` is read three times, so a costly
+    plan should be materialised before.
     """
     base = keyed(df, keys).select(KEY, finite(value).alias("_v")).where("_v is not null")
     tagged = by_value(base, "_v", split_points(base, "_v", SEARCH_SEGMENTS))
@@ -186,22 +187,12 @@ def quantiles(
         F.sum("_c").over(per_key).alias("_n"),
     )
 
-    def place(p: float) -> Column:
-        return (F.col("_n") - 1) * F.lit(float(p))
-
-    def low(p: float) -> Column:
-        return F.floor(place(p)).cast("bigint")
-
-    def high(p: float) -> Column:
-        return F.ceil(place(p)).cast("bigint")
-
-    def inside(at: Column, start: Column, stop: Column) -> Column:
-        return (at >= start) & (at < stop)
-
-    wanted = F.lit(False)
-    for p in probabilities.values():
-        stop = F.col("_start") + F.col("_c")
-        wanted = wanted | inside(low(p), F.col("_start"), stop) | inside(high(p), F.col("_start"), stop)
+    # 0-based places just below and just above each wanted quantile.
+    at = {n: f"((_n - 1) * {float(p)!r}D)" for n, p in probabilities.items()}
+    low = {n: f"CAST(floor({a}) AS BIGINT)" for n, a in at.items()}
+    high = {n: f"CAST(ceil({a}) AS BIGINT)" for n, a in at.items()}
+    ends = [*low.values(), *high.values()]
+    wanted = " OR ".join(f"({e} >= _start AND {e} < _start + _c)" for e in dict.fromkeys(ends))
     targets = counts.where(wanted).drop("_c")
     # Without keys at most two segments per probability qualify.
     targets = broadcast_if_small(targets) if keys else F.broadcast(targets)
@@ -213,17 +204,15 @@ def quantiles(
     chosen = chosen.withColumn("_hi", F.col("_start") + F.sum("_c").over(order)).withColumn(
         "_lo", F.col("_hi") - F.col("_c")
     )
-    picks = []
-    for name, p in probabilities.items():
-        for side, at in (("lo", low(p)), ("hi", high(p))):
-            hit = inside(at, F.col("_lo"), F.col("_hi"))
-            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{side}_{name}"))
+    picks = [
+        F.expr(f"max(CASE WHEN {e[n]} >= _lo AND {e[n]} < _hi THEN _v END)").alias(f"_{side}_{n}")
+        for side, e in (("lo", low), ("hi", high))
+        for n in probabilities
+    ]
     found = chosen.groupBy(KEY).agg(F.max("_n").alias("_n"), *picks)
-    out = []
-    for name, p in probabilities.items():
-        share = place(p) - F.floor(place(p))
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((lo + (hi - lo) * share).alias(name))
+    out = [
+        F.expr(f"`_lo_{n}` + (`_hi_{n}` - `_lo_{n}`) * ({a} - floor({a}))").alias(n) for n, a in at.items()
+    ]
     return unkeyed(found, keys, *out, F.col("_n").alias("n"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factorloom.guards import require_none
 from factorloom.operators.testing import Z_COLUMN, add_fdr
+from factorloom.session import materialize
 
 #: How a path names its trait and annotation.
 FILE_LAYOUT = r"([^/]+)/([^/]+)\.results$"
@@ -77,7 +78,15 @@ def read_results(
         F.regexp_extract(path, layout, 2).alias("annot"),
         lines.alias("_lines"),
     )
-    files = files.where(F.col("trait").isin(*traits) & F.col("annot").isin(*annots))
+    files = files.where(F.col("trait").isin(*traits) & F.col("annot").isin(*annots)).select(
+        "_path",
+        "trait",
+        "annot",
+        F.split(F.try_element_at("_lines", F.lit(1)), "\t").alias("_header"),
+        F.split(F.try_element_at("_lines", F.lit(row + 2)), "\t").alias("_fields"),
+    )
+    # The files are opened once; the checks and the result read what was parsed.
+    files = materialize(files)
 
     pairs = [(t, a, f, direction if isinstance(direction, str) else direction[a]) for t in traits for a, f in annots.items()]
     expected = spark.createDataFrame(pairs, "trait string, annot string, factor string, direction string")
@@ -89,15 +98,9 @@ def read_results(
             "result files are missing; leaving them out would shrink the number of tests",
             FileNotFoundError,
         )
-    short = files.where(F.size("_lines") <= row + 1)
+    short = files.where("_fields is null")
     require_none(short, "_path", f"row {row} was requested from a shorter file")
-
-    fields = files.select(
-        "trait",
-        "annot",
-        F.split(F.col("_lines")[0], "\t").alias("_header"),
-        F.split(F.col("_lines")[row + 1], "\t").alias("_fields"),
-    )
+    fields = files.select("trait", "annot", "_header", "_fields")
     headers = [r[0] for r in fields.select("_header").distinct().collect()]
     if not headers:
         raise FileNotFoundError(f"no .results files found under {root} for traits {traits}")
