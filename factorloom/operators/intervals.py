@@ -128,12 +128,12 @@ def check_disjoint(
     if not bad:
         return
     later = bad[0]
-    earlier = (
-        rows.where((F.col(chrom) == later[chrom]) & (F.col(end) > later[start]))
-        .where(F.struct(*order) < F.struct(F.lit(later[start]), F.lit(later[end]), F.lit(later[name])))
-        .orderBy(*order)
-        .first()
+    s, e, n = (F.col(c) for c in order)
+    before = (s < later[start]) | (
+        (s == later[start]) & ((e < later[end]) | ((e == later[end]) & (n < later[name])))
     )
+    reaching = (F.col(chrom) == later[chrom]) & (e > later[start])
+    earlier = rows.where(reaching & before).orderBy(*order).first()
     raise ValueError(f"peaks must not overlap: {earlier[name]} and {later[name]}")
 
 
@@ -170,6 +170,8 @@ def assign_points(
         check_disjoint(kept, name="_name", chrom="_c", start="_s", end="_e")
     kept = kept.withColumn("_home", _home(F.col("_e") - F.col("_s")))
     levels = _levels(kept)
+    if not levels:
+        return points.withColumn(name, F.lit(None).cast("string"))
     base = F.col(bp) - 1
     rows = points.withColumn("_pc", bare_chrom(point_chrom))
     # Disjoint intervals: a bin holds no more of them than it has bases, and at each level a
@@ -186,9 +188,7 @@ def assign_points(
         met = inside & (_bin(base, levels[0]) == F.col("_b"))
         return rows.join(binned, met, "left").select(*points.columns, F.col("_name").alias(name))
     at = F.explode(F.array(*[F.struct(F.lit(v).alias("l"), _bin(base, v).alias("b")) for v in levels]))
-    looked_up = rows.select(row, "_pc", bp, at.alias("_pt")) if levels else None
-    if looked_up is None:
-        return points.withColumn(name, F.lit(None).cast("string"))
+    looked_up = rows.select(row, "_pc", bp, at.alias("_pt"))
     met = inside & (F.col("_pt.l") == F.col("_l")) & (F.col("_pt.b") == F.col("_b"))
     hits = looked_up.join(binned, met).select(row, F.col("_name").alias(name))
     return points.join(hits, row, "left")
