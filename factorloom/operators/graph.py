@@ -18,7 +18,7 @@ from factorloom.guards import finite, require_columns, require_none, require_uni
 from factorloom.operators.factors import as_doubles, loadings_long
 from factorloom.operators.ordered import SEG, average_ranks, by_order
 from factorloom.operators.sampling import permutations
-from factorloom.session import broadcast_if_small, materialize
+from factorloom.session import BROADCAST_ROWS, broadcast_if_small, materialize
 
 PERM_CONTROL = "_perm_control"
 COVARIATE = "_covariate"
@@ -192,7 +192,7 @@ def moran_within_groups(nodes: DataFrame, edges: DataFrame, names: Sequence[str]
         vector_to_array(Summarizer.mean(array_to_vector(as_doubles(x)))).alias("_gm")
     )
     rows = nodes.select("id", F.col(group).alias("_g"), as_doubles(x).alias("_x"))
-    rows = rows.join(broadcast_if_small(means), "_g").join(linked, "id", "left")
+    rows = rows.join(broadcast_if_small(means, BROADCAST_ROWS // max(len(names), 1)), "_g").join(linked, "id", "left")
     inside = F.zip_with("_x", "_gm", lambda p, q: p - q)
     centred = F.when(F.col("_has"), inside).otherwise(F.transform("_x", lambda p: F.lit(0.0)))
     rows = rows.select("id", centred.alias("_c"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ from factorloom.operators.ordered import quantiles
 from factorloom.operators.sequence import CHUNK, gc_content
 from factorloom.session import broadcast_if_small, materialize
 
+#: Motifs per piece of a partial product.
+BLOCK = 256
+
 #: Smallest stratum with a defined permutation variance.
 MIN_STRATUM_SIZE = 2
 DEFAULT_THRESHOLD_PCT = 50.0
@@ -154,8 +159,9 @@ def _one_pass_dense(
 ) -> DataFrame:
     """The same sums for scores stored as one array per region, by block products.
 
-    Each task multiplies blocks of rows and adds into one (ids x motifs) matrix, which it
-    emits once; the partial matrices are summed by a shuffle on (kind, id, motif).
+    Each task multiplies batches of rows into one (ids x motifs) matrix and emits it once,
+    in pieces of `BLOCK` motifs, so what is shuffled depends on tasks and not on rows. The
+    pieces are summed as vectors per (id, piece).
     """
     tagged = weights.select("region", F.concat(F.lit("f"), F.col("factor")).alias("id"), "weight")
     members = strata.select(
@@ -164,51 +170,53 @@ def _one_pass_dense(
     per_region = tagged.unionByName(members).groupBy("region").agg(
         F.collect_list("id").alias("ids"), F.collect_list("weight").alias("ws")
     )
-    width = len(motifs)
+    width, block = len(motifs), BLOCK
 
-    def blocks(batches):
+    def products(batches):
         import numpy as np
         import pyarrow as pa
 
         index: dict[str, int] = {}
-        total = np.zeros((0, width))
-        square = np.zeros((0, width))
+        sums = np.zeros((0, 2, width))
         for batch in batches:
-            s = np.stack([np.asarray(v, dtype=np.float64) for v in batch.column("s").to_pylist()])
-            ids, ws = batch.column("ids").to_pylist(), batch.column("ws").to_pylist()
-            for row in ids:
-                for name in row:
-                    index.setdefault(name, len(index))
-            w = np.zeros((len(ids), len(index)))
-            for i, (row, values) in enumerate(zip(ids, ws, strict=True)):
-                w[i, [index[name] for name in row]] = values
-            grow = len(index) - len(total)
-            total = np.vstack([total, np.zeros((grow, width))]) + w.T @ s
-            square = np.vstack([square, np.zeros((grow, width))]) + w.T @ (s * s)
+            s = batch.column("s").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            s = s.reshape(batch.num_rows, width)
+            ids = batch.column("ids").flatten().to_pylist()
+            for name in ids:
+                index.setdefault(name, len(index))
+            row = np.repeat(np.arange(batch.num_rows), batch.column("ids").value_lengths().to_numpy())
+            w = np.zeros((batch.num_rows, len(index)))
+            w[row, [index[name] for name in ids]] = batch.column("ws").flatten().to_numpy(zero_copy_only=False)
+            sums = np.concatenate([sums, np.zeros((len(index) - len(sums), 2, width))])
+            sums[:, 0] += w.T @ s
+            sums[:, 1] += w.T @ (s * s)
         for name, at in index.items():
+            first = list(range(0, width, block))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([name] * width, pa.string()),
-                    pa.array(range(width), pa.int32()),
-                    pa.array(total[at], pa.float64()),
-                    pa.array(square[at], pa.float64()),
+                    pa.array([name] * len(first), pa.string()),
+                    pa.array(first, pa.int32()),
+                    pa.array([sums[at, 0, i : i + block] for i in first], pa.list_(pa.float64())),
+                    pa.array([sums[at, 1, i : i + block] for i in first], pa.list_(pa.float64())),
                 ],
-                names=["id", "pos", "ws", "wss"],
+                names=["id", "first", "ws", "wss"],
             )
 
     joined = vectors.join(per_region, "region").select("s", "ids", "ws")
-    partial = joined.mapInArrow(blocks, "id string, pos int, ws double, wss double")
+    partial = joined.mapInArrow(products, "id string, first int, ws array<double>, wss array<double>")
+
+    def total(column: str):
+        return vector_to_array(Summarizer.sum(array_to_vector(column))).alias(column)
+
+    pieces = partial.groupBy("id", "first").agg(total("ws"), total("wss"))
     names = F.array(*[F.lit(str(m)) for m in motifs])
-    return (
-        partial.groupBy("id", "pos")
-        .agg(F.sum("ws").alias("ws"), F.sum("wss").alias("wss"))
-        .select(
-            F.substring("id", 1, 1).alias("kind"),
-            F.expr("substring(id, 2)").alias("id"),
-            names[F.col("pos")].alias("motif"),
-            "ws",
-            "wss",
-        )
+    rows = pieces.select("id", "first", F.posexplode(F.arrays_zip("ws", "wss")).alias("at", "v"))
+    return rows.select(
+        F.substring("id", 1, 1).alias("kind"),
+        F.expr("substring(id, 2)").alias("id"),
+        names[F.col("first") + F.col("at")].alias("motif"),
+        F.col("v.ws").alias("ws"),
+        F.col("v.wss").alias("wss"),
     )
 
 

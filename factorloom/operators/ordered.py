@@ -30,11 +30,14 @@ SEG = "_seg"
 KEY = "_k"
 
 #: Most split points fetched to the driver.
-MAX_SEGMENTS = 2_000
+MAX_SEGMENTS = 20_000
 
-#: Segments of a quantile search; rows of about 2 / 256 of them are sorted per quantile.
+#: Segments per round of a quantile search; each round keeps about 2 of them per quantile.
 SEARCH_SEGMENTS = 256
 
+#: Rows a quantile search may leave for one task to sort.
+SORT_ROWS = 10_000_000
+
 
 def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """`df` with the group key as one struct column, so NULL keys group and join as values."""
@@ -48,14 +51,18 @@ def unkeyed(df: DataFrame, keys: Sequence[str], *columns: str | Column) -> DataF
 
 def split_points(df: DataFrame, value: str, segments: int | None = None) -> list[float]:
     """At most `segments` - 1 increasing cut values of a numeric column (runs one job)."""
-    segments = min(segments or shuffle_partitions(df.sparkSession), MAX_SEGMENTS)
-    if segments < 2:
-        return []
+    return _cuts_and_rows(df, value, segments)[0]
+
+
+def _cuts_and_rows(df: DataFrame, value: str, segments: int | None) -> tuple[list[float], int]:
+    """Cut values and the number of rows, from the same job."""
+    segments = min(max(segments or shuffle_partitions(df.sparkSession), 2), MAX_SEGMENTS)
     probabilities = [i / segments for i in range(1, segments)]
-    cuts = df.agg(
-        F.percentile_approx(value, F.lit(probabilities), F.lit(8 * segments)).alias("cuts")
-    ).first()["cuts"]
-    return sorted(set(float(c) for c in cuts or []))
+    row = df.agg(
+        F.percentile_approx(value, F.lit(probabilities), F.lit(8 * segments)).alias("cuts"),
+        F.count(value).alias("n"),
+    ).first()
+    return sorted(set(float(c) for c in row["cuts"] or [])), row["n"]
 
 
 def by_value(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
@@ -170,37 +177,43 @@ def quantiles(
 
     One row per group that has a finite value: the keys, a column per entry of
     `probabilities`, and ``n``. Counts per (group, segment) find the few segments that hold
-    a wanted position; only their rows are grouped and sorted. Runs one job for the
-    split points and one that writes the wanted segments; `df` is read three times, so a costly
-    plan should be materialised before.
+    a wanted position; only their rows are grouped and sorted. A table too large for one
+    round is narrowed again, cutting the rows that are left, until a segment fits a task.
+    Each round runs one job for the cut values and, with keys, one that writes the wanted
+    segments. `df` is read three times, so a costly plan should be materialised before.
     """
-    base = keyed(df, keys).select(KEY, finite(value).alias("_v")).where("_v is not null")
-    tagged = by_value(base, "_v", split_points(base, "_v", SEARCH_SEGMENTS))
-
-    per_key = Window.partitionBy(KEY)
-    counts = tagged.groupBy(KEY, SEG).agg(F.count(F.lit(1)).alias("_c"))
-    counts = counts.select(
-        KEY,
-        SEG,
-        "_c",
-        (F.sum("_c").over(per_key.orderBy(SEG)) - F.col("_c")).alias("_start"),
-        F.sum("_c").over(per_key).alias("_n"),
-    )
-
     # 0-based places just below and just above each wanted quantile.
     at = {n: f"((_n - 1) * {float(p)!r}D)" for n, p in probabilities.items()}
     low = {n: f"CAST(floor({a}) AS BIGINT)" for n, a in at.items()}
     high = {n: f"CAST(ceil({a}) AS BIGINT)" for n, a in at.items()}
-    ends = [*low.values(), *high.values()]
-    wanted = " OR ".join(f"({e} >= _start AND {e} < _start + _c)" for e in dict.fromkeys(ends))
-    targets = counts.where(wanted).drop("_c")
-    # Without keys at most two segments per probability qualify.
-    targets = broadcast_if_small(targets) if keys else F.broadcast(targets)
-
-    chosen = tagged.join(targets, [KEY, SEG]).groupBy(KEY, SEG, "_start", "_n", "_v").agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    order = Window.partitionBy(KEY, SEG).orderBy("_v")
+    ends = dict.fromkeys([*low.values(), *high.values()])
+    wanted = " OR ".join(f"({e} >= _start AND {e} < _start + _c)" for e in ends)
+
+    pool = keyed(df, keys).select(KEY, finite(value).alias("_v")).where("_v is not null")
+    cuts, rows = _cuts_and_rows(pool, "_v", SEARCH_SEGMENTS)
+    # A block is a run of a group's sorted rows that starts at place "_base".
+    pool = pool.withColumn("_base", F.lit(0).cast("bigint"))
+    block, known = [KEY, "_base", SEG], []
+    while True:
+        tagged = by_value(pool, "_v", cuts)
+        counts = tagged.groupBy(*block, *known).agg(F.count(F.lit(1)).alias("_c"))
+        upto = F.sum("_c").over(Window.partitionBy(KEY, "_base").orderBy(SEG))
+        total = F.col("_n") if known else F.sum("_c").over(Window.partitionBy(KEY))
+        counts = counts.select(
+            *block, "_c", (F.col("_base") + upto - F.col("_c")).alias("_start"), total.alias("_n")
+        )
+        targets = counts.where(wanted).drop("_c")
+        # Without keys at most two segments per probability qualify.
+        targets = broadcast_if_small(targets) if keys else F.broadcast(targets)
+        pool = tagged.drop(*known).join(targets, block)
+        rows = rows * 2 // SEARCH_SEGMENTS
+        if rows <= SORT_ROWS:
+            break
+        pool = materialize(pool.select(KEY, "_v", F.col("_start").alias("_base"), "_n"))
+        cuts, known = split_points(pool, "_v", SEARCH_SEGMENTS), ["_n"]
+
+    chosen = pool.groupBy(*block, "_start", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy(*block).orderBy("_v")
     chosen = chosen.withColumn("_hi", F.col("_start") + F.sum("_c").over(order)).withColumn(
         "_lo", F.col("_hi") - F.col("_c")
     )

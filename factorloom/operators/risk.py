@@ -11,7 +11,7 @@ from factorloom.functions import chrom_sort_key, parse_interval
 from factorloom.guards import number, require_columns, require_none, require_rows, require_unique
 from factorloom.operators.factors import keep_subset, with_factor_column
 from factorloom.operators.ordered import first_k_per_group, quantiles
-from factorloom.session import materialize
+from factorloom.session import broadcast_if_small, materialize
 
 
 def peak_risk(
@@ -118,9 +118,9 @@ def risk_track(
     else:
         require_rows(risk, "no rows to plot")
         rows = best_per_peak(risk, value)
+    rows = materialize(rows)
     offsets = chromosome_offsets(rows, "end" if "end" in rows.columns else "start")
-    # One row per chromosome or contig name; adaptive execution broadcasts it if small.
-    return rows.join(offsets, "chrom").select(
+    return rows.join(broadcast_if_small(offsets), "chrom").select(
         "peak",
         "chrom",
         "start",

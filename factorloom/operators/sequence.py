@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.guards import require_columns, require_unique
+from factorloom.session import broadcast_if_small
 
 #: Characters per stored chunk.
 CHUNK = 4096
@@ -42,6 +43,7 @@ def gc_content(
     require_columns(chunks, ["chrom", "chunk_ix", "seq"], "sequence chunks")
     require_unique(intervals, [name], "interval names repeat")
     contigs = chunks.groupBy(F.col("chrom").alias("_contig")).agg(F.max("chunk_ix").alias("_last"))
+    contigs = broadcast_if_small(contigs)
     rows = intervals.select(name, "chrom", F.col("start").alias("_s"), F.col("end").alias("_e"))
     rows = rows.where(F.col("_e") > F.greatest(F.col("_s"), F.lit(0)))
     named = rows.join(contigs, F.col("chrom") == F.col("_contig"), "left")

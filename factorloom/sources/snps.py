@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factorloom.guards import require_columns, require_rows
 from factorloom.operators.intervals import assign_points
+from factorloom.session import broadcast_if_small
 
 # Fixed value: columns of the six-column variant table, in file order.
 SNP_COLUMNS = ("chrom", "snp", "cm", "bp", "a1", "a2")
@@ -29,7 +30,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     earlier = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(*order, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     # One row per input split.
-    return lines.join(F.broadcast(starts), order).select(
+    return lines.join(broadcast_if_small(starts), order).select(
         (F.col("_start") + F.col("_id") - F.col("_first")).alias("row_ix"), "value"
     )
 
@@ -71,8 +72,9 @@ def thin_annotation(
     per_peak = loadings.groupBy(peak).agg(
         F.map_from_entries(F.collect_list(F.struct(annot, F.col(loading).cast("double")))).alias("_m")
     )
-    placed = assign_points(points, intervals, row=row, name=peak, **columns).select(row, chrom, peak)
-    found = placed.join(per_peak, peak, "left")
+    # The loadings ride on the intervals, so points without one meet no second join.
+    loaded = intervals.join(per_peak, peak, "left")
+    found = assign_points(points, loaded, row=row, name=peak, carry=["_m"], **columns)
     values = F.array(
         *[
             F.struct(

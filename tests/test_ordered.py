@@ -51,6 +51,17 @@ def test_quantiles_without_keys_and_of_one_value(spark, skewed):
     assert o.quantiles(none, "v", {"m": 0.3}).count() == 0
 
 
+def test_quantile_search_narrows_in_rounds(monkeypatch, skewed):
+    data, df = skewed
+    monkeypatch.setattr(o, "SEARCH_SEGMENTS", 4)
+    monkeypatch.setattr(o, "SORT_ROWS", 200)
+    got = {r["k"]: r for r in o.quantiles(df, "v", {"a": 0.1, "m": 0.5, "z": 0.99}, ["k"]).collect()}
+    for k, items in by_key(data).items():
+        v = np.array([x for _, x in items if not np.isnan(x)])
+        assert [got[k][c] for c in "amz"] == pytest.approx(list(np.percentile(v, [10, 50, 99])))
+        assert got[k]["n"] == v.size
+
+
 def test_average_ranks_share_ties(skewed):
     data, df = skewed
     got = {r["id"]: r["rk"] for r in o.average_ranks(df, "v", "rk", ["k"]).collect()}
