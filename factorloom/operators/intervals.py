@@ -21,6 +21,9 @@ from factorloom.operators.ordered import by_order, keyed, running
 #: log2 of the bin length of each level.
 LEVELS = (9, 12, 15, 18, 21, 24, 27, 30, 33, 40)
 
+#: Home levels of disjoint intervals up to this many bits apart share the coarsest one.
+NEAR_LEVELS = 6
+
 
 def _home(length: Column) -> Column:
     level = F.lit(LEVELS[-1])
@@ -177,6 +180,11 @@ def assign_points(
         kinds = dict(kept.dtypes)
         gone = [F.lit(None).cast(kinds[c]).alias(c) for c in carry]
         return points.select("*", F.lit(None).cast(kinds["_name"]).alias(name), *gone)
+    if levels[-1] - levels[0] <= NEAR_LEVELS:
+        # Disjoint intervals of similar length: few share a bin of the coarsest level, so a
+        # point needs one look-up and its row is shuffled once.
+        levels = levels[-1:]
+        kept = kept.withColumn("_home", F.lit(levels[0]))
     base = F.col(bp) - 1
     rows = points.withColumn("_pc", bare_chrom(point_chrom))
     # Disjoint intervals: a bin holds no more of them than it has bases, and at each level a

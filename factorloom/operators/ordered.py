@@ -73,7 +73,8 @@ def by_value(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
     tagged = Bucketizer(
         splits=edges, inputCol=value, outputCol=SEG, handleInvalid="keep"
     ).transform(df)
-    return tagged.withColumn(SEG, F.col(SEG).cast("int"))
+    # Never NULL here; saying so keeps a NULL check of later joins out of the scans below.
+    return tagged.withColumn(SEG, F.coalesce(F.col(SEG).cast("int"), F.lit(0)))
 
 
 def by_order(df: DataFrame, order: Sequence[str | Column], segments: int | None = None) -> DataFrame:

@@ -44,31 +44,43 @@ def gc_content(
     require_unique(intervals, [name], "interval names repeat")
     contigs = chunks.groupBy(F.col("chrom").alias("_contig")).agg(F.max("chunk_ix").alias("_last"))
     contigs = broadcast_if_small(contigs)
-    rows = intervals.select(name, "chrom", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    rows = rows.where(F.col("_e") > F.greatest(F.col("_s"), F.lit(0)))
-    named = rows.join(contigs, F.col("chrom") == F.col("_contig"), "left")
-    bare = (
-        named.where("_contig is null")
-        .drop("_contig", "_last")
-        .join(contigs, F.replace("chrom", F.lit("chr"), F.lit("")) == F.col("_contig"))
+    others = [c for c in intervals.columns if c != name]
+    rows = intervals.select(
+        name,
+        F.struct(*others).alias("_row"),
+        F.greatest(F.col("start"), F.lit(0)).cast("bigint").alias("_s"),
+        F.col("end").cast("bigint").alias("_e"),
+        F.col("chrom").alias("_c"),
+        F.replace("chrom", F.lit("chr"), F.lit("")).alias("_bare"),
     )
-    found = named.where("_contig is not null").unionByName(bare)
-    first = F.greatest(F.col("_s"), F.lit(0))
-    ids = F.sequence(
-        F.floor(first / size).cast("int"),
-        F.least(F.floor((F.col("_e") - 1) / size).cast("int"), F.col("_last")),
+    plain = contigs.withColumnsRenamed({"_contig": "_c1", "_last": "_l1"})
+    bare = contigs.withColumnsRenamed({"_contig": "_c2", "_last": "_l2"})
+    rows = rows.join(plain, F.col("_c") == F.col("_c1"), "left").join(bare, F.col("_bare") == F.col("_c2"), "left")
+    rows = rows.select(
+        name,
+        "_row",
+        "_s",
+        "_e",
+        F.coalesce("_c1", "_c2").alias("_contig"),
+        F.when(F.col("_c1").isNotNull(), F.col("_l1")).otherwise(F.col("_l2")).alias("_last"),
     )
-    starts_inside = F.floor(first / size) <= F.col("_last")
-    pieces = found.where(starts_inside).select(name, "_contig", first.alias("_s"), "_e", F.explode(ids).alias("_ix"))
+    first = F.floor(F.col("_s") / size).cast("int")
+    last = F.least(F.floor((F.col("_e") - 1) / size).cast("int"), F.col("_last"))
+    ids = F.when((F.col("_e") > F.col("_s")) & (first <= F.col("_last")), F.sequence(first, last))
+    # An interval without a chunk keeps one row, so that it comes out with NULL.
+    pieces = rows.select(name, "_row", "_contig", "_s", "_e", F.explode_outer(ids).alias("_ix"))
     origin = F.col("_ix").cast("bigint") * size
     at = F.greatest(F.col("_s") - origin, F.lit(0))
     until = F.least(F.col("_e") - origin, F.lit(size))
     met = (F.col("_contig") == F.col("chrom")) & (F.col("_ix") == F.col("chunk_ix"))
-    cut = pieces.join(chunks, met).select(
-        name, F.substring("seq", (at + 1).cast("int"), (until - at).cast("int")).alias("_q")
+    cut = pieces.join(chunks, met, "left").select(
+        name, "_row", F.substring("seq", (at + 1).cast("int"), (until - at).cast("int")).alias("_q")
     )
     letters = F.length("_q") - F.length(F.translate("_q", "ACGTacgt", ""))
     gc = F.length("_q") - F.length(F.translate("_q", "GCgc", ""))
-    counts = cut.groupBy(name).agg(F.sum(gc).alias("_gc"), F.sum(letters).alias("_acgt"))
+    counts = cut.groupBy(name).agg(
+        F.any_value("_row").alias("_row"), F.sum(gc).alias("_gc"), F.sum(letters).alias("_acgt")
+    )
     share = F.bround(F.try_divide(F.col("_gc").cast("double"), F.col("_acgt").cast("double")), digits)
-    return intervals.join(counts, name, "left").withColumn(out, share).drop("_gc", "_acgt")
+    fields = [name if c == name else F.col(f"_row.`{c}`").alias(c) for c in intervals.columns]
+    return counts.select(*fields, share.alias(out))
