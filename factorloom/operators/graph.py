@@ -335,7 +335,6 @@ def graph_specificity(
     full = materialize(full)
 
     # One long array per node: centred | participation null | residuals | permutations.
-    seeds = [seed + 2, *moran_seeds]
     wide = full.join(_permuted(full, "_c", [seed + 2], perms).withColumnRenamed("_perms", "_null"), "id")
     parts, rest = ["_c", "_null"], [-v for v in means] * 2
     if covariate:
@@ -347,7 +346,6 @@ def graph_specificity(
         rest += [0.0] * (m * n_perm)
     wide = materialize(wide.select("id", F.concat(*parts).alias("_v"), *dict.fromkeys(annotate)))
     first_perm = (3 if covariate else 2) * m
-    del seeds
 
     out = None
     for k in ks if ks is not None else [None]:

@@ -8,6 +8,7 @@ from factorloom.functions import interval_name, is_primary_interval, parse_inter
 from factorloom.operators import intervals, motif, risk, sequence
 from factorloom.plans import inputs as i
 from factorloom.plans.registry import query, rounded, table
+from factorloom.sources.scores import score_motifs
 from factorloom.sources.snps import thin_annotation
 
 
@@ -319,11 +320,13 @@ def motif_enrichment(spark, d):
 def motif_enrichment_dense(spark, d):
     weights = motif.soft_threshold(i.motif_weights(spark, d))
     scores = i.motif_scores(spark, d)
-    names = [str(r[0]) for r in table(spark, d, "supplier").select("s_suppkey").orderBy("s_suppkey").collect()]
-    entries = F.map_from_entries(F.collect_list(F.struct(F.col("motif").cast("string"), "score")))
-    per_region = scores.groupBy("region").agg(entries.alias("m"))
-    values = F.transform(
-        F.array(*[F.lit(n) for n in names]), lambda n: F.coalesce(F.try_element_at("m", n), F.lit(0.0)).cast("float")
-    )
-    vectors = per_region.select("region", values.alias("s"))
+    places = score_motifs(scores)
+    names = [str(r["motif"]) for r in places.orderBy("pos").collect()]
+    entries = F.sort_array(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), F.col("score").cast("float").alias("v"))))
+    per_region = scores.join(F.broadcast(places), "motif").groupBy("region").agg(entries.alias("e"))
+    zeros = "array_repeat(CAST(0 AS FLOAT), {})"
+    gap = zeros.format("v.pos - (CASE WHEN i = 0 THEN -1 ELSE e[i - 1].pos END) - 1")
+    tail = zeros.format(f"{len(names) - 1} - element_at(e, -1).pos")
+    dense = F.expr(f"concat(flatten(transform(e, (v, i) -> concat({gap}, array(v.v)))), {tail})")
+    vectors = per_region.select("region", dense.alias("s"))
     return _nes_digits(motif.motif_enrichment(weights, vectors, _strata(spark, d), motifs=names))

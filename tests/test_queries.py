@@ -42,6 +42,9 @@ def test_query(spark, tables, name):
     df = QUERIES[name](spark, str(DATA))
     got = plain([tuple(r) for r in df.collect()], df.columns)
     assert got
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for slow in ("CartesianProduct", "NestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+        assert slow not in plan
     if name not in ORACLE:
         return
     found = tables.execute(ORACLE[name])
