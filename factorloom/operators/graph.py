@@ -18,6 +18,7 @@ from factorloom.guards import finite, require_columns, require_none, require_uni
 from factorloom.operators.factors import as_doubles, loadings_long
 from factorloom.operators.ordered import SEG, average_ranks, by_order
 from factorloom.operators.sampling import permutations
+from factorloom.operators.scores import pearson
 from factorloom.session import BROADCAST_ROWS, broadcast_if_small, materialize
 
 PERM_CONTROL = "_perm_control"
@@ -213,8 +214,7 @@ def covariate_spearman(nodes: DataFrame, names: Sequence[str], covariate: str, *
     ranked = average_ranks(nodes.select("id", covariate, x), covariate, "_ry")
     long = loadings_long(ranked, x, names, ["_ry"])
     long = average_ranks(long, "value", "_rx", ["pos"])
-    r = F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))
-    return long.groupBy("factor", "pos").agg(r.alias("covariate_spearman"))
+    return long.groupBy("factor", "pos").agg(pearson("_rx", "_ry").alias("covariate_spearman"))
 
 
 def _residual_fit(nodes: DataFrame, covariate: str, x: str) -> list[tuple[float, float]]:

@@ -100,15 +100,14 @@ def concordance_summary(table: DataFrame) -> DataFrame:
 
     A delta that is constant up to rounding gets five bins around its mean.
     """
-    moments = table.agg(
+    middle = quantiles(table, "delta", {"m": 0.5}).first()
+    row = table.agg(
         F.count("delta").alias("n"),
         F.avg("delta").alias("centre"),
         F.min("delta").alias("low"),
         F.max("delta").alias("high"),
-    ).withColumn("_one", F.lit(1))
-    middle = quantiles(table, "delta", {"median_shift": 0.5}).drop("n").withColumn("_one", F.lit(1))
-    # Both sides are single rows.
-    row = moments.join(F.broadcast(middle), "_one")
+        F.lit(middle["m"] if middle else None).cast("double").alias("median_shift"),
+    )
     spread = F.col("high") - F.col("low")
     varied = spread > F.greatest(F.abs("centre"), F.lit(1.0)) * 1e-9
     pad = F.greatest(F.abs("centre") * 0.05, F.lit(0.05))
