@@ -144,7 +144,50 @@ def graph_specificity(spark, d):
     return _round_specificity(g.graph_specificity(nodes, edges, names, n_perm=9))
 
 
-@query("graph_specificity_full")
+_FULL = (
+    "WITH " + NB.replace("xs AS (", "xb AS (")
+    + """, ks AS (SELECT unnest([5, 10]) AS k), nk AS (SELECT k, src, dst, ls, ld FROM nb JOIN ks ON rank < k),
+pid AS (SELECT vec_id AS id, label, CAST(vec_id % 17 AS DOUBLE) AS cov, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings),
+ph AS (SELECT seed, vec_id AS other, row_number() OVER (PARTITION BY seed ORDER BY md5(vec_id || ':' || seed), vec_id) AS r
+  FROM embeddings, (SELECT unnest([1, 2, 10, 11, 12, 13, 14, 15, 16, 17, 18]) AS seed)),
+perm AS (SELECT seed, id, other FROM pid JOIN ph ON ph.r = pid.r),
+width AS (SELECT CAST(max(pos) + 1 AS INTEGER) AS m FROM emb),
+xs AS (SELECT id, label, pos, factor, x, cov FROM xb
+  UNION ALL SELECT pid.id, pid.label, m, '_perm_control', xb.x, pid.cov FROM pid JOIN perm ON perm.id = pid.id AND seed = 1 JOIN xb ON xb.id = perm.other AND xb.pos = 0, width
+  UNION ALL SELECT id, label, m + 1, '_covariate', cov, cov FROM pid, width),
+mu AS (SELECT pos, avg(x) AS m FROM xs GROUP BY pos),
+c AS (SELECT id, label, xs.pos, factor, x, cov, x - m AS c, m FROM xs JOIN mu ON mu.pos = xs.pos),
+w AS (SELECT k, nk.src AS id, c.pos, avg(c.c) AS w FROM nk JOIN c ON c.id = nk.dst GROUP BY 1, 2, 3),
+cw AS (SELECT ks.k, c.*, coalesce(w.w, 0) AS w, greatest(coalesce(w.w, -c.m), 0) AS e FROM c JOIN ks ON true LEFT JOIN w ON w.k = ks.k AND w.id = c.id AND w.pos = c.pos),
+mi AS (SELECT k, factor, pos, sum(c * w) / nullif(sum(c * c), 0) AS i, sum(c * c) AS vv, sum(e) * sum(e) / nullif(count(*) * sum(e * e), 0) AS pr FROM cw GROUP BY 1, 2, 3),
+cp AS (SELECT perm.seed, perm.id, c.pos, c.c, c.m FROM perm JOIN c ON c.id = perm.other WHERE seed >= 2),
+wp AS (SELECT k, seed, nk.src AS id, pos, avg(cp.c) AS w FROM nk JOIN cp ON cp.id = nk.dst GROUP BY 1, 2, 3, 4),
+ip AS (SELECT ks.k, cp.seed, cp.pos, sum(cp.c * coalesce(w, 0)) AS vw, sum(greatest(coalesce(w, -m), 0)) AS e1, sum(pow(greatest(coalesce(w, -m), 0), 2)) AS e2, count(*) AS n
+  FROM cp JOIN ks ON true LEFT JOIN wp ON wp.k = ks.k AND wp.seed = cp.seed AND wp.id = cp.id AND wp.pos = cp.pos GROUP BY 1, 2, 3),
+pv AS (SELECT ip.k, ip.pos, (1 + count(*) FILTER (WHERE vw / vv >= i)) / 10.0::DOUBLE AS moran_p FROM ip JOIN mi ON mi.k = ip.k AND mi.pos = ip.pos WHERE seed > 2 GROUP BY 1, 2),
+pn AS (SELECT k, pos, e1 * e1 / (n * e2) AS pr_null FROM ip WHERE seed = 2),
+same AS (SELECT k, src, dst FROM nk WHERE ls = ld), has AS (SELECT DISTINCT k, src AS id FROM same),
+gm AS (SELECT label, pos, avg(x) AS gm FROM xs GROUP BY label, pos),
+cg AS (SELECT ks.k, xs.id, xs.pos, x, CASE WHEN has.id IS NOT NULL THEN x - gm ELSE 0 END AS c FROM xs JOIN ks ON true JOIN gm ON gm.label = xs.label AND gm.pos = xs.pos LEFT JOIN has ON has.k = ks.k AND has.id = xs.id),
+wg AS (SELECT same.k, same.src AS id, pos, avg(c) AS w FROM same JOIN cg ON cg.k = same.k AND cg.id = same.dst GROUP BY 1, 2, 3),
+wi AS (SELECT cg.k, cg.pos, CASE WHEN sum(c * c) > 1e-12 * sum(x * x) THEN sum(c * coalesce(w, 0)) / sum(c * c) END AS iw FROM cg LEFT JOIN wg ON wg.k = cg.k AND wg.id = cg.id AND wg.pos = cg.pos GROUP BY 1, 2),
+fit AS (SELECT pos, regr_slope(x, cov) AS b, regr_intercept(x, cov) AS a FROM xs GROUP BY pos),
+rs AS (SELECT c.id, c.pos, c.c, x - a - b * cov AS r FROM c JOIN fit ON fit.pos = c.pos),
+wr AS (SELECT k, nk.src AS id, pos, avg(r) AS w FROM nk JOIN rs ON rs.id = nk.dst GROUP BY 1, 2, 3),
+re AS (SELECT ks.k, rs.pos, CASE WHEN sum(r * r) > 1e-12 * sum(c * c) THEN sum(r * coalesce(w, 0)) / sum(r * r) END AS ir FROM rs JOIN ks ON true LEFT JOIN wr ON wr.k = ks.k AND wr.id = rs.id AND wr.pos = rs.pos GROUP BY 1, 2),
+rk AS (SELECT pos, rank() OVER (PARTITION BY pos ORDER BY x) + (count(*) OVER (PARTITION BY pos, x) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY pos ORDER BY cov) + (count(*) OVER (PARTITION BY pos, cov) - 1) / 2.0 AS ry FROM xs),
+sp AS (SELECT pos, corr(rx, ry) AS rho FROM rk GROUP BY pos),
+sh AS (SELECT k, pos, label, sum(e) / sum(sum(e)) OVER (PARTITION BY k, pos) AS share FROM cw GROUP BY k, pos, label),
+tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, pos ORDER BY share DESC, label) AS n FROM sh) WHERE n = 1)
+SELECT mi.factor, mi.pos, mi.k, round(i, 7) AS moran_i, moran_p, round(pr, 7) AS pr, round(pr_null, 7) AS pr_null, round(1 - pr / pr_null, 6) AS specificity,
+  round(iw, 7) AS moran_i_within_group, round(ir, 7) AS moran_i_resid, round(rho, 7) AS covariate_spearman, tp.label AS top_label, round(share, 7) AS top_label_share
+FROM mi JOIN pv ON pv.k = mi.k AND pv.pos = mi.pos JOIN pn ON pn.k = mi.k AND pn.pos = mi.pos JOIN wi ON wi.k = mi.k AND wi.pos = mi.pos
+JOIN re ON re.k = mi.k AND re.pos = mi.pos JOIN sp ON sp.pos = mi.pos JOIN tp ON tp.k = mi.k AND tp.pos = mi.pos"""
+)
+
+
+@query("graph_specificity_full", _FULL)
 def graph_specificity_full(spark, d):
     """All column groups, both reference rows, two prefix lengths."""
     nodes, names, nb = graph(spark, d)
