@@ -347,6 +347,9 @@ def graph_specificity(
     wide = materialize(wide.select("id", F.concat(*parts).alias("_v"), *dict.fromkeys(annotate)))
     first_perm = (3 if covariate else 2) * m
 
+    spearman = covariate_spearman(full, labels, covariate).drop("factor") if covariate else None
+    spearman = materialize(spearman) if covariate else None
+
     out = None
     for k in ks if ks is not None else [None]:
         linked = materialize(neighbour_edges(edges, k=k) if ks is not None else edges.select("src", "dst"))
@@ -402,7 +405,6 @@ def graph_specificity(
             )
             resid = resid.join(F.broadcast(base.select("pos", F.col("_vv").alias("ref"))), "pos")
             table = table.join(F.broadcast(resid.select("pos", _resid_i().alias("moran_i_resid"))), "pos")
-            spearman = covariate_spearman(full, labels, covariate).drop("factor")
             table = table.join(F.broadcast(spearman), "pos")
             order += ["moran_i_resid", "covariate_spearman"]
         for a in dict.fromkeys(annotate):

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 
 from factorloom.guards import require_columns
@@ -24,12 +24,11 @@ def factor_correlation(df: DataFrame, x: str, names: Sequence[str]) -> DataFrame
     if len(df.limit(2).select(x).collect()) < 2:
         raise ValueError("need at least 2 rows to correlate")
     vectors = df.select(array_to_vector(as_doubles(x)).alias("v"))
+    spread = vectors.select(Summarizer.variance(vectors.v)).first()[0].toArray()
     r = Correlation.corr(vectors, "v", "pearson").first()[0].toArray()
-    # The diagonal is set to 1 even for a constant factor; its other entries tell.
-    constant = np.isnan(np.where(np.eye(len(r), dtype=bool), np.nan, r)).all(axis=1) & (len(r) > 1)
     rows = []
     for i, a in enumerate(names):
         for j, b in enumerate(names):
-            gone = constant[i] or constant[j] or np.isnan(r[i, j])
-            rows.append((str(a), str(b), None if gone else float(np.clip(r[i, j], -1.0, 1.0))))
+            known = spread[i] > 0 and spread[j] > 0 and not np.isnan(r[i, j])
+            rows.append((str(a), str(b), float(np.clip(r[i, j], -1.0, 1.0)) if known else None))
     return df.sparkSession.createDataFrame(rows, "factor_a string, factor_b string, r double")

@@ -245,7 +245,7 @@ def motif_enrichment(
     require_columns(scores, ["region", "s"] if motifs is not None else ["region", "motif", "score"], "scores")
     strata = materialize(strata.select("region", "stratum"))
     require_unique(strata, ["region"], "a region is in two strata")
-    w = weights.select("factor", "region", F.col("weight").cast("double").alias("weight"))
+    w = weights.select(F.col("factor").cast("string").alias("factor"), "region", F.col("weight").cast("double").alias("weight"))
     # Read by the checks, the weight moments and the pass over the scores.
     w = materialize(w.join(strata, "region").select("factor", "region", "stratum", "weight"))
     bad = w.agg(
@@ -276,7 +276,7 @@ def motif_enrichment(
     sums = broadcast_if_small(sums)
     t = sums.where("kind = 'f'").select(F.col("id").alias("factor"), "motif", F.col("ws").alias("t"))
     moments = sums.where("kind = 'g'").select(
-        F.col("id").cast("int").alias("stratum"), "motif", F.col("ws").alias("ss"), F.col("wss").alias("ss2")
+        F.col("id").cast(dict(strata.dtypes)["stratum"]).alias("stratum"), "motif", F.col("ws").alias("ss"), F.col("wss").alias("ss2")
     )
 
     # (factor, stratum) is one row per factor and stratum, bounded by the bins.

@@ -330,3 +330,32 @@ def motif_enrichment_dense(spark, d):
     dense = F.expr(f"concat(flatten(transform(e, (v, i) -> concat({gap}, array(v.v)))), {tail})")
     vectors = per_region.select("region", dense.alias("s"))
     return _nes_digits(motif.motif_enrichment(weights, vectors, _strata(spark, d), motifs=names))
+
+
+@query(
+    "region_map_coverage",
+    f"""WITH {_MAP} SELECT count(DISTINCT region) AS regions_matched, (SELECT count(*) FROM regions) AS regions,
+      count(DISTINCT peak) AS features_matched, (SELECT count(*) FROM peaks) AS features FROM mp""",
+)
+def region_map_coverage(spark, d):
+    counts = intervals.region_map_coverage(_region_map(spark, d), i.peaks(spark, d), i.regions(spark, d))
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} bigint" for c in counts))
+
+
+@query(
+    "used_regions",
+    f"WITH {_STRATA}, {i.SCORES} SELECT region, motif, score FROM scores WHERE region IN (SELECT region FROM strata)",
+)
+def used_regions(spark, d):
+    return motif.used_regions(i.motif_scores(spark, d), _strata(spark, d)).select("region", "motif", "score")
+
+
+@query(
+    "enrichment_meta",
+    f"""WITH {_STRATA} SELECT (SELECT count(*) FROM strata) AS n_regions, (SELECT count(DISTINCT o_orderpriority) FROM orders) AS n_factors,
+      (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS n_motifs, (SELECT count(DISTINCT stratum) FROM strata) AS n_strata""",
+)
+def enrichment_meta(spark, d):
+    strata = _strata(spark, d)
+    counts = motif.enrichment_meta(motif.motif_enrichment(i.motif_weights(spark, d), i.motif_scores(spark, d), strata), strata)
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} bigint" for c in counts))

@@ -124,6 +124,15 @@ def profile_by_group(spark, d):
     return out.withColumn("mean", F.round("mean", 8)).withColumn("z", F.round("z", 6))
 
 
+@query(
+    "category_factor_means",
+    f"WITH {EMB} SELECT label, factor, pos, count(*) AS n, round(avg(v), 8) AS mean, round(avg(v), 8) AS z FROM emb GROUP BY label, factor, pos",
+)
+def category_factor_means(spark, d):
+    rows, names = cells(spark, d)
+    return rounded(groups.profile_by_group(rows, "x", names, "label", zscore=False), 8)
+
+
 @query(
     "eta_squared_factors",
     f"""WITH {EMB}, g AS (SELECT factor, label, count(*) AS n, avg(v) AS m, sum(v) AS s FROM emb GROUP BY factor, label),
