@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import exact, mixing, sequences
+from factorloom.llm import chat, credentials, exact, mixing, phrase_index, sequences
 from factorloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,61 @@ def op7_token_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = sequences.tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     return found.select("doc_id", "start", "n_tokens", "ids_crc32", F.col("file").alias("shard"))
+
+
+@query("op4_secret_scan")
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.scan(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op10_chat_format",
+    r"""
+    WITH c AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)),
+    r AS (
+      SELECT *, CASE role WHEN 'user' THEN 16 WHEN 'assistant' THEN 12 ELSE 17 + length(role) END
+        + length(regexp_replace(text, '(\[|<)(\\*)(INST\]|/INST\]|OUT\]|TURN [^\]\s]*\]|/TURN\]|/s>)', '\1\2\\\3', 'g')) AS chars
+      FROM c)
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+           CAST(sum(chars) AS BIGINT) AS formatted_chars
+    FROM r GROUP BY conv_id
+    """,
+)
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], given.schema)
+    return chat.read_back(chat.format_turns(given.unionByName(added)))
+
+
+@query(
+    "op5_decontaminate",
+    r"""
+    WITH dw AS (
+      SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+      FROM documents),
+    bw AS (
+      SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+      FROM benchmark),
+    bk AS (SELECT item_id, ws, least(len(ws), 13) AS m, unnest(range(greatest(len(ws) - 12, 1))) AS k FROM bw WHERE len(ws) > 0),
+    bg AS (SELECT DISTINCT item_id, m, array_to_string(ws[k + 1 : k + m], ' ') AS gram FROM bk),
+    dk AS (SELECT r, ws, m, unnest(range(len(ws) - m + 1)) AS k FROM dw, (SELECT DISTINCT m FROM bg) WHERE len(ws) >= m),
+    dg AS (SELECT r, m, k, array_to_string(ws[k + 1 : k + m], ' ') AS gram FROM dk),
+    hit AS (SELECT r, k, dg.m, item_id FROM dg JOIN bg ON dg.m = bg.m AND dg.gram = bg.gram),
+    pos AS (SELECT r, count(DISTINCT w) AS n_hit FROM (SELECT r, unnest(range(k, k + m)) AS w FROM hit) GROUP BY r),
+    its AS (
+      SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names
+      FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY r)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+    FROM dw LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
+    """,
+)
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("n_near")
