@@ -39,10 +39,10 @@ LENGTH = 2048
 BATCH_ROWS = 256
 
 #: Bytes of text that a task encodes at once (a longer single text is encoded alone).
-_BYTES_AT_ONCE = 16 << 20
+_BYTES_AT_ONCE = 8 << 20
 
 #: Words whose ids a worker keeps between slices; beyond it they are forgotten and learned anew.
-_KEPT_WORDS = 800_000
+_KEPT_WORDS = 300_000
 
 MANIFEST = "part int, file string, docs long, tokens long, sequences long"
 
