@@ -15,7 +15,6 @@ all lie near one posting of the rarest.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -64,7 +63,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 place = (np.arange(len(terms)) + GAP * np.repeat(np.arange(stop - start), counts)).astype(np.int32)
                 order = np.argsort(terms, kind="stable")
                 sorted_terms = terms[order]
-                new = np.flatnonzero(np.diff(sorted_terms, prepend=~sorted_terms[:1] if len(terms) else None) != 0) if len(terms) else np.zeros(0, np.int64)
+                new = np.flatnonzero(np.append(True, sorted_terms[1:] != sorted_terms[:-1])[: len(terms)])
                 bounds = np.append(new, len(terms)).astype(np.int32)
                 ids = batch.column(0).slice(start, stop - start)
                 listed = pa.StructArray.from_arrays(
@@ -88,16 +87,6 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return stored(named.mapInArrow(run, _INDEX.replace("ID", id_type)), "postings")
 
 
-@dataclass
-class Phrases:
-    """Windows of the benchmark: term numbers row by row, and each one's item (a number)."""
-
-    terms: np.ndarray
-    windows: list[np.ndarray]
-    items: np.ndarray
-    names: list[str]
-
-
 def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """One row per window: item (id as string), place, terms array<long>.
 
@@ -223,9 +212,9 @@ def _run(rows: DataFrame, searcher: Searcher, near: int) -> DataFrame:
         return pd.DataFrame(
             {
                 "row": pd.Series([docs[d]["row"] for d in some], dtype="int64"),
-                "items": [sorted(items.get(d, ())) for d in some],
-                "near_items": [sorted(close.get(d, ())) for d in some],
-                "hits": [sorted(hits.get(d, ())) for d in some],
+                "items": pd.Series([sorted(items.get(d, ())) for d in some], dtype=object),
+                "near_items": pd.Series([sorted(close.get(d, ())) for d in some], dtype=object),
+                "hits": pd.Series([sorted(hits.get(d, ())) for d in some], dtype=object),
             }
         )
 
