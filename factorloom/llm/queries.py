@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import chat, credentials, exact, jaccard, language, mixing, phrase_index, sequences, toxicity
+from factorloom.llm import chat, credentials, exact, jaccard, language, mixing, phrase_index, sequences, substring, toxicity
 from factorloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,3 +164,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op1_substring_dedup")
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
