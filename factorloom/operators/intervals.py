@@ -18,8 +18,8 @@ from factorloom.functions import bare_chrom
 from factorloom.guards import require_columns, require_none, require_rows, require_unique
 from factorloom.operators.ordered import by_order, keyed, running
 
-#: log2 of the bin length of each level.
-LEVELS = (9, 12, 15, 18, 21, 24, 27, 30, 33, 40)
+#: log2 of the bin length of each level; the last one takes any length.
+LEVELS = (9, 12, 15, 18, 21, 24, 27, 30, 33, 40, 62)
 
 #: Home levels of disjoint intervals up to this many bits apart share the coarsest one.
 NEAR_LEVELS = 6

@@ -29,11 +29,13 @@ def subsample(
     """At most n rows without replacement; `df` itself if it is small enough.
 
     `stratify` caps every group at max(1, n // groups) rows instead; rows without a group
-    are left out then. `row` identifies rows.
+    are left out then, whatever the size of the table. `row` identifies rows.
     """
     if n <= 0:
         raise ValueError("n must be positive")
     require_columns(df, [row, *([stratify] if stratify else [])])
+    if stratify:
+        df = df.where(F.col(stratify).isNotNull())
     if df.limit(n + 1).count() <= n:
         return df
     order = [hash_order(row, seed), F.col(row)]
@@ -41,10 +43,9 @@ def subsample(
         if n <= _TOP_N:
             return df.orderBy(*order).limit(n)
         return positions(df, order, "_at").where(F.col("_at") < n).drop("_at")
-    rows = df.where(F.col(stratify).isNotNull())
-    groups = rows.agg(F.count_distinct(stratify)).first()[0]
+    groups = df.agg(F.count_distinct(stratify)).first()[0]
     cap = max(1, n // max(groups, 1))
-    return first_k_per_group(rows, [stratify], order, cap, [row])
+    return first_k_per_group(df, [stratify], order, cap, [row])
 
 
 def balanced_sample(

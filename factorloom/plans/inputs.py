@@ -57,11 +57,11 @@ ASSIGNED = f"""{PEAKS}, {SNPS}, assigned AS (
   FROM snps LEFT JOIN peaks ON 'chr' || snps.chrom = peaks.chrom AND peaks.s < snps.bp AND snps.bp <= peaks.e)"""
 COUNTS = ASSIGNED + """, counts AS (
   SELECT peaks.peak, count(assigned.row_ix) AS n_snps FROM peaks LEFT JOIN assigned USING (peak) GROUP BY peaks.peak)"""
-#: Peak loadings: the peak's part number picks a vector; four factors, both arms.
+#: Peak loadings: the peak's part number picks a vector; all factors, both arms.
 LOADINGS = """ld AS (
   SELECT peak, factor, direction, CASE WHEN direction = 'pos' THEN greatest(v, 0) ELSE greatest(-v, 0) END AS loading
   FROM peaks JOIN emb ON emb.vec_id = peaks.p_partkey % (SELECT count(*) FROM embeddings)
-  CROSS JOIN (VALUES ('pos'), ('neg')) d(direction) WHERE pos < 4)"""
+  CROSS JOIN (VALUES ('pos'), ('neg')) d(direction))"""
 
 #: Scores of regions (parts) for motifs (suppliers), weights of factors (priorities).
 SCORES = "scores AS (SELECT l_partkey AS region, l_suppkey AS motif, sum(l_quantity) AS score FROM lineitem GROUP BY 1, 2)"
@@ -146,12 +146,12 @@ def assigned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def peak_loadings(spark: SparkSession, d: str) -> DataFrame:
-    """(peak, factor, direction, loading) of four factors and both arms."""
+    """(peak, factor, direction, loading) of all factors and both arms."""
     rows, names = cells(spark, d)
     n = rows.count()
-    vectors = rows.select("cell_id", F.slice("x", 1, 4).alias("x"))
+    vectors = rows.select("cell_id", "x")
     placed = peaks(spark, d).withColumn("cell_id", F.col("p_partkey") % n).join(vectors, "cell_id")
-    long = loadings_long(placed, "x", names[:4], ["peak"])
+    long = loadings_long(placed, "x", names, ["peak"])
     arms = F.array(
         F.struct(F.lit("pos").alias("direction"), F.greatest("value", F.lit(0.0)).alias("loading")),
         F.struct(F.lit("neg").alias("direction"), F.greatest(-F.col("value"), F.lit(0.0)).alias("loading")),

@@ -150,7 +150,7 @@ def pending_work(work: DataFrame, done_path: str, keys: Sequence[str]) -> DataFr
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(done_path)
     except AnalysisException:
         return work
-    done = files.select(*[F.regexp_extract(_path(), f"{k}=([^/]+)", 1).alias(k) for k in keys]).distinct()
+    done = files.select(*[F.regexp_extract(_path(), f"(?:^|/){k}=([^/]+)", 1).alias(k) for k in keys]).distinct()
     as_text = work.select("*", *[F.col(k).cast("string").alias(f"_{k}") for k in keys])
     done = done.withColumnsRenamed({k: f"_{k}" for k in keys})
     return as_text.join(done, [f"_{k}" for k in keys], "left_anti").select(*work.columns)

@@ -34,7 +34,7 @@ def read_fasta(spark: SparkSession, path: str | list[str], size: int = CHUNK) ->
     seen = materialize(seen.drop(KEY))
     heads = seen.where("_head is not null").select(
         F.col("_head").alias("_at_head"),
-        F.split_part(F.regexp_replace("value", r"^>\s*", ""), F.lit(" "), F.lit(1)).alias("chrom"),
+        F.regexp_extract("value", r"^>\s*(\S*)", 1).alias("chrom"),
         F.col("_end").alias("_from"),
     )
     body = seen.where("_head is null and _len > 0").join(broadcast_if_small(heads), "_at_head")

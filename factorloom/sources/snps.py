@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factorloom.guards import require_columns, require_rows
 from factorloom.operators.intervals import assign_points
-from factorloom.session import broadcast_if_small
+from factorloom.session import broadcast_if_small, materialize
 
 # Fixed value: columns of the six-column variant table, in file order.
 SNP_COLUMNS = ("chrom", "snp", "cm", "bp", "a1", "a2")
@@ -17,7 +17,8 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Text lines with their place in the input: row_ix, value; files in path order.
 
     Lines of one split are read in order, and a split knows its offset in the file. Split
-    sizes are summed in (file, offset) order: a table with one row per split.
+    sizes are summed in (file, offset) order: a table with one row per split. The lines are
+    written once with their places, since another scan may part the files in another way.
     """
     order = ["_file", "_block"]
     lines = spark.read.text(path).select(
@@ -26,6 +27,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
     )
+    lines = materialize(lines)
     blocks = lines.groupBy(*order).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(*order, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
