@@ -14,8 +14,9 @@ m = n - ceil(0.75 n) of its tokens in the other, so:
 
 Sets that are equal are one node from the start. Rare entries meet packed by hash range, and
 pairs come with their number of common tokens. Entries that many nodes share are never paired with each
-other: each node is compared with the smallest of the entry, components form, and only pairs
-of different components remain to be compared. All candidates are verified on whole sets.
+other: each node is compared with one of the entry, components form, and after a few such
+turns only pairs of different components remain to be compared, all of them. All candidates
+are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -285,33 +286,37 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def star_pairs(entries: DataFrame) -> DataFrame:
-    """Each node of an entry with the entry's smallest node."""
-    first = entries.groupBy("key").agg(F.min(F.struct("node", "n", "f")).alias("low"), F.count(F.lit(1)).alias("nodes"))
-    low = first.where("nodes > 1").select("key", F.col("low.node").alias("a"), F.col("low.n").alias("na"), F.col("low.f").alias("fa"))
-    met = entries.join(low, "key").where((F.col("node") != F.col("a")) & _fits("na", "n", "fa", "f"))
-    return _ordered(met.select("a", F.col("node").alias("b")))
+def star_pairs(entries: DataFrame, turn: int = 0) -> DataFrame:
+    """Each node of an entry with one of the entry's nodes, another one each turn; pairs within a
+    component (column `root`) are left out."""
+    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "f", "root")
+    first = entries.groupBy("key").agg(F.min(order).alias("low"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
+    low = first.select("key", *[F.col(f"low.{c}").alias(f"{c}_a") for c in ("node", "n", "f", "root")])
+    met = entries.join(low, "key").where((F.col("root") != F.col("root_a")) & _fits("n_a", "n", "f_a", "f"))
+    return _ordered(met.select(F.col("node_a").alias("a"), F.col("node").alias("b")))
 
 
-def open_pairs(entries: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of an entry's nodes that are in different components and not compared yet."""
-    rooted = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+def open_entries(entries: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """The entries whose nodes are in different components, and how many pairs those make."""
+    rooted = entries.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of_root = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
+    split = of_root.groupBy("key").agg(((F.pow(F.sum("k"), 2) - F.sum(F.pow("k", 2))) / 2).alias("pairs")).where("pairs > 0")
     left = stored(rooted.join(split, "key"), "open")
-    if left.isEmpty():
-        return known.limit(0)
+    total = left.groupBy("key").agg(F.first("pairs").alias("pairs")).agg(F.sum("pairs")).first()[0]
+    return left.drop("pairs"), int(total or 0)
+
+
+def open_pairs(left: DataFrame) -> DataFrame:
+    """All pairs of an entry's nodes that are in different components."""
     a, b = (left.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "f", "root")]) for s in ("a", "b"))
     on = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _fits("n_a", "n_b", "f_a", "f_b")
-    met = a.join(b, "key").where(on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    return met.distinct().join(known, ["a", "b"], "left_anti")
+    return a.join(b, "key").where(on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def verify(pairs: DataFrame, texts: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """Those of the written `pairs` (a, b) whose whole sets have the wanted similarity."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    named = stored(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "named")
-    wanted = named.select("doc_id").distinct()
-    chosen = texts.join(small(stored(wanted, "wanted")), "doc_id", "left_semi")
+def whole_sets(nodes: DataFrame, texts: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(node, tokens) of the wanted nodes, from one whole text each, written to the shared folder."""
+    named = stored(rows.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "named")
+    chosen = texts.join(small(stored(named.select("doc_id").distinct(), "wanted")), "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,15 +327,17 @@ def verify(pairs: DataFrame, texts: DataFrame, rows: DataFrame, width: int) -> D
                     found.append(tokens.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "tokens"])
 
-    whole = stored(
-        chosen.mapInArrow(sets, "node long, tokens array<long>").join(small(named.select("node")), "node", "left_semi").dropDuplicates(["node"]),
-        "sets",
-    )
+    found = chosen.mapInArrow(sets, "node long, tokens array<long>")
+    return stored(found.join(small(named.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def verify(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets have the wanted similarity, written."""
     a = whole.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
     b = whole.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    met = pairs.join(a, "a").join(b, "b")
     common = F.size(F.array_intersect("ta", "tb"))
-    return met.where(100 * common >= 75 * (F.size("ta") + F.size("tb") - common)).select("a", "b")
+    met = pairs.join(a, "a").join(b, "b").where(100 * common >= 75 * (F.size("ta") + F.size("tb") - common))
+    return stored(met.select("a", "b"), "links")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH) -> DataFrame:
@@ -357,14 +364,32 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = stored(texts.mapInArrow(sets, f"doc_id {id_type}, n long, node long"), "rows")
     named = rows.where("n > 0")
     frequent = frequent_tokens(texts, width, FREQUENT, FREQUENT_MOST)
-    entries = shared_entries(texts, width, frequent)
-    first = stored(_ordered(rare_pairs(texts, width, frequent).unionByName(star_pairs(entries))), "pairs")
-    links = stored(verify(first, texts, named, width), "links")
-    roots = components(links)
-    second = stored(open_pairs(entries, roots, first), "pairs")
-    if not second.isEmpty():
-        links = links.unionByName(stored(verify(second, texts, named, width), "links"))
-        roots = components(links)
+    entries = shared_entries(texts, width, frequent).withColumn("root", F.col("node"))
+    known = stored(_ordered(rare_pairs(texts, width, frequent).unionByName(star_pairs(entries))), "pairs")
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
+    nodes = entries.join(shared, "key", "left_semi").select("node")
+    whole = whole_sets(nodes.unionByName(known.select(F.col("a").alias("node"))).unionByName(known.select(F.col("b").alias("node"))), texts, named, width)
+    links = verify(known, whole)
+    roots = stored(components(links), "roots")
+    number, barren, turn = entries.count(), 0, 0
+    while True:
+        # Another star each turn joins components until the pairs left to compare are no more
+        # than the entries, or stars find nothing new; then all that are left are compared.
+        turn += 1
+        left, total = open_entries(entries, roots)
+        if not total:
+            break
+        last = total <= number or barren >= 2
+        pairs = stored((open_pairs(left) if last else star_pairs(left, turn)).join(known, ["a", "b"], "left_anti"), "pairs")
+        found = verify(pairs, whole)
+        if not found.isEmpty():
+            links, barren = links.unionByName(found), 0
+            roots = stored(components(links), "roots")
+        else:
+            barren += 1
+        if last:
+            break
+        known = known.unionByName(pairs)
 
     nodes = named.groupBy("node").agg(F.min("doc_id").alias("low"))
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
