@@ -138,7 +138,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 own = held.setdefault(lang, [np.zeros(BUCKETS, np.int64) for _ in ORDERS])
                 for total, found in zip(own, grams(np.frombuffer(text.encode(), np.uint8)), strict=True):
                     total += np.bincount(found, minlength=BUCKETS)
-        yield pd.DataFrame({"lang": list(held), "counts": [np.concatenate(v).astype("<i8").tobytes() for v in held.values()]})
+        if held:
+            yield pd.DataFrame({"lang": list(held), "counts": [np.concatenate(v).astype("<i8").tobytes() for v in held.values()]})
 
     by_language: dict[str, np.ndarray] = {}
     for row in sample.repartition(2).mapInPandas(counts, "lang string, counts binary").toLocalIterator():
