@@ -10,13 +10,13 @@ m = n - ceil(0.75 n) of its tokens in the other, so:
   same passage. Frequent tokens are dealt to classes by hash, the prefix is extended until m + 1 of its tokens
   are not the only one of their class, and pairs of tokens of one class are indexed: after m
   misses two common tokens of one class remain, and both sets index that pair.
-* Sets of few tokens have too few for pairs; they index single tokens of a plain prefix.
+* Sets of few tokens have too few for pairs; they index single tokens of a plain prefix, rare ones first.
 
 Sets that are equal are one node from the start. Rare entries meet packed by hash range, and
 pairs come with their number of common tokens. Entries that many nodes share are never paired with each
-other: each node is compared with one of the entry, components form, and after a few such
-turns only pairs of different components remain to be compared, all of them. All candidates
-are verified on whole sets.
+other: each node is compared with a few of the entry and components form. Of components that
+still share an entry all pairs of nodes that may link are compared, each once however many
+entries it shares. All candidates are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -43,6 +43,10 @@ FREQUENT_MOST = 1_000_000
 #: Sets with fewer tokens than this index single tokens.
 FEW = 16
 
+#: Nodes of an entry that all others are compared with in a turn, and turns before all pairs left are compared.
+CENTRES = 4
+TURNS = 4
+
 _PACK = 1 << 21
 _ONE = np.uint64(1)
 
@@ -250,7 +254,8 @@ def shared_entries(texts: DataFrame, width: int, frequent: np.ndarray) -> DataFr
                 m, rare = misses(n), int((~often).sum())
                 found = []
                 if 3 * n <= 4 * FEW:
-                    found.append((mix(tokens[: m + 1] + np.uint64(7)), n))
+                    ordered = np.concatenate([tokens[~often], tokens[often]])
+                    found.append((mix(ordered[: m + 1] + np.uint64(7)), n))
                 if n >= FEW and rare <= m:
                     c = n.bit_length() - 1
                     for scheme in [c] + [c + 1] * (4 * n >= 3 << (c + 1)):
@@ -286,31 +291,55 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def star_pairs(entries: DataFrame, turn: int = 0) -> DataFrame:
-    """Each node of an entry with one of the entry's nodes, another one each turn; pairs within a
+def star_pairs(entries: DataFrame, turn: int = 0, centres: int = 1) -> DataFrame:
+    """Each node of an entry with `centres` of the entry's nodes, others each turn; pairs within a
     component (column `root`) are left out."""
-    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "f", "root")
-    first = entries.groupBy("key").agg(F.min(order).alias("low"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
-    low = first.select("key", *[F.col(f"low.{c}").alias(f"{c}_a") for c in ("node", "n", "f", "root")])
+    lows = [
+        F.min(F.struct(F.xxhash64("node", F.lit(turn * CENTRES + i)).alias("order"), "node", "n", "f", "root")) for i in range(centres)
+    ]
+    first = entries.groupBy("key").agg(F.array(*lows).alias("lows"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
+    low = first.select("key", F.explode("lows").alias("low")).select("key", *[F.col(f"low.{c}").alias(f"{c}_a") for c in ("node", "n", "f", "root")])
     met = entries.join(low, "key").where((F.col("root") != F.col("root_a")) & _fits("n_a", "n", "f_a", "f"))
     return _ordered(met.select(F.col("node_a").alias("a"), F.col("node").alias("b")))
 
 
-def open_entries(entries: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
-    """The entries whose nodes are in different components, and how many pairs those make."""
+def open_entries(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """The entries of keys whose nodes are in different components, with their component as `root`."""
     rooted = entries.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    of_root = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
-    split = of_root.groupBy("key").agg(((F.pow(F.sum("k"), 2) - F.sum(F.pow("k", 2))) / 2).alias("pairs")).where("pairs > 0")
-    left = stored(rooted.join(split, "key"), "open")
-    total = left.groupBy("key").agg(F.first("pairs").alias("pairs")).agg(F.sum("pairs")).first()[0]
-    return left.drop("pairs"), int(total or 0)
+    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return stored(rooted.join(split, "key", "left_semi"), "open")
+
+
+def root_pairs(left: DataFrame) -> DataFrame:
+    """Distinct pairs of components that share an entry and whose sizes allow a link."""
+    of_root = left.groupBy("key", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("f").alias("f"))
+    a, b = (of_root.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("root", "low", "high", "f")]) for s in ("a", "b"))
+    near = (100 * F.col("high_a").cast("long") >= 75 * F.col("low_b").cast("long")) & (
+        100 * F.col("high_b").cast("long") >= 75 * F.col("low_a").cast("long")
+    )
+    common = 7 * F.least("f_a", "f_b").cast("long") >= 3 * (F.col("low_a").cast("long") + F.col("low_b"))
+    met = a.join(b, "key").where((F.col("root_a") < F.col("root_b")) & near & common)
+    return stored(met.select("root_a", "root_b").distinct(), "root_pairs")
+
 
+def open_members(left: DataFrame) -> DataFrame:
+    """(node, root, n, f) once for each node of the open entries."""
+    found = left.groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.max("f").alias("f"))
+    return stored(found, "members")
 
-def open_pairs(left: DataFrame) -> DataFrame:
-    """All pairs of an entry's nodes that are in different components."""
-    a, b = (left.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "f", "root")]) for s in ("a", "b"))
-    on = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _fits("n_a", "n_b", "f_a", "f_b")
-    return a.join(b, "key").where(on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+def count_open(met: DataFrame, members: DataFrame) -> int:
+    """How many pairs of nodes the pairs of components stand for."""
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("k"))
+    a, b = (sizes.select(F.col("root").alias(f"root_{s}"), F.col("k").alias(f"k_{s}")) for s in ("a", "b"))
+    return int(met.join(a, "root_a").join(b, "root_b").agg(F.sum(F.col("k_a") * F.col("k_b"))).first()[0] or 0)
+
+
+def open_pairs(met: DataFrame, members: DataFrame) -> DataFrame:
+    """All pairs of nodes of the paired components, each once, that sizes and frequent tokens allow."""
+    a, b = (members.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "f")]) for s in ("a", "b"))
+    found = met.join(a, "root_a").join(b, "root_b").where(_fits("n_a", "n_b", "f_a", "f_b"))
+    return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
 
 def whole_sets(nodes: DataFrame, texts: DataFrame, rows: DataFrame, width: int) -> DataFrame:
@@ -371,25 +400,25 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = whole_sets(nodes.unionByName(known.select(F.col("a").alias("node"))).unionByName(known.select(F.col("b").alias("node"))), texts, named, width)
     links = verify(known, whole)
     roots = stored(components(links), "roots")
-    number, barren, turn = entries.count(), 0, 0
-    while True:
-        # Another star each turn joins components until the pairs left to compare are no more
-        # than the entries, or stars find nothing new; then all that are left are compared.
+    number, turn, last = entries.count(), 0, False
+    while not last:
+        # Stars with several centres join components while many pairs are left; then, or when
+        # stars find nothing new, all pairs left are compared, each once.
         turn += 1
-        left, total = open_entries(entries, roots)
+        left = open_entries(entries, roots)
+        met, members = root_pairs(left), open_members(left)
+        total = count_open(met, members)
         if not total:
             break
-        last = total <= number or barren >= 2
-        pairs = stored((open_pairs(left) if last else star_pairs(left, turn)).join(known, ["a", "b"], "left_anti"), "pairs")
+        last = total <= number or turn > TURNS
+        pairs = stored((open_pairs(met, members) if last else star_pairs(left, turn, CENTRES)).join(known, ["a", "b"], "left_anti"), "pairs")
         found = verify(pairs, whole)
-        if not found.isEmpty():
-            links, barren = links.unionByName(found), 0
-            roots = stored(components(links), "roots")
-        else:
-            barren += 1
-        if last:
-            break
-        known = known.unionByName(pairs)
+        if found.isEmpty():
+            if not last:
+                turn, known = TURNS, known.unionByName(pairs)
+            continue
+        links, known = links.unionByName(found), known.unionByName(pairs)
+        roots = stored(components(links), "roots")
 
     nodes = named.groupBy("node").agg(F.min("doc_id").alias("low"))
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
