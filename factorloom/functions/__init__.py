@@ -1,7 +1,6 @@
 """Column functions: built-in expressions only, evaluated in the JVM."""
 
 from factorloom.functions.columns import (
-    SignificanceRamp,
     bare_chrom,
     chrom_sort_key,
     direction_label,
@@ -13,12 +12,12 @@ from factorloom.functions.columns import (
     relu,
     safe_ratio,
     significance_class,
+    significance_labels,
     significant,
     strict_bool,
 )
 
 __all__ = [
-    "SignificanceRamp",
     "bare_chrom",
     "chrom_sort_key",
     "direction_label",
@@ -30,6 +29,7 @@ __all__ = [
     "relu",
     "safe_ratio",
     "significance_class",
+    "significance_labels",
     "significant",
     "strict_bool",
 ]

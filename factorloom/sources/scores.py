@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factorloom.guards import number, require_columns
 from factorloom.operators.ordered import positions
-from factorloom.operators.scores import CellScores, ScoreKind
+from factorloom.operators.scores import CellScores
 
 
 def read_cell_scores(
@@ -35,7 +35,7 @@ def read_cell_scores(
     key = cell if cell in table.columns else table.columns[0]
     value = number(F.col(column).try_cast("double"))
     frame = table.select(F.col(key).alias(cell), value.alias("cs"))
-    return CellScores(frame, ScoreKind.ENRICHMENT_RATIO, model, trait, cell)
+    return CellScores(frame, "enrichment_ratio", model, trait, cell)
 
 
 def read_score_table(spark: SparkSession, path: str) -> DataFrame:

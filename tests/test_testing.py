@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorloom.functions import p_one_tailed, significance_class, significant
-from factorloom.functions.columns import SignificanceRamp
+from factorloom.functions.columns import significance_labels
 from factorloom.operators import testing
 from tests.conftest import NAN, close
 
@@ -100,8 +100,8 @@ def test_significance(spark):
     got = [tuple(r) for r in df.select(significant("q"), significance_class("q")).collect()]
     assert got == [(True, 0), (False, 1), (False, 2), (False, 2), (False, 2)]
     with pytest.raises(ValueError, match="ascending"):
-        SignificanceRamp((0.1, 0.05))
-    assert SignificanceRamp().labels == ["BH q < 0.05", "BH q < 0.1", "BH q >= 0.1"]
+        significance_class("q", (0.1, 0.05))
+    assert significance_labels() == ["BH q < 0.05", "BH q < 0.1", "BH q >= 0.1"]
 
 
 def test_input_columns_survive(spark):
