@@ -47,6 +47,10 @@ FEW = 16
 CENTRES = 4
 TURNS = 4
 
+#: All pairs left are compared at once when they are at most so many times the entries: a turn reads
+#: the entries about as often, and joins components anew.
+AT_ONCE = 8
+
 _PACK = 1 << 21
 _ONE = np.uint64(1)
 
@@ -399,7 +403,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = entries.join(shared, "key", "left_semi").select("node")
     whole = whole_sets(nodes.unionByName(known.select(F.col("a").alias("node"))).unionByName(known.select(F.col("b").alias("node"))), texts, named, width)
     links = verify(known, whole)
-    roots = stored(components(links), "roots")
+    roots = components(links)
     number, turn, last = entries.count(), 0, False
     while not last:
         # Stars with several centres join components while many pairs are left; then, or when
@@ -410,7 +414,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         total = count_open(met, members)
         if not total:
             break
-        last = total <= number or turn > TURNS
+        last = total <= AT_ONCE * number or turn > TURNS
         pairs = stored((open_pairs(met, members) if last else star_pairs(left, turn, CENTRES)).join(known, ["a", "b"], "left_anti"), "pairs")
         found = verify(pairs, whole)
         if found.isEmpty():
@@ -418,7 +422,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 turn, known = TURNS, known.unionByName(pairs)
             continue
         links, known = links.unionByName(found), known.unionByName(pairs)
-        roots = stored(components(links), "roots")
+        roots = components(links)
 
     nodes = named.groupBy("node").agg(F.min("doc_id").alias("low"))
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
