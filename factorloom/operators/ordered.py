@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.guards import finite
-from factorloom.session import broadcast_if_small, materialize, shuffle_partitions
+from factorloom.session import BROADCAST_ROWS, broadcast_if_small, materialize, shuffle_partitions
 
 SEG = "_seg"
 KEY = "_k"
@@ -35,9 +35,12 @@ MAX_SEGMENTS = 20_000
 #: Segments per round of a quantile search; each round keeps about 2 of them per quantile.
 SEARCH_SEGMENTS = 256
 
-#: Rows a quantile search may leave for one task to sort.
+#: Distinct values a quantile search may leave for one task to sort.
 SORT_ROWS = 10_000_000
 
+#: A value of more than one row in so many is joined apart, by broadcast.
+HEAVY_PARTS = 10_000
+
 
 def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """`df` with the group key as one struct column, so NULL keys group and join as values."""
@@ -162,13 +165,77 @@ def finite_or_inf(value: str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def join_values(rows: DataFrame, lookup: DataFrame, value: str) -> DataFrame:
+    """`rows` with the columns of `lookup`, which has one row per (`KEY`, `value`) and their ``n`` rows.
+
+    Rows without a value get NULLs. A lookup table that is not small enough to broadcast is
+    split: the values held by more than one row in `HEAVY_PARTS`, fewer than that many, are
+    broadcast, and only the others are joined by a shuffle, so no value fills a task. `rows`
+    is then read three times. Runs a job that writes `lookup`.
+    """
+    lookup = materialize(lookup)
+    size = lookup.agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows")).first()
+    on, found = [KEY, value], lookup.drop("n")
+    if size["values"] <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(found), on, "left")
+    heavy = F.col("n") > (size["rows"] or 0) / HEAVY_PARTS
+    often, seldom = lookup.where(heavy).drop("n"), lookup.where(~heavy).drop("n")
+    there = rows.where(F.col(value).isNotNull())
+    rest = there.join(F.broadcast(often.select(*on)), on, "left_anti").join(seldom, on, "left")
+    absent = rows.where(F.col(value).isNull()).select(
+        *on,
+        *[f"`{c}`" for c in rows.columns if c not in on],
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema if f.name not in on],
+    )
+    return there.join(F.broadcast(often), on).unionByName(rest).unionByName(absent)
+
+
 def average_ranks(df: DataFrame, value: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
     """`df` with the average rank of `value` in its group (ties share their mean rank)."""
     ranks = value_ranks(df, value, keys).select(
-        KEY, F.col(value).alias("_rv"), (F.col("below") + (F.col("n") + 1) / 2.0).alias(out)
+        KEY, F.col(value).alias("_rv"), "n", (F.col("below") + (F.col("n") + 1) / 2.0).alias("_rank")
     )
     rows = keyed(df, keys).withColumn("_rv", finite_or_inf(value))
-    return rows.join(ranks, [KEY, "_rv"], "left").drop(KEY, "_rv")
+    return join_values(rows, ranks, "_rv").withColumn(out, F.col("_rank")).drop(KEY, "_rv", "_rank")
+
+
+def _segment_counts(tagged: DataFrame, size: Column, total: Column) -> DataFrame:
+    """(key, old start, segment, new start, size, rows of the group) of the parts of blocks."""
+    counts = tagged.groupBy(KEY, "_at", SEG).agg(size.alias("_c"), F.max("_n").alias("_n"))
+    upto = F.sum("_c").over(Window.partitionBy(KEY, "_at").orderBy(SEG))
+    return counts.select(KEY, "_at", SEG, "_c", (F.col("_at") + upto - F.col("_c")).alias("_start"), total.alias("_n"))
+
+
+def _narrowed(values: DataFrame, wanted: str) -> DataFrame:
+    """The blocks of `values` cut until none has more than `SORT_ROWS` distinct values.
+
+    Every crowded block is cut at quantiles of its own values, whatever range they are in, and
+    only parts that hold a wanted place stay. The loop follows the largest measured block.
+    """
+    largest = None
+    while True:
+        values = materialize(values)
+        sizes = values.groupBy(KEY, "_start").agg(F.count(F.lit(1)).alias("_d"))
+        crowded = materialize(sizes.where(F.col("_d") > SORT_ROWS))
+        now = crowded.agg(F.max("_d")).first()[0]
+        if now is None or now == largest:
+            return values
+        largest = now
+        at = [F.lit(i / SEARCH_SEGMENTS) for i in range(1, SEARCH_SEGMENTS)]
+        cuts = (
+            values.join(broadcast_if_small(crowded.drop("_d")), [KEY, "_start"])
+            .groupBy(KEY, "_start")
+            .agg(F.percentile_approx("_v", F.array(*at), F.lit(8 * SEARCH_SEGMENTS)).alias("_cuts"))
+        )
+        above = F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= F.col("_v")))
+        tagged = (
+            values.join(broadcast_if_small(cuts), [KEY, "_start"], "left")
+            .withColumn(SEG, F.when(F.col("_cuts").isNull(), 0).otherwise(above))
+            .drop("_cuts")
+            .withColumnRenamed("_start", "_at")
+        )
+        targets = _segment_counts(tagged, F.sum("_w"), F.col("_n")).where(wanted).drop("_c", "_n")
+        values = tagged.join(broadcast_if_small(targets), [KEY, "_at", SEG]).drop("_at", SEG)
 
 
 def quantiles(
@@ -178,10 +245,10 @@ def quantiles(
 
     One row per group that has a finite value: the keys, a column per entry of
     `probabilities`, and ``n``. Counts per (group, segment) find the few segments that hold
-    a wanted position; only their rows are grouped and sorted. A table too large for one
-    round is narrowed again, cutting the rows that are left, until a segment fits a task.
-    Each round runs one job for the cut values and, with keys, one that writes the wanted
-    segments. `df` is read three times, so a costly plan should be materialised before.
+    a wanted position; only their distinct values are sorted. In a table of more than
+    `SORT_ROWS` rows, segments that hold too many are cut again until they fit a task.
+    One job finds the cut values and, with keys, one writes the wanted segments. `df` is
+    read three times, so a costly plan should be materialised before.
     """
     # 0-based places just below and just above each wanted quantile.
     at = {n: f"((_n - 1) * {float(p)!r}D)" for n, p in probabilities.items()}
@@ -190,33 +257,22 @@ def quantiles(
     ends = dict.fromkeys([*low.values(), *high.values()])
     wanted = " OR ".join(f"({e} >= _start AND {e} < _start + _c)" for e in ends)
 
+    # A block is a run of a group's sorted rows, known by the place "_start" of its first.
     pool = keyed(df, keys).select(KEY, finite(value).alias("_v")).where("_v is not null")
     cuts, rows = _cuts_and_rows(pool, "_v", SEARCH_SEGMENTS)
-    # A block is a run of a group's sorted rows that starts at place "_base".
-    pool = pool.withColumn("_base", F.lit(0).cast("bigint"))
-    block, known = [KEY, "_base", SEG], []
-    while True:
-        tagged = by_value(pool, "_v", cuts)
-        counts = tagged.groupBy(*block, *known).agg(F.count(F.lit(1)).alias("_c"))
-        upto = F.sum("_c").over(Window.partitionBy(KEY, "_base").orderBy(SEG))
-        total = F.col("_n") if known else F.sum("_c").over(Window.partitionBy(KEY))
-        counts = counts.select(
-            *block, "_c", (F.col("_base") + upto - F.col("_c")).alias("_start"), total.alias("_n")
-        )
-        targets = counts.where(wanted).drop("_c")
-        # Without keys at most two segments per probability qualify.
-        targets = broadcast_if_small(targets) if keys else F.broadcast(targets)
-        pool = tagged.drop(*known).join(targets, block)
-        rows = rows * 2 // SEARCH_SEGMENTS
-        if rows <= SORT_ROWS:
-            break
-        pool = materialize(pool.select(KEY, "_v", F.col("_start").alias("_base"), "_n"))
-        cuts, known = split_points(pool, "_v", SEARCH_SEGMENTS), ["_n"]
-
-    chosen = pool.groupBy(*block, "_start", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    order = Window.partitionBy(*block).orderBy("_v")
-    chosen = chosen.withColumn("_hi", F.col("_start") + F.sum("_c").over(order)).withColumn(
-        "_lo", F.col("_hi") - F.col("_c")
+    tagged = by_value(pool, "_v", cuts)
+    whole = tagged.withColumns({"_at": F.lit(0).cast("bigint"), "_n": F.lit(0).cast("bigint")})
+    counts = _segment_counts(whole, F.count(F.lit(1)), F.sum("_c").over(Window.partitionBy(KEY)))
+    targets = counts.where(wanted).drop("_c", "_at")
+    # Without keys at most two segments per probability qualify.
+    targets = broadcast_if_small(targets) if keys else F.broadcast(targets)
+    values = tagged.join(targets, [KEY, SEG]).groupBy(KEY, "_start", "_n", "_v").agg(F.count(F.lit(1)).alias("_w"))
+    if rows > SORT_ROWS:
+        values = _narrowed(values, wanted)
+
+    order = Window.partitionBy(KEY, "_start").orderBy("_v")
+    chosen = values.withColumn("_hi", F.col("_start") + F.sum("_w").over(order)).withColumn(
+        "_lo", F.col("_hi") - F.col("_w")
     )
     picks = [
         F.expr(f"max(CASE WHEN {e[n]} >= _lo AND {e[n]} < _hi THEN _v END)").alias(f"_{side}_{n}")
@@ -269,13 +325,15 @@ def first_k_per_group(
     order: Sequence[Column],
     k: Column | int,
     spread: Sequence[str],
-    buckets: int = 64,
+    buckets: int | None = None,
 ) -> DataFrame:
     """The first `k` rows of each group in `order`, in two rounds.
 
     Rows are first ranked inside (group, hash bucket of `spread`); at most k per bucket
-    survive, so the second round sees at most k x buckets rows of any group.
+    survive, so the second round sees at most k x buckets rows of any group. There are as many
+    buckets as shuffle partitions unless given.
     """
+    buckets = buckets or shuffle_partitions(df.sparkSession)
     k = F.lit(k) if isinstance(k, int) else k
     bucket = F.pmod(F.xxhash64(*spread), F.lit(buckets))
     rows = keyed(df, keys).withColumn("_b", bucket)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions import p_one_tailed, significant
 from factorloom.guards import finite, require_columns
-from factorloom.operators.ordered import KEY, keyed, positions, running, unkeyed, value_ranks
+from factorloom.operators.ordered import KEY, join_values, keyed, positions, running, unkeyed, value_ranks
 
 Z_COLUMN = "Coefficient_z-score"
 
@@ -48,8 +48,8 @@ def bh_qvalues(
     tests = F.col("total") if n is None else F.lit(int(n))
     scaled = ranks.withColumn("_scaled", F.col("_p") * tests / F.col("upto"))
     q = running(scaled, [F.col("_p").desc()], {"_q": ("min", "_scaled")}, reverse=True)
-    q = q.select(KEY, "_p", F.greatest(F.least("_q", F.lit(1.0)), F.lit(0.0)).alias("_q"))
-    joined = keyed(rows, keys).join(q, [KEY, "_p"], "left")
+    q = q.select(KEY, "_p", "n", F.greatest(F.least("_q", F.lit(1.0)), F.lit(0.0)).alias("_q"))
+    joined = join_values(keyed(rows, keys), q, "_p")
     return joined.withColumn(out, F.coalesce("_q", F.lit(1.0))).drop(KEY, "_p", "_q")
 
 

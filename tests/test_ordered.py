@@ -62,6 +62,30 @@ def test_quantile_search_narrows_in_rounds(monkeypatch, skewed):
         assert got[k]["n"] == v.size
 
 
+def test_quantile_blocks_of_groups_on_separate_ranges_fit(monkeypatch, spark):
+    monkeypatch.setattr(o, "SORT_ROWS", 100)
+    left = []
+    narrowed = o._narrowed
+    monkeypatch.setattr(o, "_narrowed", lambda *a: left.append(narrowed(*a)) or left[0])
+    df = spark.range(30_000).selectExpr("id % 30 AS k", "CAST((id % 30) * 1000000 + id DIV 30 AS DOUBLE) AS v")
+    got = {r["k"]: r for r in o.quantiles(df, "v", {"q": 0.25, "m": 0.5}, ["k"]).collect()}
+    for k in range(30):
+        v = k * 1_000_000 + np.arange(1000.0)
+        assert [got[k]["q"], got[k]["m"]] == list(np.percentile(v, [25, 50]))
+    assert left[0].groupBy(o.KEY, "_start").count().agg({"count": "max"}).first()[0] <= 100
+
+
+def test_values_join_in_parts_like_whole(monkeypatch, spark, skewed):
+    data, df = skewed
+    whole = {(r["id"], r["rk"]) for r in o.average_ranks(df, "v", "rk", ["k"]).collect()}
+    monkeypatch.setattr(o, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(o, "HEAVY_PARTS", 20)
+    parts = o.average_ranks(df, "v", "rk", ["k"])
+    assert parts.columns == ["id", "k", "v", "rk"]
+    found = [(r["id"], r["rk"]) for r in parts.collect()]
+    assert len(found) == len(data) and set(found) == whole
+
+
 def test_average_ranks_share_ties(skewed):
     data, df = skewed
     got = {r["id"]: r["rk"] for r in o.average_ranks(df, "v", "rk", ["k"]).collect()}
