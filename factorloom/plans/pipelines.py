@@ -12,11 +12,12 @@ from factorloom.operators.intervals import region_map
 from factorloom.operators.motif import motif_enrichment, regionise, soft_threshold
 from factorloom.operators.scores import CellScores, score_from_z
 from factorloom.operators.testing import add_fdr
+from factorloom.session import materialize
 
 
 @dataclass(frozen=True)
 class TraitAnalysis:
-    """Corrected results, per-cell scores of one trait, and their summary per group."""
+    """Corrected results of one trait, its score per cell, and the summary per group."""
 
     results: DataFrame
     scores: CellScores
@@ -36,14 +37,17 @@ def trait_analysis(
     direction: str | None = "pos",
     min_cells: int = 20,
 ) -> TraitAnalysis:
-    """Correct every trait's tests, score the cells for one trait, summarise by group."""
+    """Correct a trait's tests, score the cells for it, summarise by group.
+
+    The tests of a trait are one family, so those of other traits have no part in its q. The
+    corrected results are written once; the scores read them.
+    """
     keys = [by] if isinstance(by, str) else list(by)
-    corrected = add_fdr(results, by="trait")
-    one = results.where(results["trait"] == trait)
+    one = materialize(add_fdr(results.where(results["trait"] == trait), by="trait"))
     scores = score_from_z(
         cells, one, x=x, names=names, model=model, trait=trait, cell=cell, direction=direction, keep=keys
     )
-    return TraitAnalysis(corrected, scores, summarize_by(scores.frame, "cs", by=keys, min_cells=min_cells))
+    return TraitAnalysis(one, scores, summarize_by(scores.frame, "cs", by=keys, min_cells=min_cells))
 
 
 def motif_analysis(

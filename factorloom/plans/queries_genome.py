@@ -63,6 +63,16 @@ def overlap_check(spark, d):
     return pairs.agg(F.count_if(F.col("peak") < F.col("peak_2")).alias("overlaps"))
 
 
+@query(
+    "overlap_count",
+    f"""WITH {i.PEAKS}, w AS (SELECT peak, chrom, s, e + 2000 AS e FROM peaks)
+    SELECT count(*) AS overlaps FROM w a JOIN w b ON a.chrom = b.chrom AND a.s < b.e AND b.s < a.e AND a.peak < b.peak""",
+)
+def overlap_count(spark, d):
+    wide = i.peaks(spark, d).select("peak", "chrom", "start", (F.col("end") + 2000).alias("end"))
+    return intervals.overlap_pairs(wide, wide).agg(F.count_if(F.col("peak") < F.col("peak_2")).alias("overlaps"))
+
+
 @query(
     "overlap_pairs",
     f"""WITH {i.PEAKS}, {i.REGIONS} SELECT peaks.peak, regions.region, CAST(least(peaks.e, regions.e) - greatest(peaks.s, regions.s) AS BIGINT) AS overlap

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factorloom.operators import boxes, groups, matrix, qc, sampling
+from factorloom.operators import boxes, factors, groups, matrix, qc, sampling
 from factorloom.operators.factors import loadings_long
 from factorloom.plans.inputs import EMB, cells
 from factorloom.plans.registry import query, rounded, table
@@ -101,6 +101,52 @@ def group_matrix_grid(spark, d):
     return rounded(out, 4)
 
 
+@query(
+    "group_matrix_one_order",
+    """WITH g AS (SELECT * FROM (VALUES ('1-URGENT'), ('9-NONE')) a(pr) CROSS JOIN (SELECT DISTINCT o_orderstatus AS st FROM orders)),
+    x AS (SELECT o_orderpriority AS pr, o_orderstatus AS st, avg(o_totalprice) AS m, count(o_totalprice) AS n FROM orders GROUP BY 1, 2)
+    SELECT g.pr, g.st, CASE WHEN n >= 20 THEN round(m, 4) END AS mean, coalesce(n, 0) AS n FROM g LEFT JOIN x ON x.pr = g.pr AND x.st = g.st""",
+)
+def group_matrix_one_order(spark, d):
+    rows = table(spark, d, "orders").withColumnsRenamed({"o_orderpriority": "pr", "o_orderstatus": "st"})
+    return rounded(groups.group_matrix(rows, "o_totalprice", index="pr", columns="st", index_order=["1-URGENT", "9-NONE"]), 4)
+
+
+@query(
+    "summary_of_joined_cells",
+    "SELECT c_mktsegment, "
+    + _select_summary("o_totalprice").format(q="")
+    + " FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment ORDER BY avg(o_totalprice) DESC LIMIT 3",
+)
+def summary_of_joined_cells(spark, d):
+    values = table(spark, d, "orders").select(F.col("o_custkey").alias("cell_id"), "o_totalprice")
+    cells = table(spark, d, "customer").select(F.col("c_custkey").alias("cell_id"), "c_mktsegment")
+    out = groups.summarize_by(groups.join_cells(values, cells), "o_totalprice", by="c_mktsegment", min_cells=1)
+    # The three segments of the highest mean are the result.
+    return _round_summary(out.order_by("mean").frame.limit(3))
+
+
+@query(
+    "per_category_order",
+    """WITH o(o_orderpriority, slot) AS (VALUES ('5-LOW', 0), ('9-NONE', 1), ('1-URGENT', 2)),
+    x AS (SELECT o_orderpriority, avg(o_totalprice) AS v, stddev_samp(o_totalprice) / sqrt(count(*)) AS se, count(*) AS n FROM orders GROUP BY 1)
+    SELECT o.o_orderpriority, slot, round(v, 4) AS value, round(coalesce(se, 0), 4) AS se, coalesce(n, 0) AS n
+    FROM o LEFT JOIN x ON x.o_orderpriority = o.o_orderpriority""",
+)
+def per_category_order(spark, d):
+    order = ["5-LOW", "9-NONE", "1-URGENT"]
+    return rounded(groups.per_category(table(spark, d, "orders"), "o_totalprice", "o_orderpriority", order=order), 4)
+
+
+@query(
+    "keep_subset",
+    "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus IN ('F', 'P') GROUP BY 1",
+)
+def keep_subset(spark, d):
+    kept = factors.keep_subset(table(spark, d, "orders"), "o_orderstatus", ["F", "P"])
+    return rounded(kept.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")), 2)
+
+
 @query(
     "group_matrix_wide",
     """SELECT o_orderpriority, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 4) AS "F",

@@ -15,14 +15,18 @@ from factorloom.plans.registry import query
 
 @query(
     "trait_analysis",
-    f"WITH {_RATIO}, x AS (SELECT zs.vec_id, label, cs FROM zs JOIN embeddings ON embeddings.vec_id = zs.vec_id) SELECT label, "
+    f"WITH {_RATIO}, x AS (SELECT zs.vec_id, label, cs FROM zs JOIN embeddings ON embeddings.vec_id = zs.vec_id), "
+    + f"tested AS (SELECT min(q) AS q, count(*) FILTER (WHERE q < 0.6) AS n FROM (WITH {i.RESQ} SELECT q FROM resq WHERE trait = 't0')) SELECT label, "
     + _select_summary("cs").format(q="")
-    + " FROM x GROUP BY label",
+    + ", (SELECT round(q, 8) FROM tested) AS least_q, (SELECT n FROM tested) AS n_significant FROM x GROUP BY label",
 )
 def trait_summary(spark, d):
     rows, names = i.cells(spark, d)
     done = trait_analysis(rows, i.results(spark, d), x="x", names=names, trait="t0", by="label")
-    return _round_summary(done.summary.frame)
+    tested = done.results.agg(F.min("fdr_q").alias("q"), F.count_if(F.col("fdr_q") < 0.6).alias("n")).first()
+    return _round_summary(done.summary.frame).withColumns(
+        {"least_q": F.lit(round(tested["q"], 8)), "n_significant": F.lit(tested["n"]).cast("bigint")}
+    )
 
 
 _REGION_STRATA = f"""wid AS (SELECT DISTINCT regions.region, CAST(e - s AS DOUBLE) AS a, CAST(s AS DOUBLE) AS b FROM regions),

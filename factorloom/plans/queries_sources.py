@@ -49,6 +49,16 @@ def read_results(spark, d):
     )
 
 
+@query("results_files", "SELECT DISTINCT 't' || label AS annot FROM embeddings WHERE label IS NOT NULL")
+def results_files(spark, d):
+    traits = i.results(spark, d).select("trait").distinct()
+    path = scratch_path(spark, "files")
+    traits.select("trait", F.lit("Category").alias("value")).write.partitionBy("trait").text(path)
+    # Files are named by Spark; the trait folder stands for the annotation here.
+    found = res.results_files(spark, path, pattern="*.txt", layout=r"trait=([^/]+)/[^/]+$")
+    return found.select("annot")
+
+
 @query(
     "read_snp_table",
     f"""WITH {i.SNPS} SELECT row_number() OVER (ORDER BY row_ix) - 1 AS row_ix, chrom, snp, 0.5::DOUBLE AS cm, bp, 'A' AS a1, 'G' AS a2 FROM snps""",

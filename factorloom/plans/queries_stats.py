@@ -372,6 +372,17 @@ def cell_score_z(spark, d):
     return rounded(_z_scores(spark, d).table(), 7)
 
 
+@query(
+    "cell_score_old_column",
+    f"WITH {_RATIO} SELECT vec_id AS cell_id, round(cs, 7) AS cs FROM zs",
+)
+def cell_score_old_column(spark, d):
+    rows, names = cells(spark, d)
+    old = results(spark, d).where("trait = 't0'").withColumnRenamed("factor", "dim")
+    found = sc.score_from_z(rows, old, x="x", names=names, model="m", trait="t0", direction="pos")
+    return rounded(found.frame.select("cell_id", "cs"), 7)
+
+
 @query(
     "cell_score_ratio",
     f"WITH {_RATIO} SELECT vec_id AS cell_id, round(cs, 7) AS cs, 'enrichment_ratio' AS kind, 'm' AS model, 't0' AS trait, 1.0::DOUBLE AS \"null\" FROM ratio",

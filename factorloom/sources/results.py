@@ -22,15 +22,20 @@ def _path() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
-def results_files(spark: SparkSession, results_dir: str) -> DataFrame:
-    """(annot, path) of every ``.results`` file of a trait folder; no such folder raises."""
+def results_files(
+    spark: SparkSession, results_dir: str, *, pattern: str = "*.results", layout: str = r"([^/]+)\.results$"
+) -> DataFrame:
+    """(annot, path) of the result files of a folder, by annotation; no such folder raises.
+
+    Other names than ``<annot>.results`` need a file `pattern` and a `layout` whose group is
+    the annotation. File contents are not read.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     try:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.results").load(results_dir)
+        files = found.load(results_dir)
     except AnalysisException as error:
-        raise FileNotFoundError(f"no results directory at {results_dir}") from error
-    return files.select(
-        F.regexp_extract(_path(), r"([^/]+)\.results$", 1).alias("annot"), F.col("path")
-    ).orderBy("annot")
+        raise FileNotFoundError(f"no results directory for annotations: {results_dir}") from error
+    return files.select(F.regexp_extract(_path(), layout, 1).alias("annot"), F.col("path")).orderBy("annot")
 
 
 def read_results(
