@@ -280,6 +280,39 @@ def test_substring(spark, odd, empty):
     assert substring.repeated_passages(empty).count() == 0
 
 
+def test_passages_edited():
+    """Insertions, deletions and moved passages that reach 0.75 as a whole or in their parts."""
+    rng = np.random.RandomState(8)
+    words = lambda n: rng.randint(0, 1 << 62, n).astype(np.uint64)
+    p, q, least = words(36), words(36), 46
+
+    def near(a, b):
+        both = np.intersect1d(a, b)
+        return len(both) / len(np.union1d(a, b)) if len(a) and len(b) else 0
+
+    def brute(a, b):
+        return max(near(a[i : i + n], b[j : j + m]) for n in (46, 76, len(a)) for m in (46, 92, len(b)) for i in range(0, len(a) - n + 1, 2) for j in range(0, len(b) - m + 1, 2))
+
+    one = np.concatenate([p, words(4), q])
+    for a, b in ((one, np.concatenate([p, words(20), q])), (np.concatenate([p, words(20), q]), one), (np.concatenate([p, q]), np.concatenate([p, words(24), q])), (np.concatenate([p, q]), np.concatenate([p[:30], q[6:]]))):
+        assert brute(a, b) >= 0.75
+        found = substring.passages(a, b, least, 0.75)
+        assert found and all(near(a[s:t], b[u:v]) == share >= 0.75 and min(t - s, v - u) >= least for s, t, u, v, share in found)
+        assert sum(t - s for s, t, *_ in found) >= 0.8 * len(a)
+    # Two edited near copies side by side in a, far apart and in another order in b, with a repeated line.
+    line = words(12)
+    sides = [np.concatenate([words(25), line, words(28)]) for _ in range(2)]
+    edited = [s.copy() for s in sides]
+    for s in edited:
+        s[[8, 20, 40, 52]] = words(4)
+    a, b = np.concatenate(sides), np.concatenate([line, words(150), edited[1], words(300), line, edited[0], words(60)])
+    for x, y, turn in ((a, b, 1), (b, a, -1)):
+        spans = [r[:4] if turn > 0 else (*r[2:4], *r[:2]) for r in substring.passages(x, y, least, 0.75)]
+        for start, place in ((0, 12 + 150 + 65 + 300 + 12), (65, 12 + 150)):
+            assert any(s < start + 10 and t > start + 55 and u < place + 10 and v > place + 55 for s, t, u, v in spans)
+    assert substring.passages(words(200), words(200), least, 0.75) == []
+
+
 def test_compact_windows_cover():
     """Each long enough subsequence lies in the window of exactly one node, that of its minimum."""
     hashes = np.random.RandomState(2).permutation(60).astype(np.uint64)
