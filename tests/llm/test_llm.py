@@ -280,6 +280,32 @@ def test_substring(spark, odd, empty):
     assert substring.repeated_passages(empty).count() == 0
 
 
+def test_substring_long_document(spark):
+    """A document of many blocks with one line, each block shared with another document; partitions make no difference."""
+    rng = np.random.RandomState(6)
+    words = lambda n: [f"w{rng.randint(10**9)}" for _ in range(n)]
+    line = words(38)
+    shared = [[*words(6), *line, *words(8)] for _ in range(40)]
+    texts = {i + 1: [*words(20), *p, *words(20)] for i, p in enumerate(shared)}
+    texts[0] = [w for p in shared for w in [*words(60), *p]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    one, many = (sorted(map(tuple, substring.repeated_passages(df.repartition(n)).collect())) for n in (1, 16))
+    assert one == many
+    for i, p in enumerate(shared):
+        assert any(r[0] == 0 and r[3] == i + 1 and texts[0][r[1] : r[2]] == p == texts[i + 1][r[4] : r[5]] for r in one)
+
+
+def test_star_windows():
+    """Every window of a document meets each window of the smallest, or the span around them."""
+    key = np.array([5] * 9, np.uint64)
+    doc = np.array([1, 1, 1, 2, 2, 3, 1, 1, 1])
+    span = np.array([[0, 50], [100, 150], [110, 140], [7, 60], [70, 130], [0, 50], [200, 250], [300, 350], [400, 450]], np.int32)
+    some = substring.star(key[:6], doc[:6], span[:6])
+    want = {(1, *s, d, *t) for s in ((0, 50), (100, 150)) for d, t in ((2, (7, 60)), (2, (70, 130)), (3, (0, 50)))}
+    assert set(map(tuple, some.tolist())) == want | {(2, 7, 60, 3, 0, 50), (2, 70, 130, 3, 0, 50)}
+    assert (1, 0, 450, 3, 0, 50) in set(map(tuple, substring.star(key, doc, span).tolist()))
+
+
 def test_passages_edited():
     """Insertions, deletions and moved passages that reach 0.75 as a whole or in their parts."""
     rng = np.random.RandomState(8)
