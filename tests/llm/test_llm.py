@@ -295,6 +295,33 @@ def test_substring_long_document(spark):
         assert any(r[0] == 0 and r[3] == i + 1 and texts[0][r[1] : r[2]] == p == texts[i + 1][r[4] : r[5]] for r in one)
 
 
+def test_substring_widespread_line(spark):
+    """Pairs of documents share passages in which only few words lie outside a line that all hold."""
+    rng = np.random.RandomState(9)
+    words = lambda n: [f"w{rng.randint(10**9)}" for _ in range(n)]
+    line, other = words(34), words(34)
+    texts = {}
+    for k in range(60):
+        before = int(rng.randint(0, 17))
+        passage = [*words(before), *line, *words(16 - before)]
+        for i in (k, k + 100):  # never next to each other among the holders of the line
+            texts[i] = [*words(30), *passage, *words(30)]
+    # Each line is widespread and so is every part of the passage, the passage itself is not.
+    for i in range(60, 100):
+        texts[i] = [*words(30), *other, *words(30)]
+    for i in (70, 1300):
+        texts[i] = [*words(20), *line, *other, *words(20)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    grams = {i: {tuple(t[k : k + 50]) for k in range(len(t) - 49)} for i, t in texts.items()}
+    want = {(a, b) for a in grams for b in grams if a < b and grams[a] & grams[b]}
+    assert len(want) == 61
+    rows = substring.repeated_passages(df).collect()
+    assert {(r["doc_a"], r["doc_b"]) for r in rows if r["similarity"] == 1} >= want
+    for a, b in want:
+        held = {g for r in rows if (r["doc_a"], r["doc_b"]) == (a, b) for k in range(r["a_start"], r["a_stop"] - 49) for g in [tuple(texts[a][k : k + 50])]}
+        assert grams[a] & grams[b] <= held
+
+
 def test_star_windows():
     """Every window of a document meets each window of the smallest, or the span around them."""
     key = np.array([5] * 9, np.uint64)
