@@ -37,8 +37,8 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_ID = re.compile(r"(?<![A-Za-z0-9])[A-Z]{3,4}[A-Z0-9]{9,28}(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[A-Z0-9+/]*[a-z])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{24,64}(?![A-Za-z0-9+/])")
+_ID = re.compile(r"(?<![A-Za-z0-9])[A-Z]{3}[A-Z0-9]{9,}(?![A-Za-z0-9])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[A-Z0-9+/]*[a-z])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{24,}(?![A-Za-z0-9+/])")
 _ENDPOINT = re.compile(r"\b(?:https?|ftp|postgres|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]+")
 
 #: What may complete a weak part, by its kind.

@@ -171,6 +171,16 @@ def test_credentials(spark, odd, empty):
     assert credentials.scan(odd).count() == odd.count() and credentials.scan(empty).count() == 0
 
 
+def test_credentials_long(spark):
+    """Keys and identifiers of any length beside a complement; alone they stay clean."""
+    key = "aB3/" * 21 + "xY=="
+    name = "ABCD" + "E1F2" * 12
+    rows = [(1, f"https://host.example/x {key}"), (2, f"plain {key} text"), (3, f"{name} {key}"), (4, f"plain {name} text")]
+    got = by_id(credentials.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[1]["spans"] == "endpoint:0:22,secret:23:109" and got[3]["spans"] == "id:0:52,secret:53:139"
+    assert got[2]["spans"] == got[4]["spans"] == ""
+
+
 def words_of(t):
     raw = bytes(b if (48 <= b < 58 or 97 <= b < 123 or b > 127) else 32 for b in (t or "").encode().lower())
     return raw.split()
