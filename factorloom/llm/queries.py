@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import chat, credentials, exact, jaccard, language, mixing, phrase_index, sequences, substring, toxicity
+from factorloom.llm import chat, credentials, divergence, exact, filter_audit, jaccard, language, mixing, phrase_index, sequences, substring, toxicity
 from factorloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,3 +169,91 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_substring_dedup")
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_filter_audit",
+    r"""
+    WITH w AS (
+      SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+      FROM documents),
+    f AS (
+      SELECT doc_id, part,
+             CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END
+             + CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END
+             + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END
+             + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+             + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS m
+      FROM w),
+    l AS (
+      SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad
+      FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    c AS (
+      SELECT part, m, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(bad, 0)) AS bad
+      FROM f LEFT JOIN l USING (doc_id) GROUP BY part, m),
+    x AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) t(l, b)),
+    o AS (
+      SELECT p.l || q.l || r.l || s.l || t.l AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bs
+      FROM x p, x q, x r, x s, x t
+      WHERE p.b | q.b | r.b | s.b | t.b = 31),
+    st AS (
+      SELECT filter_order, CAST(k AS INTEGER) AS step, bs[k] AS b, coalesce(list_sum(bs[1 : k - 1]), 0)::INTEGER AS before
+      FROM o, range(1, 6) r(k)),
+    a AS (
+      SELECT part, filter_order, step, b,
+             CAST(coalesce(sum(n) FILTER (m & (before | b) = 0), 0) AS BIGINT) AS kept,
+             CAST(coalesce(sum(n) FILTER (m & before = 0 AND m & b > 0), 0) AS BIGINT) AS removed,
+             CAST(coalesce(sum(n) FILTER (m & before > 0 AND m & b > 0), 0) AS BIGINT) AS redundant,
+             CAST(coalesce(sum(n) FILTER (m = b), 0) AS BIGINT) AS unique_fails,
+             CAST(coalesce(sum(good) FILTER (m & before = 0 AND m & b > 0), 0) AS BIGINT) AS good_lost,
+             CAST(coalesce(sum(bad) FILTER (m & before = 0 AND m & b > 0), 0) AS BIGINT) AS toxic_lost
+      FROM c, st GROUP BY part, filter_order, step, b)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, b) AS BIGINT) AS shapley
+    FROM a
+    """,
+)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op13_source_divergence",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+      FROM documents),
+    w AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+    k AS (SELECT lang, term, count(*) AS c FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+    v AS (SELECT lang, count(*) + sum(c) AS total, count(*) AS v FROM k GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    gc AS (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+    gn AS (SELECT lang, source, sum(c) AS n FROM gc GROUP BY lang, source),
+    p AS (
+      SELECT g.lang, g.source, k.term, coalesce(gc.c, 0) AS c,
+             CAST(1 + (1000000000::HUGEINT * (coalesce(gc.c, 0) + 1)) // (coalesce(gn.n, 0) + v.v)::HUGEINT AS BIGINT) AS p,
+             CAST(1 + (1000000000::HUGEINT * (k.c + 1)) // v.total::HUGEINT AS BIGINT) AS q
+      FROM g JOIN k ON g.lang = k.lang JOIN v ON v.lang = g.lang
+      LEFT JOIN gc ON gc.lang = g.lang AND gc.source = g.source AND gc.term = k.term
+      LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source),
+    s AS (
+      SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+      GROUP BY a.lang, a.source, b.source),
+    pairs AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+    terms AS (
+      SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value
+      FROM p WHERE c > 0 AND p > q),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS k
+      FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+    SELECT lang, source, part, item, value, CAST(k AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR k <= 200
+    """,
+)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
