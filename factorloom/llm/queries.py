@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import chat, credentials, divergence, exact, filter_audit, jaccard, language, mixing, phrase_index, sequences, substring, toxicity
+from factorloom.llm import chat, credentials, divergence, exact, filter_audit, fingerprints, jaccard, language, mixing, phrase_index, sequences, substring, toxicity
 from factorloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -257,3 +257,65 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def _gram_crc(k: int = fingerprints.K) -> str:
+    """SQL of the CRC-32 of `k` bytes from a place on: its tables turn it into one lookup a byte."""
+    terms = [f"(SELECT list(v ORDER BY b) FROM crc WHERE k = {k - 1 - j})[lead(b, {j}) OVER g + 1]" for j in range(k)]
+    found = f"(SELECT xor(s, 4294967295) FROM zeros WHERE n = {k})"
+    for t in terms:
+        found = f"xor({found}, {t})"
+    return found
+
+
+@query(
+    "op12_fingerprints",
+    rf"""
+    WITH RECURSIVE bits AS (
+      SELECT b, 0 AS step, b AS v FROM range(256) t(b)
+      UNION ALL SELECT b, step + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END FROM bits WHERE step < 8),
+    one AS MATERIALIZED (SELECT b, v FROM bits WHERE step = 8),
+    crc AS (
+      SELECT 0 AS k, b, v FROM one
+      UNION ALL SELECT k + 1, crc.b, xor(crc.v >> 8, one.v) FROM crc JOIN one ON one.b = crc.v & 255 WHERE k < 15),
+    zeros AS (
+      SELECT 0 AS n, 4294967295 AS s
+      UNION ALL SELECT n + 1, xor(s >> 8, one.v) FROM zeros JOIN one ON one.b = s & 255 WHERE n < 16),
+    d AS (
+      SELECT doc_id, coalesce(text, '') AS text, count(*) AS copies, sha256(coalesce(text, '')) AS digest
+      FROM documents GROUP BY ALL),
+    nx AS (
+      SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text, length(text) AS n
+      FROM d WINDOW w AS (ORDER BY doc_id NULLS LAST, digest)),
+    ed AS (SELECT *, left(text, n - n // 2) || left(next_text, n // 2) AS edited FROM nx),
+    t AS (SELECT row_number() OVER () AS x, text FROM (SELECT text FROM ed UNION SELECT edited FROM ed)),
+    h AS (SELECT x, regexp_extract_all(hex(encode(text)), '..') AS hs FROM t),
+    u AS (SELECT x, len(hs) AS n, generate_subscripts(hs, 1) - 1 AS i, unnest(hs) AS hx FROM h),
+    bs AS (SELECT x, n, i, ('0x' || hx)::BIGINT AS b FROM u),
+    gr AS (
+      SELECT x, n, i, {_gram_crc()} AS c FROM bs WHERE n >= 16 WINDOW g AS (PARTITION BY x ORDER BY i)
+      UNION ALL
+      SELECT bs.x, any_value(bs.n), 0, xor(xor(any_value(z.s), 4294967295), bit_xor(crc.v))
+      FROM bs JOIN crc ON crc.k = bs.n - 1 - bs.i AND crc.b = bs.b JOIN zeros z ON z.n = bs.n
+      WHERE bs.n < 16 GROUP BY bs.x),
+    lo AS (
+      SELECT x, n, i, min(c * 2147483648 - i) OVER (PARTITION BY x ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS v
+      FROM gr WHERE c IS NOT NULL),
+    e AS (SELECT DISTINCT x, (v + 2147483647) >> 31 AS c, (((v + 2147483647) >> 31) * 2147483648 - v)::BIGINT AS i FROM lo WHERE i = 0 OR i <= n - 31),
+    f AS (
+      SELECT t.text, coalesce(string_agg(hex(c) || ':' || i, ',' ORDER BY i) FILTER (c IS NOT NULL), '') AS fp,
+             coalesce(list(DISTINCT c) FILTER (c IS NOT NULL), []) AS cs
+      FROM t LEFT JOIN e USING (x) GROUP BY t.text),
+    m AS (
+      SELECT ed.*, a.fp, b.fp AS edited_fp, len(list_intersect(a.cs, b.cs)) AS e1, len(list_distinct(list_concat(a.cs, b.cs))) AS e2,
+             len(list_intersect(a.cs, c.cs)) AS n1, len(list_distinct(list_concat(a.cs, c.cs))) AS n2
+      FROM ed JOIN f a ON a.text = ed.text JOIN f b ON b.text = ed.edited JOIN f c ON c.text = ed.next_text),
+    r AS (SELECT *, unnest(range(copies)) AS copy FROM m)
+    SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, fp AS fingerprint, edited_fp AS edited_fingerprint,
+           CASE WHEN e2 = 0 THEN 1.0::DOUBLE ELSE e1::DOUBLE / e2 END AS near_edited,
+           CASE WHEN n2 = 0 THEN 1.0::DOUBLE ELSE n1::DOUBLE / n2 END AS near_next
+    FROM r
+    """,
+)
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))

@@ -1,13 +1,15 @@
 """Filter audit, source divergence and fingerprints against brute force and on odd rows."""
 
+import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
 
-from factorloom.llm import divergence, filter_audit
+from factorloom.llm import divergence, filter_audit, fingerprints
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
@@ -162,3 +164,64 @@ def test_shares_are_exact():
 
     counts, totals = np.array([[0, 7, 10**15, 3 * 10**12]]), np.array([3, 11, 9 * 10**15, 10**13 + 7])
     assert divergence.shares(counts, totals).tolist() == [[1 + 10**9 * (c + 1) // t for c, t in zip(counts[0].tolist(), totals.tolist())]]
+
+
+def winnow_by_hand(text, k=16, w=16):
+    data = text.encode()
+    grams = [zlib.crc32(data[i : i + k]) for i in range(max(len(data) - k + 1, min(len(data), 1)))]
+    chosen = set()
+    for s in range(max(len(grams) - w + 1, min(len(grams), 1))):
+        low = min(grams[s : s + w])
+        chosen.add(max(i for i in range(s, min(s + w, len(grams))) if grams[i] == low))
+    return [(grams[i], i) for i in sorted(chosen)]
+
+
+def like(a, b):
+    a, b = {h for h, _ in a}, {h for h, _ in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def fingerprints_by_hand(rows, k=16, w=16):
+    docs = Counter((r["doc_id"], r["text"] or "") for r in rows)
+    order = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, hashlib.sha256(d[1].encode()).hexdigest()))
+    out = []
+    for i, (doc_id, text) in enumerate(order):
+        follower, n = order[(i + 1) % len(order)][1], len(text)
+        edited = text[: n - n // 2] + follower[: n // 2]
+        own, changed, after = (winnow_by_hand(t, k, w) for t in (text, edited, follower))
+        spelled = [",".join(f"{h:X}:{i}" for h, i in x) for x in (own, changed)]
+        row = (doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), *spelled, like(own, changed), like(own, after))
+        out += [row] * docs[doc_id, text]
+    return sorted(out, key=str)
+
+
+def test_fingerprints(spark, odd, empty):
+    more = [(100 + i, "x" * i if i % 3 else "äö " * i, "en", "s", 0) for i in range(40)]
+    more += [(200 + i, " ".join(f"{'abcé'[j % 4]}{j * i % 97}" for j in range(130 * i)), "en", "s", 0) for i in range(8)]
+    docs = odd.select(*empty.columns).unionByName(spark.createDataFrame(more, DOCS))
+    docs = docs.withColumn("text", F.substring("text", 1, 30_000))
+    got = sorted((tuple(r) for r in fingerprints.fingerprints(docs).collect()), key=str)
+    assert got == fingerprints_by_hand(docs.collect())
+    assert fingerprints.fingerprints(odd).count() == odd.count()
+    assert fingerprints.fingerprints(empty).count() == 0
+
+
+@pytest.mark.parametrize(("k", "w"), [(5, 4), (8, 1), (3, 7)])
+def test_fingerprints_other_sizes(spark, empty, k, w):
+    rows = [(i, "ab" * (3 * i) + "the quick brown fox"[:i], "en", "s", 0) for i in range(25)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = sorted((tuple(r) for r in fingerprints.fingerprints(docs, k=k, window=w).collect()), key=str)
+    assert got == fingerprints_by_hand(docs.collect(), k, w)
+
+
+def test_fingerprints_match_guarantee(spark):
+    shared = "exactly thirty-one bytes of text"[:31]
+    rows = [(i, f"{'pqrst'[i] * 40}{i}{shared}{i}{'uvwxy'[i] * 30}") for i in range(5)]
+    found = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = [{e.split(":")[0] for e in r["fingerprint"].split(",")} for r in found]
+    assert all(a & b for a in sets for b in sets)
+
+
+def test_fingerprints_one_row(spark):
+    (row,) = fingerprints.fingerprints(spark.createDataFrame([(1, "abc")], "doc_id long, text string")).collect()
+    assert (row["n_chars"], row["near_next"]) == (3, 1.0) and row["edited_sha256"] == hashlib.sha256(b"aba").hexdigest()
