@@ -43,7 +43,10 @@ _CELLS = 1 << 21
 #: Parts into which a group is dealt before its first ranks are taken.
 _DEALT = 32
 
-_PARTIAL = "lang string, source string, digest long, term string, n long, docs long"
+#: Rows of counts that a task holds before it sends them.
+_HELD = 1 << 20
+
+_PARTIAL = "gid long, digest long, term string, n long, docs long"
 
 
 def _told_apart(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,69 +71,75 @@ def _told_apart(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: n
     return np.array(first), of
 
 
+def _combined(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(gid, digest, n, docs) with one row per group and digest."""
+    gid, digest, n, docs = (np.concatenate([h[i] for h in held]) for i in range(4))
+    order = np.lexsort((digest, gid))
+    gid, digest = gid[order], digest[order]
+    new = np.flatnonzero(np.append(True, (gid[1:] != gid[:-1]) | (digest[1:] != digest[:-1])))
+    return gid[new], digest[new], np.add.reduceat(n[order], new), np.add.reduceat(docs[order], new)
+
+
 def _counter(bits: int, spelled: bool):
-    """Partial rows of a slice of texts: per group and digest the occurrences and documents (term null), and
-    per digest its term (n null). If `spelled`, rows of both kinds are one: counts with their term."""
+    """From (gid, text): rows of occurrences and documents per group and digest (term null), and of the term of
+    a digest (n null). If `spelled`, one kind of rows: occurrences and documents per group and term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)
+        seen, held, size, rest = np.zeros(0, np.uint64), [], 0, 0
         for batch in batches:
-            groups = pd.MultiIndex.from_arrays([batch.column(i).to_pylist() for i in range(2)])
-            group_of, group_names = pd.factorize(groups)
-            for start, stop, data, offsets in slices(batch.column(2)):
+            gids = batch.column(0).to_numpy()
+            for start, _, data, offsets in slices(batch.column(1)):
                 data, starts, ends, rows = words(data, offsets, TERM)
                 if not len(starts):
                     continue
                 whole = word_hashes(data, starts, ends)
                 _, first, of = np.unique(whole, return_index=True, return_inverse=True)
                 first, of = _told_apart(data, starts, ends, first, of)
-                doc = np.repeat(np.arange(start, stop), np.diff(rows))
-                pairs = np.unique(doc * len(first) + of, return_counts=True)
-                doc, term, n = pairs[0] // len(first), pairs[0] % len(first), pairs[1]
-                keys = group_of[doc].astype(np.int64) * len(first) + term
+                doc = np.repeat(np.arange(start, start + len(rows) - 1), np.diff(rows))
+                names, group = np.unique(gids[start : start + len(rows) - 1], return_inverse=True)
+                # In this order places of one group and term lie together, and in order of documents.
+                keys = of * len(names) + group[doc - start]
                 order = np.argsort(keys, kind="stable")
-                keys = keys[order]
-                new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                total = np.add.reduceat(n[order], new)
-                docs = np.diff(np.append(new, len(keys)))
-                group, term = keys[new] // len(first), keys[new] % len(first)
-                digests = whole >> np.uint64(64 - bits)
-                names = [data[starts[i] : ends[i]].tobytes() for i in first]
-                yield _rows(group_names, group, digests[first[term]], [names[t] for t in term] if spelled else None, total, docs)
-                if not spelled:
-                    fresh = ~np.isin(whole[first], seen)
-                    at = np.flatnonzero(fresh)
-                    if len(at):
-                        yield _rows(None, None, digests[first[at]], [names[t] for t in at], None, None)
-                        seen = np.union1d(seen, whole[first[at]]) if len(seen) < _CELLS else whole[first[at]]
+                keys, doc = keys[order], doc[order]
+                fresh = np.append(True, keys[1:] != keys[:-1])
+                new = np.flatnonzero(fresh)
+                n = np.diff(np.append(new, len(keys)))
+                docs = np.add.reduceat(fresh | np.append(True, doc[1:] != doc[:-1]), new, dtype=np.int64)
+                term, gid = keys[new] // len(names), names[keys[new] % len(names)]
+                digests = whole[first] >> np.uint64(64 - bits)
+                spell = lambda at: [data[starts[i] : ends[i]].tobytes() for i in at]
+                if spelled:
+                    strings = np.array(spell(first), object)
+                    yield _rows(gid, digests[term], strings[term], n, docs)
+                    continue
+                at = np.flatnonzero(~np.isin(whole[first], seen))
+                if len(at):
+                    yield _rows(None, digests[at], spell(first[at]), None, None)
+                    seen = np.union1d(seen, whole[first[at]]) if len(seen) < _HELD else whole[first[at]]
+                held.append((gid, digests[term], n, docs))
+                size += len(gid)
+                if size >= rest + _HELD:
+                    held = [_combined(held)]
+                    size = rest = len(held[0][0])
+                    if size >= _HELD:
+                        yield _rows(*held[0][:2], None, *held[0][2:])
+                        held, size, rest = [], 0, 0
+        if held:
+            gid, digest, n, docs = _combined(held)
+            yield _rows(gid, digest, None, n, docs)
 
     return run
 
 
-def _rows(names, group, digests, terms, n, docs) -> pa.RecordBatch:
-    size = len(digests)
-    if group is None:
-        lang = source = pa.nulls(size, pa.string())
-    else:
-        lang, source = (
-            pa.DictionaryArray.from_arrays(pa.array(group), pa.array([x[i] for x in names], pa.string())).cast(pa.string())
-            for i in range(2)
-        )
-    return pa.RecordBatch.from_arrays(
-        [
-            lang,
-            source,
-            pa.array(digests.view(np.int64)),
-            pa.nulls(size, pa.string()) if terms is None else pa.array(terms, pa.binary()).cast(pa.string()),
-            pa.nulls(size, pa.int64()) if n is None else pa.array(n.astype(np.int64)),
-            pa.nulls(size, pa.int64()) if docs is None else pa.array(docs.astype(np.int64)),
-        ],
-        names=[c.split(" ")[0] for c in _PARTIAL.split(", ")],
-    )
+def _rows(gid, digests, terms, n, docs) -> pa.RecordBatch:
+    long = lambda x: pa.nulls(len(digests), pa.int64()) if x is None else pa.array(x.astype(np.int64))
+    strings = pa.nulls(len(digests), pa.string()) if terms is None else pa.array(terms, pa.binary()).cast(pa.string())
+    names = [c.split(" ")[0] for c in _PARTIAL.split(", ")]
+    return pa.RecordBatch.from_arrays([long(gid), pa.array(digests.view(np.int64)), strings, long(n), long(docs)], names=names)
 
 
 def term_counts(texts: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
-    """(counts, dictionary): lang, source, digest, split, n, docs, and digest, split, term.
+    """From (gid, text): counts (gid, digest, split, n, docs) and dictionary (digest, split, term).
 
     `split` is the empty string but for digests that several terms share, where it is the term.
     """
@@ -139,18 +148,37 @@ def term_counts(texts: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
         partial.where("n IS NULL").groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "term_strings"
     )
     sums = [F.sum(c).alias(c) for c in ("n", "docs")]
-    counts = partial.where("n IS NOT NULL").groupBy("lang", "source", "digest").agg(*sums).withColumn("split", F.lit(""))
+    counts = partial.where("n IS NOT NULL").groupBy("gid", "digest").agg(*sums).withColumn("split", F.lit(""))
     dictionary = strings.where("low = high").select("digest", F.lit("").alias("split"), F.col("low").alias("term"))
     shared = strings.where("low <> high").select("digest")
     if not shared.isEmpty():
         shared = small(stored(shared, "shared_digests"))
         again = texts.mapInArrow(_counter(bits, True), _PARTIAL).join(shared, "digest", "left_semi")
-        again = stored(again.withColumnRenamed("term", "split").groupBy("lang", "source", "digest", "split").agg(*sums), "split_terms")
+        again = stored(again.withColumnRenamed("term", "split").groupBy("gid", "digest", "split").agg(*sums), "split_terms")
         counts = counts.join(shared, "digest", "left_anti").unionByName(again)
         dictionary = dictionary.unionByName(again.select("digest", "split", F.col("split").alias("term")).distinct())
     return counts, dictionary
 
 
+def numbered_groups(texts: DataFrame) -> tuple[DataFrame, int]:
+    """(gid, lid, lang, source, at) of the occurring groups, `at` numbering the sources of a language, and the seed of the ids.
+
+    Ids are hashes, so texts need no join to get theirs; another seed is taken if two groups or languages share one.
+    """
+    groups, seed = stored(texts.select("lang", "source").distinct(), "groups"), 0
+    while True:
+        ids = groups.withColumns({"gid": _gid(seed), "lid": F.xxhash64("lang", F.lit(seed))})
+        one = ids.agg(*[F.count_distinct(c) for c in ("gid", "lid", "lang")], F.count(F.lit(1))).first()
+        if one[0] == one[3] and one[1] == one[2]:
+            place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
+            return stored(ids.withColumn("at", place), "numbered"), seed
+        seed += 1
+
+
+def _gid(seed: int) -> Column:
+    return F.xxhash64("lang", "source", F.lit(seed))
+
+
 def share(count: Column, total: Column) -> Column:
     """1 + floor(UNIT * (count + 1) / total), exact for counts to 10^18."""
     scaled = (count + 1).cast("decimal(20,0)") * F.lit(UNIT).cast("decimal(10,0)")
@@ -186,14 +214,14 @@ def compared(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
 
 
 def source_pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
-    """(lang, a, b, value) summed over the kept terms, a and b numbers of sources of a language.
+    """(lid, a, b, value) summed over the kept terms, a and b numbers of sources of a language.
 
     Terms are dealt to pieces; each takes the one row of every source of its language along.
     """
-    many = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
-    pieces = stored(many.select("lang", F.ceil(F.col("terms") / _PIECE).cast("long").alias("pieces")), "pieces")
-    dealt = kept.join(pieces, "lang").withColumn("piece", F.pmod(F.xxhash64("digest", "split"), F.col("pieces")))
-    along = groups.join(pieces, "lang").select("lang", "at", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
+    many = kept.groupBy("lid").agg(F.count(F.lit(1)).alias("terms"))
+    pieces = stored(many.select("lid", F.ceil(F.col("terms") / _PIECE).cast("long").alias("pieces")), "pieces")
+    dealt = kept.join(pieces, "lid").withColumn("piece", F.pmod(F.xxhash64("digest", "split"), F.col("pieces")))
+    along = groups.join(pieces, "lid").select("lid", "at", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
 
     def compare(key: tuple, terms: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
         sources = sources.sort_values("at")
@@ -203,11 +231,11 @@ def source_pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
             counts[np.repeat(np.arange(len(terms)), held), np.concatenate(terms["at"].to_list())] = np.concatenate(terms["n"].to_list())
         found = compared(counts, sources["total"].to_numpy())
         k = len(sources)
-        return pd.DataFrame({"lang": key[0], "a": np.repeat(np.arange(k), k), "b": np.tile(np.arange(k), k), "value": found.reshape(-1)})
+        return pd.DataFrame({"lid": key[0], "a": np.repeat(np.arange(k), k), "b": np.tile(np.arange(k), k), "value": found.reshape(-1)})
 
-    met = dealt.select("lang", "piece", "at", "n").groupBy("lang", "piece").cogroup(along.groupBy("lang", "piece"))
-    found = met.applyInPandas(compare, "lang string, a long, b long, value long")
-    return found.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    met = dealt.select("lid", "piece", "at", "n").groupBy("lid", "piece").cogroup(along.groupBy("lid", "piece"))
+    found = met.applyInPandas(compare, "lid long, a long, b long, value long")
+    return found.groupBy("lid", "a", "b").agg(F.sum("value").alias("value"))
 
 
 def first_ranks(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -223,10 +251,9 @@ def raised_terms(kept: DataFrame, dictionary: DataFrame, groups: DataFrame, lang
     A group's rows are counted by value to find the value of its last rank; only terms of that
     value or more get their strings, which decide among equal values.
     """
-    rows = kept.select("lang", "digest", "split", "all", F.explode(F.arrays_zip("at", "n")).alias("x"))
-    rows = rows.select("lang", "digest", "split", "all", F.col("x.at").alias("at"), F.col("x.n").alias("n"))
-    rows = rows.join(small(groups.select("lang", "at", "source", "total")), ["lang", "at"])
-    rows = rows.join(small(langs), "lang")
+    rows = kept.select("lid", "digest", "split", "all", F.explode(F.arrays_zip("at", "n")).alias("x"))
+    rows = rows.select("lid", "digest", "split", "all", F.col("x.at").alias("at"), F.col("x.n").alias("n"))
+    rows = rows.join(small(groups.select("lid", "at", "lang", "source", "total")), ["lid", "at"]).join(small(langs), "lid")
     p, q = share(F.col("n"), F.col("total")), share(F.col("all"), F.col("lang_total"))
     rows = rows.select("lang", "source", "digest", "split", p.alias("p"), q.alias("q")).where("p > q")
     rows = stored(rows.select("lang", "source", "digest", "split", gain(F.col("p"), F.col("q")).alias("value")), "raised")
@@ -260,30 +287,22 @@ def divergence(
     fewer in tests. Values are exact while no total of a language is above 9 * 10^15.
     """
     texts = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for n, c in (("lang", lang_col), ("source", source_col), ("text", text_col))])
-    counts, dictionary = term_counts(texts, bits)
-    groups = stored(texts.select("lang", "source").distinct(), "groups")
-    numbered = groups.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
-    numbered = stored(numbered, "numbered")
-
-    of_term = counts.join(small(numbered), ["lang", "source"]).groupBy("lang", "digest", "split")
-    kept = stored(
-        of_term.agg(F.sum("docs").alias("docs"), F.sum("n").alias("all"), F.collect_list("at").alias("at"), F.collect_list("n").alias("n")).where(
-            F.col("docs") >= least_docs
-        ),
-        "kept_terms",
-    )
-    sizes = kept.select("lang", F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("lang", F.col("x.at").alias("at")).agg(F.sum("x.n").alias("size"))
-    of_lang = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("all").alias("lang_size"))
-    of_lang = stored(of_lang, "langs")
-    totals = numbered.join(sizes, ["lang", "at"], "left").join(small(of_lang), "lang", "left")
-    totals = totals.select("lang", "at", "source", (F.coalesce("size", F.lit(0)) + F.coalesce("terms", F.lit(0))).alias("total"))
-    totals = stored(totals, "totals")
-
-    a, b = (numbered.select("lang", F.col("at").alias(x), F.col("source").alias(f"source_{x}")) for x in "ab")
-    pairs = a.join(b, "lang").where("a <> b").join(source_pairs(kept, totals), ["lang", "a", "b"], "left")
+    numbered, seed = numbered_groups(texts)
+    counts, dictionary = term_counts(texts.select(_gid(seed).alias("gid"), "text"), bits)
+    of_term = counts.join(small(numbered.select("gid", "lid", "at")), "gid").groupBy("lid", "digest", "split")
+    kept = of_term.agg(F.sum("docs").alias("docs"), F.sum("n").alias("all"), F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
+    kept = stored(kept.where(F.col("docs") >= least_docs), "kept_terms")
+
+    sizes = kept.select("lid", F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("lid", F.col("x.at").alias("at")).agg(F.sum("x.n").alias("size"))
+    of_lang = stored(kept.groupBy("lid").agg(F.count(F.lit(1)).alias("terms"), F.sum("all").alias("lang_size")), "langs")
+    totals = numbered.join(sizes, ["lid", "at"], "left").join(small(of_lang), "lid", "left")
+    totals = stored(totals.select("lid", "at", "lang", "source", (F.coalesce("size", F.lit(0)) + F.coalesce("terms", F.lit(0))).alias("total")), "totals")
+
+    a, b = (numbered.select("lid", "lang", F.col("at").alias(x), F.col("source").alias(f"source_{x}")) for x in "ab")
+    pairs = a.join(b.drop("lang"), "lid").where("a <> b").join(source_pairs(kept, totals), ["lid", "a", "b"], "left")
     pairs = pairs.select("lang", F.col("source_a").alias("source"), F.col("source_b").alias("item"), F.coalesce("value", F.lit(0)).cast("long").alias("value"))
     place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.col("item")))
     pairs = pairs.withColumn("rank", place).withColumn("part", F.lit("pair"))
-    terms = raised_terms(kept, dictionary, totals, of_lang.select("lang", (F.col("lang_size") + F.col("terms")).alias("lang_total")), ranks)
+    terms = raised_terms(kept, dictionary, totals, of_lang.select("lid", (F.col("lang_size") + F.col("terms")).alias("lang_total")), ranks)
     found = pairs.unionByName(terms.withColumn("part", F.lit("term")))
     return found.select("lang", "source", "part", "item", "value", F.col("rank").cast("int").alias("rank"))
