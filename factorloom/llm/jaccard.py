@@ -106,18 +106,26 @@ def frequent_tokens(texts: DataFrame, width: int, bound: int, most: int) -> np.n
                 held.append(tokens)
                 size += len(tokens)
                 if size >= _PACK:
-                    yield _two(_packed(np.concatenate(held), bits))
+                    yield counted(held)
                     held, size = [], 0
         if size:
-            yield _two(_packed(np.concatenate(held), bits))
+            yield counted(held)
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        # A token of the pack is sent once, with the number of its documents.
+        tokens, n = np.unique(np.concatenate(held), return_counts=True)
+        r, low, n = zip(*_packed(tokens, bits, n.astype(np.int32)), strict=True)
+        columns = [pa.array(r, pa.int32()), pa.array(low, pa.binary()), pa.array(n, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["range", "low", "n"])
 
     def count(found: pd.DataFrame) -> pd.DataFrame:
-        low, n = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in found["low"]]), return_counts=True)
+        low, of = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in found["low"]]), return_inverse=True)
+        n = np.bincount(of, np.concatenate([np.frombuffer(b, np.int32) for b in found["n"]]), len(low)).astype(np.int64)
         keys = (low[n > bound].astype(np.int64)) | (int(found["range"].iloc[0]) << 32)
         return pd.DataFrame({"key": keys, "n": n[n > bound].astype(np.int64)})
 
     counts = stored(
-        texts.mapInArrow(send, "range int, low binary").groupBy("range").applyInPandas(count, "key long, n long"), "frequent"
+        texts.mapInArrow(send, "range int, low binary, n binary").groupBy("range").applyInPandas(count, "key long, n long"), "frequent"
     )
     while counts.where(F.col("n") > bound).limit(most + 1).count() > most:
         bound *= 2
@@ -125,11 +133,6 @@ def frequent_tokens(texts: DataFrame, width: int, bound: int, most: int) -> np.n
     return np.sort(keys.astype(np.int64))
 
 
-def _two(rows: Iterator[tuple]) -> pa.RecordBatch:
-    r, low = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(low, pa.binary())], names=["range", "low"])
-
-
 def _slices(column: pa.Array, width: int, frequent: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(distinct tokens of a text, which of them are frequent) for texts with words."""
     for _, _, data, offsets in slices(column):
@@ -315,14 +318,21 @@ def open_entries(entries: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def root_pairs(left: DataFrame) -> DataFrame:
-    """Distinct pairs of components that share an entry and whose sizes allow a link."""
+    """Distinct pairs of components that share an entry and whose sizes allow a link.
+
+    Two components that are alike share many entries, and entries of like documents hold much the same
+    components. So entries are merged into blocks by the smallest hash of their components before
+    these are paired: a pair is made once a block, and pairs that share no entry may join them.
+    """
     of_root = left.groupBy("key", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("f").alias("f"))
-    a, b = (of_root.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("root", "low", "high", "f")]) for s in ("a", "b"))
+    least = of_root.groupBy("key").agg(F.min(F.xxhash64("root")).alias("block"))
+    of_root = of_root.join(least, "key").groupBy("block", "root").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("f").alias("f"))
+    a, b = (of_root.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("root", "low", "high", "f")]) for s in ("a", "b"))
     near = (100 * F.col("high_a").cast("long") >= 75 * F.col("low_b").cast("long")) & (
         100 * F.col("high_b").cast("long") >= 75 * F.col("low_a").cast("long")
     )
     common = 7 * F.least("f_a", "f_b").cast("long") >= 3 * (F.col("low_a").cast("long") + F.col("low_b"))
-    met = a.join(b, "key").where((F.col("root_a") < F.col("root_b")) & near & common)
+    met = a.join(b, "block").where((F.col("root_a") < F.col("root_b")) & near & common)
     return stored(met.select("root_a", "root_b").distinct(), "root_pairs")
 
 
@@ -349,7 +359,9 @@ def open_pairs(met: DataFrame, members: DataFrame) -> DataFrame:
 def whole_sets(nodes: DataFrame, texts: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """(node, tokens) of the wanted nodes, from one whole text each, written to the shared folder."""
     named = stored(rows.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "named")
-    chosen = texts.join(small(stored(named.select("doc_id").distinct(), "wanted")), "doc_id", "left_semi")
+    # A set that only rows with a null id hold is looked for among all of these.
+    wanted = small(stored(named.select(F.col("doc_id").alias("wanted")).distinct(), "wanted"))
+    chosen = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
