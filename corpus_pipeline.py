@@ -2,8 +2,8 @@
 
 Each stage takes the documents its predecessor kept, as written and read again, and returns
 documents with their columns; the last one writes token sequences and returns what it reads
-back. Rows with a null doc_id are judged by their text where a stage can, and kept where it
-decides by id. Columns beyond those of documents pass through untouched, whatever their names.
+back. Every stage decides by row: rows with a null doc_id or one that repeats are judged each by
+their own text. Columns beyond those of documents pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,42 +18,51 @@ from factorloom.llm.common import small, stored, table
 VOCABULARY = "word_bpe_49k.json"
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """`docs` without the rows whose doc_id is among `ids` (one column, doc_id)."""
-    gone = small(stored(ids.distinct(), name))
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` written with a number for each row, and the name of that column."""
+    name = "row_number"
+    while name in docs.columns:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered_docs"), name
+
+
+def _without(docs: DataFrame, name: str, gone: DataFrame) -> DataFrame:
+    """Numbered `docs` without the rows whose number is among `gone` (one column), and without the numbers."""
+    gone = small(stored(gone.toDF(name), "gone"))
+    return docs.join(gone, name, "left_anti").drop(name).select(*[F.col(f"`{c}`") for c in docs.columns if c != name])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that could be named; texts that are null or have no letter go.
 
-    The classifiers learn from the labelled rows of `docs` outside the held-out fold. A low
-    score alone does not reject a document.
+    The classifiers learn from the labelled rows of `docs` outside the held-out fold; without
+    any such row only the letters count. A low score alone does not reject a document.
     """
     model = language.learn(docs)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    found = language.identify(rows, model, keep=("row",))
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select("row.*")
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return docs.where(language.language_of(F.col("text"), model) != language.UNKNOWN)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by similar shingle sets: the one with the smallest id.
 
-    Rows that repeat an id and a text count as one document.
+    A null id counts as larger than any; of rows that repeat the smallest id one stays.
     """
-    found = stored(jaccard.jaccard_join(docs), "near")
-    kept = _without(docs, found.where("component_id <> doc_id").select("doc_id"), "near_ids")
-    again = stored(found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "again")
-    if again.isEmpty():
-        return kept
-    repeated = kept.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return _without(kept, again, "again_ids").unionByName(repeated.select(*kept.columns))
+    docs, row = _numbered(docs)
+    found = stored(jaccard.jaccard_join(docs, id_col=row).select(F.col("doc_id").alias("row"), "component_id"), "near")
+    ids = found.join(docs.select(F.col(row).alias("row"), F.col("doc_id").alias("id")), "row")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    stays = first.where("rows > 1").select(F.col("first.row").alias("row"), "component_id")
+    more = found.join(stays.select("component_id"), "component_id", "left_semi")
+    return _without(docs, row, more.join(stays, "row", "left_anti").select("row"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not hold a notable share of benchmark windows."""
-    found = phrase_index.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated").select("doc_id"), "contaminated")
+    docs, row = _numbered(docs)
+    found = phrase_index.decontaminate(docs, table(spark, sf_dir, "benchmark"), id_col=row)
+    return _without(docs, row, found.where("contaminated").select("doc_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

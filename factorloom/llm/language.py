@@ -17,7 +17,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import held_out, stored
@@ -179,6 +179,40 @@ def _bit_weights(sample: DataFrame, model: Model) -> np.ndarray:
     return odds / odds.mean()
 
 
+def answers(text: pa.Array, model: Model | None) -> list[pa.Array]:
+    """lang_pred, score, ambiguous and lang_next of whole texts, read in slices of bounded size."""
+    best, score, after = np.full(len(text), -1), np.zeros(len(text)), np.full(len(text), -1)
+    for start, stop, data, offsets in slices(text, _SLICE):
+        if model is None or not len(data):
+            continue
+        here = slice(start, stop)
+        best[here], score[here], after[here] = model.decode(model.margins(data, offsets))
+        ascii_letter = np.concatenate([[0], np.cumsum((_FOLD[data] != 0x20) & (data < 0x80))])
+        for i in np.flatnonzero(np.diff(ascii_letter[offsets]) == 0):
+            raw = data[offsets[i] : offsets[i + 1]].tobytes().decode()
+            if not any(unicodedata.category(c)[0] == "L" for c in raw):
+                best[start + i], score[start + i], after[start + i] = -1, 0.0, -1
+    names = [*(model.languages if model else []), UNKNOWN]
+    return [
+        pa.array([names[i] for i in best], pa.string()),
+        pa.array(score, pa.float64()),
+        pa.array(score < AMBIGUOUS),
+        pa.array([names[i] for i in after], pa.string()),
+    ]
+
+
+def language_of(text: Column, model: Model) -> Column:
+    """`lang_pred` as a column: only the text goes to Python, all other columns of its row stay where they are."""
+    shared = SparkSession.active().sparkContext.broadcast(model)
+
+    @F.arrow_udf("string")
+    def named(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            yield answers(column, shared.value)[0]
+
+    return named(text.cast("string"))
+
+
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of each input row, lang_pred, score, ambiguous and lang_next.
 
@@ -191,29 +225,9 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            text = batch.column(len(keep))
-            best, score, after = np.full(batch.num_rows, -1), np.zeros(batch.num_rows), np.full(batch.num_rows, -1)
-            for start, stop, data, offsets in slices(text, _SLICE):
-                if model is None or not len(data):
-                    continue
-                here = slice(start, stop)
-                best[here], score[here], after[here] = model.decode(model.margins(data, offsets))
-                ascii_letter = np.concatenate([[0], np.cumsum((_FOLD[data] != 0x20) & (data < 0x80))])
-                for i in np.flatnonzero(np.diff(ascii_letter[offsets]) == 0):
-                    raw = data[offsets[i] : offsets[i + 1]].tobytes().decode()
-                    if not any(unicodedata.category(c)[0] == "L" for c in raw):
-                        best[start + i], score[start + i], after[start + i] = -1, 0.0, -1
-            names = [*(model.languages if model else []), UNKNOWN]
             yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(i) for i in range(len(keep))],
-                    pa.array([names[i] for i in best], pa.string()),
-                    pa.array(score, pa.float64()),
-                    pa.array(score < AMBIGUOUS),
-                    pa.array([names[i] for i in after], pa.string()),
-                ],
+                [*[batch.column(i) for i in range(len(keep))], *answers(batch.column(len(keep)), shared.value)],
                 names=[*keep, "lang_pred", "score", "ambiguous", "lang_next"],
             )
 

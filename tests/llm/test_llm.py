@@ -1,6 +1,7 @@
 """The operators on text against brute force, round trips, held-out labels and odd rows."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -455,3 +456,67 @@ def test_pipeline(spark):
         if name == "mix_sources":
             assert set(after) <= set(before) and max(after.values()) <= 2
     assert docs.count() == sum(after.values())
+
+
+def shown(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_jaccard_null_bridge(spark):
+    # Only a row without an id links 1 and 3: 36 shingles each, 4 of 40 words of either side differ.
+    base = [f"b{i}" for i in range(40)]
+    left, right = ["x1", "x2", "x3", "x4", *base[4:]], [*base[:36], "y1", "y2", "y3", "y4"]
+    rows = [(1, " ".join(left)), (None, " ".join(base)), (3, " ".join(right))]
+    assert 100 * len(shingle_set(rows[0][1]) & shingle_set(rows[2][1])) < 75 * len(shingle_set(rows[0][1]) | shingle_set(rows[2][1]))
+    found = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["component_id"]) for r in found) == [("1", 1), ("3", 1), ("None", 1)]
+
+
+def test_pipeline_odd(spark, odd, empty, tmp_path):
+    """Each stage on nulls, repeated ids and clashing columns decides by row."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    stages = dict(corpus_pipeline.STAGES)
+    letters = lambda r: any(c.isalpha() for c in r["text"] or "")
+    named = stages["language_id"](spark, odd, DATA)
+    assert named.columns == odd.columns
+    assert shown(named) == sorted((tuple(r) for r in odd.collect() if letters(r)), key=str)
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert stages["language_id"](spark, unlabelled, DATA).count() == sum(map(letters, odd.collect()))
+
+    # (7, A) is near 3, (7, B) is not; a null id goes before a smaller copy; of two null copies one stays.
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a + " end", "en", "s", 1), (7, a, "en", "s", 2), (7, b, "en", "s", 3), (None, b + " end", "en", "s", 4), (None, c, "en", "s", 5), (None, c, "en", "s", 6)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("row_number", F.lit("x")).withColumn("row", F.lit("y"))
+    kept = stages["near_duplicates"](spark, docs, DATA)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"].split()[0]) for r in kept.collect()) == [("3", "a0"), ("7", "b0"), ("None", "c0")]
+
+    bench = " ".join(f"q{i}" for i in range(20))
+    spark.createDataFrame([("i1", bench), (None, None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, bench, "en", "s", 1), (1, a, "en", "s", 2), (None, "x " + bench, "en", "s", 3), (None, b, "en", "s", 4), (2, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("row_number", F.lit("x"))
+    clean = stages["decontaminate"](spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and sorted(str(r["n_chars"]) for r in clean.collect()) == ["2", "4", "None"]
+    for name, stage in stages.items():
+        assert stage(spark, empty, DATA).count() == 0, name
+
+
+@given
+def test_pipeline_decontaminate(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    plain = lambda t: word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    grams = defaultdict(set)
+    for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect():
+        ws = plain(r["text"])
+        m = min(13, len(ws))
+        grams[m] |= {tuple(ws[k : k + m]) for k in range(len(ws) - m + 1)} if m else set()
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    want = []
+    for r in docs.collect():
+        ws = plain(r["text"])
+        hit = {k + j for m, found in grams.items() for k in range(len(ws) - m + 1) if tuple(ws[k : k + m]) in found for j in range(m)}
+        if not (hit and 20 * len(hit) >= len(ws)):
+            want.append(r["doc_id"])
+    got = dict(corpus_pipeline.STAGES)["decontaminate"](spark, docs, DATA)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(want) and len(want) < docs.count()
