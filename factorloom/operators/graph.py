@@ -2,7 +2,8 @@
 
 Nodes carry all factor values in one array, so each neighbourhood mean costs one join and
 one aggregation of edges whatever the number of factors. Columns that need the same graph
-(centred values, their permuted copies, residuals) ride along in one longer array.
+(centred values, a permuted copy, residuals) ride along in one longer array, and sums over nodes
+are vector sums. The permutation null goes in blocks of seeds, so a node never holds all permutations.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from factorloom.session import BROADCAST_ROWS, broadcast_if_small, materialize
 PERM_CONTROL = "_perm_control"
 COVARIATE = "_covariate"
 
+#: Permutations that share one pass over the edges.
+SEED_BLOCK = 8
+
 #: Relative energy below which a centred column counts as constant.
 _VANISHED = 1e-12
 
@@ -101,25 +105,39 @@ def _minus(x: Column | str, values: Sequence[float]) -> Column:
     return F.zip_with(as_doubles(x), _literal(values), lambda a, b: a - b)
 
 
+def _products(a: str, b: str) -> Column:
+    return F.zip_with(a, b, lambda p, q: p * q)
+
+
+def _vector_sum(values: Column | str) -> Column:
+    """Sum of arrays, position by position, combined before the shuffle."""
+    return vector_to_array(Summarizer.sum(array_to_vector(values)))
+
+
 def _sums(nodes: DataFrame, edges: DataFrame, v: str, rest: Sequence[float], keep: Sequence[str] = ()) -> DataFrame:
-    """Per array position: v, its neighbour mean w and the excess e, one row per node.
+    """Arrays v, their neighbour means w and the excess e, one row per node.
 
     A node without edges has w = 0 and the excess of `rest` at that position.
     """
     joined = neighbour_mean(nodes.select("id", v, *keep), edges, x=v, out="_w")
     zeros = F.transform(v, lambda a: F.lit(0.0))
     excess = F.transform(F.coalesce("_w", _literal(rest)), lambda a: F.greatest(a, F.lit(0.0)))
-    zipped = F.arrays_zip(F.col(v).alias("v"), F.coalesce("_w", zeros).alias("w"), excess.alias("e"))
-    rows = joined.select(*keep, F.posexplode(zipped).alias("pos", "_z"))
-    return rows.select(*keep, "pos", F.col("_z.v").alias("v"), F.col("_z.w").alias("w"), F.col("_z.e").alias("e"))
-
-
-def _totals(rows: DataFrame) -> DataFrame:
-    v, w, e = F.col("v"), F.col("w"), F.col("e")
-    return rows.groupBy("pos").agg(
-        F.sum(v * w).alias("vw"), F.sum(v * v).alias("vv"), F.sum(e).alias("e1"), F.sum(e * e).alias("e2"),
-        F.count(F.lit(1)).alias("n"),
+    return joined.select(*keep, F.col(v).alias("v"), F.coalesce("_w", zeros).alias("w"), excess.alias("e"))
+
+
+def _totals(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Sums over the nodes of `_sums`, one row per position (and values of `keep`)."""
+    sums = {
+        "vw": _vector_sum(_products("v", "w")),
+        "vv": _vector_sum(_products("v", "v")),
+        "e1": _vector_sum("e"),
+        "e2": _vector_sum(_products("e", "e")),
+    }
+    whole = rows.groupBy(*(keep or [F.lit(0).alias("_all")])).agg(
+        *[s.alias(c) for c, s in sums.items()], F.count(F.lit(1)).alias("n")
     )
+    long = whole.select(*keep, "n", F.posexplode(F.arrays_zip(*sums)).alias("pos", "_z"))
+    return long.select(*keep, "pos", *[F.col(f"_z.{c}").alias(c) for c in sums], "n")
 
 
 def _named(stats: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -156,8 +174,8 @@ def footprint_shares(nodes: DataFrame, edges: DataFrame, names: Sequence[str], l
     """
     means = _column_means(nodes, x)
     centred = nodes.select("id", label, _minus(x, means).alias("_c"))
-    rows = _sums(centred, edges, "_c", [-m for m in means], [label])
-    return _shares(rows, label, names)
+    rows = _totals(_sums(centred, edges, "_c", [-m for m in means], [label]), [label])
+    return _shares(rows.select("pos", label, F.col("e1").alias("e")), label, names)
 
 
 def _shares(rows: DataFrame, label: str, names: Sequence[str]) -> DataFrame:
@@ -265,6 +283,31 @@ def _permuted(nodes: DataFrame, v: str, seeds: Sequence[int], perms: DataFrame)
     return lists.select("id", F.flatten(F.transform("_l", lambda s: s["_o"])).alias("_perms"))
 
 
+def permutation_sums(
+    nodes: DataFrame, edges: DataFrame, v: str, seeds: Sequence[int], perms: DataFrame, *, block: int = SEED_BLOCK
+) -> DataFrame:
+    """(seed, pos, vw): the product of every permuted value with its neighbour mean, summed over the nodes.
+
+    Seeds go in blocks. A block is one join of the edges with the block's permuted arrays and one
+    vector sum, so what a node holds does not depend on the number of permutations; its result
+    has one row per seed of the block and position, and is written before the next block starts.
+    """
+    out = None
+    for start in range(0, len(seeds), block):
+        some = list(seeds[start : start + block])
+        copies = _permuted(nodes, v, some, perms)
+        linked = neighbour_mean(copies, edges, x="_perms", out="_w").where("_w IS NOT NULL")
+        whole = linked.groupBy(F.lit(0).alias("_all")).agg(_vector_sum(_products("_perms", "_w")).alias("_s"))
+        width = F.size("_s") / F.lit(len(some))
+        long = whole.select(width.cast("int").alias("_m"), F.posexplode("_s").alias("_at", "vw"))
+        order = F.array(*[F.lit(s) for s in sorted(some)])
+        sums = materialize(
+            long.select(order[(F.col("_at") / F.col("_m")).cast("int")].alias("seed"), F.pmod("_at", "_m").alias("pos"), "vw")
+        )
+        out = sums if out is None else out.unionByName(sums)
+    return out
+
+
 def moran_permutation_p(
     nodes: DataFrame, edges: DataFrame, names: Sequence[str], *, x: str = "x", n_perm: int = 49, seed: int = 0
 ) -> DataFrame:
@@ -334,18 +377,13 @@ def graph_specificity(
         full = full.withColumn("_r", _minus("_r", _column_means(full, "_r")))
     full = materialize(full)
 
-    # One long array per node: centred | participation null | residuals | permutations.
+    # One long array per node: centred | participation null | residuals.
     wide = full.join(_permuted(full, "_c", [seed + 2], perms).withColumnRenamed("_perms", "_null"), "id")
     parts, rest = ["_c", "_null"], [-v for v in means] * 2
     if covariate:
         parts.append("_r")
         rest += [0.0] * m
-    if n_perm:
-        wide = wide.join(_permuted(full, "_c", moran_seeds, perms), "id")
-        parts.append("_perms")
-        rest += [0.0] * (m * n_perm)
     wide = materialize(wide.select("id", F.concat(*parts).alias("_v"), *dict.fromkeys(annotate)))
-    first_perm = (3 if covariate else 2) * m
 
     spearman = covariate_spearman(full, labels, covariate).drop("factor") if covariate else None
     spearman = materialize(spearman) if covariate else None
@@ -354,20 +392,11 @@ def graph_specificity(
     for k in ks if ks is not None else [None]:
         linked = materialize(neighbour_edges(edges, k=k) if ks is not None else edges.select("src", "dst"))
         rows = _sums(wide, linked, "_v", rest, list(dict.fromkeys(annotate)))
+        totals = _totals(rows, list(dict.fromkeys(annotate)))
         if annotate:
             # The excess per label is needed again, for the first m positions only.
-            rows = materialize(
-                rows.groupBy("pos", *dict.fromkeys(annotate)).agg(
-                    F.sum(F.col("v") * F.col("w")).alias("vw"),
-                    F.sum(F.col("v") * F.col("v")).alias("vv"),
-                    F.sum("e").alias("e1"),
-                    F.sum(F.col("e") * F.col("e")).alias("e2"),
-                    F.count(F.lit(1)).alias("n"),
-                )
-            )
+            rows = materialize(totals)
             totals = rows.groupBy("pos").agg(*[F.sum(c).alias(c) for c in ("vw", "vv", "e1", "e2", "n")])
-        else:
-            totals = _totals(rows)
         totals = materialize(totals)
         base = totals.where(F.col("pos") < m).select(
             "pos",
@@ -383,9 +412,7 @@ def graph_specificity(
             "specificity", F.lit(1.0) - F.try_divide("pr", "pr_null")
         )
         if n_perm:
-            drawn = totals.where(F.col("pos") >= first_perm).select(
-                F.pmod(F.col("pos") - first_perm, F.lit(m)).alias("pos"), F.col("vw").alias("_nv")
-            )
+            drawn = permutation_sums(full, linked, "_c", moran_seeds, perms).select("pos", F.col("vw").alias("_nv"))
             beaten = drawn.join(F.broadcast(base.select("pos", "moran_i", "_vv")), "pos").groupBy("pos").agg(
                 F.count_if(F.try_divide("_nv", "_vv") >= F.col("moran_i")).alias("_b")
             )

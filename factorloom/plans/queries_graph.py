@@ -48,6 +48,39 @@ def footprint_shares(spark, d):
     return rounded(g.footprint_shares(nodes, edges, names, "label"), 8)
 
 
+@query(
+    "footprint_shares_unlabelled",
+    f"""WITH {CW}, lb AS (SELECT id, pos, factor, e, CASE WHEN label % 3 <> 0 THEN label END AS lab FROM cw),
+    al AS (SELECT pos, sum(e) AS t FROM lb GROUP BY pos)
+    SELECT factor, lb.pos, lab AS label, round(sum(e) / any_value(t), 8) AS share
+    FROM lb JOIN al ON al.pos = lb.pos WHERE lab IS NOT NULL GROUP BY factor, lb.pos, lab""",
+)
+def footprint_shares_unlabelled(spark, d):
+    """A third of the labels is taken away; their nodes stay in the denominator."""
+    nodes, names, edges = _linked(spark, d)
+    nodes = nodes.withColumn("label", F.when(F.col("label") % 3 != 0, F.col("label")))
+    return rounded(g.footprint_shares(nodes, edges, names, "label"), 8)
+
+
+@query(
+    "moran_sparse_graph",
+    f"""WITH {NB}, ed AS (SELECT DISTINCT src, dst FROM nb WHERE rank % 4 <> 0 AND src <> dst),
+    mu AS (SELECT pos, avg(x) AS m FROM xs GROUP BY pos),
+    c AS (SELECT id, xs.pos, factor, x - m AS c FROM xs JOIN mu ON mu.pos = xs.pos),
+    w AS (SELECT ed.src AS id, pos, avg(c) AS w FROM ed JOIN c ON c.id = ed.dst GROUP BY ed.src, pos)
+    SELECT factor, c.pos, round(sum(c * coalesce(w, 0)) / nullif(sum(c * c), 0), 8) AS moran_i
+    FROM c LEFT JOIN w ON w.id = c.id AND w.pos = c.pos GROUP BY factor, c.pos""",
+)
+def moran_sparse_graph(spark, d):
+    """Edges from the entries of a sparse matrix: some are zero, some repeat, some lie on the diagonal."""
+    nodes, names, nb = graph(spark, d)
+    entries = nb.select("src", "dst", (F.col("rank") % 4).alias("weight"))
+    entries = entries.unionByName(entries.where("weight = 1")).unionByName(
+        nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1).alias("weight"))
+    )
+    return rounded(g.moran(nodes, g.graph_edges(entries, nodes, weight="weight"), names), 8)
+
+
 @query(
     "footprint_top",
     f"""WITH {_SHARES} SELECT factor, pos, label AS top, round(share, 8) AS top_share
@@ -137,11 +170,11 @@ def _round_specificity(df):
 
 @query(
     "graph_specificity",
-    f"WITH {_MORAN}, {_perm_sql(9)} SELECT {_BASE_COLS}, CAST(NULL AS INTEGER) AS k FROM mi JOIN pv ON pv.pos = mi.pos JOIN pn ON pn.pos = mi.pos",
+    f"WITH {_MORAN}, {_perm_sql(49)} SELECT {_BASE_COLS}, CAST(NULL AS INTEGER) AS k FROM mi JOIN pv ON pv.pos = mi.pos JOIN pn ON pn.pos = mi.pos",
 )
 def graph_specificity(spark, d):
     nodes, names, edges = _linked(spark, d)
-    return _round_specificity(g.graph_specificity(nodes, edges, names, n_perm=9))
+    return _round_specificity(g.graph_specificity(nodes, edges, names))
 
 
 _FULL = (

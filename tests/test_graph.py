@@ -191,3 +191,22 @@ def test_permutations_are_bijections(spark):
         pairs = [(r["id"], r["other"]) for r in got if r["seed"] == seed]
         assert sorted(a for a, _ in pairs) == sorted(b for _, b in pairs) == list(range(50))
         assert sum(a == b for a, b in pairs) < 10
+
+
+def test_permutation_sums_do_not_depend_on_the_blocks(spark):
+    rows = [(i, [float((i * 7) % 5), float(i % 3), 1.0]) for i in range(12)]
+    nodes = spark.createDataFrame(rows, "id long, c array<double>")
+    edges = spark.createDataFrame([(i, (i + s) % 12) for i in range(11) for s in (1, 3)], "src long, dst long")
+    seeds = [11, 5, 8, 9, 30]
+    perms = g.permutations(nodes, "id", seeds).cache()
+    other = {(r["seed"], r["id"]): r["other"] for r in perms.collect()}
+    values = dict(rows)
+    want = {}
+    for s in seeds:
+        moved = {i: values[other[s, i]] for i in values}
+        near = {i: [moved[(i + 1) % 12], moved[(i + 3) % 12]] for i in range(11)}
+        for p in range(3):
+            want[s, p] = sum(moved[i][p] * sum(v[p] for v in near[i]) / 2 for i in near)
+    for block in (1, 2, 5, 8):
+        got = {(r["seed"], r["pos"]): r["vw"] for r in g.permutation_sums(nodes, edges, "c", seeds, perms, block=block).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
