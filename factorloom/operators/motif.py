@@ -21,7 +21,7 @@ from factorloom.operators.ordered import quantiles
 from factorloom.operators.sequence import CHUNK, gc_content
 from factorloom.session import broadcast_if_small, materialize
 
-#: Motifs per piece of a partial product.
+#: Motifs of a slab of a dense product.
 BLOCK = 256
 
 #: Smallest stratum with a defined permutation variance.
@@ -96,10 +96,14 @@ def covariate_strata(
     usable = df
     for c in covariates:
         usable = usable.where(finite(c).isNotNull())
+    # One search over (covariate, value) finds the edges of all covariates.
+    values = F.array(*[F.struct(F.lit(k).alias("c"), F.col(c).cast("double").alias("v")) for k, c in enumerate(covariates)])
+    long = materialize(usable.select(F.explode(values).alias("x")).select("x.c", "x.v"))
+    wanted = {f"e{n}_{i}": i / n for n in sorted(set(bins)) for i in range(n + 1)}
+    found = {r["c"]: r for r in quantiles(long, "v", wanted, ["c"]).collect()}
     code, scale = F.lit(0).cast("bigint"), 1
-    for c, n in zip(covariates, bins, strict=True):
-        found = quantiles(usable, c, {f"e{i}": i / n for i in range(n + 1)}).drop("n").first()
-        edges = sorted(set(found)) if found is not None else []
+    for k, (c, n) in enumerate(zip(covariates, bins, strict=True)):
+        edges = sorted({found[k][f"e{n}_{i}"] for i in range(n + 1)}) if k in found else []
         code = code + _bin(c, edges) * scale
         scale *= n
     coded = usable.withColumn("_code", code)
@@ -154,14 +158,27 @@ def _one_pass(weights: DataFrame, scores: DataFrame, strata: DataFrame) -> DataF
     )
 
 
-def _one_pass_dense(
-    weights: DataFrame, vectors: DataFrame, strata: DataFrame, motifs: Sequence[str]
-) -> DataFrame:
-    """The same sums for scores stored as one array per region, by block products.
+def _places(names: DataFrame) -> DataFrame:
+    """(pos, motif) with positions from 0 on, each once; anything else raises."""
+    require_columns(names, ["pos", "motif"], "motif names")
+    places = materialize(names.select(F.col("pos").cast("int").alias("pos"), F.col("motif").cast("string").alias("motif")))
+    found = places.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("pos").alias("p"), F.count_distinct("motif").alias("m"),
+        F.min("pos").alias("low"), F.max("pos").alias("high"),
+    ).first()
+    if found["n"] and (found["p"] != found["n"] or found["m"] != found["n"] or found["low"] != 0 or found["high"] != found["n"] - 1):
+        raise ValueError(f"motif names must be distinct and take the positions 0 to n - 1, not {found.asDict()}")
+    return places
+
 
-    Each task multiplies batches of rows into one (ids x motifs) matrix and emits it once,
-    in pieces of `BLOCK` motifs, so what is shuffled depends on tasks and not on rows. The
-    pieces are summed as vectors per (id, piece).
+def _one_pass_dense(weights: DataFrame, vectors: DataFrame, strata: DataFrame, places: DataFrame, block: int) -> DataFrame:
+    """The same sums for scores stored as one array per region, by products of slabs.
+
+    Arrays are cut into slabs of `block` motifs. Within a partition rows are sorted by slab, so a
+    task holds the (ids x block) matrix of one slab at a time, multiplies batches of rows into it
+    and emits it once: its memory does not depend on the number of motifs, and what is shuffled
+    not on the number of regions. Partial matrices are summed as vectors per (id, slab); names
+    come from `places` by a join, and arrays of another length than that table raise.
     """
     tagged = weights.select("region", F.concat(F.lit("f"), F.col("factor")).alias("id"), "weight")
     members = strata.select(
@@ -170,53 +187,67 @@ def _one_pass_dense(
     per_region = tagged.unionByName(members).groupBy("region").agg(
         F.collect_list("id").alias("ids"), F.collect_list("weight").alias("ws")
     )
-    width, block = len(motifs), BLOCK
 
     def products(batches):
         import numpy as np
         import pyarrow as pa
 
-        index: dict[str, int] = {}
-        sums = np.zeros((0, 2, width))
-        for batch in batches:
-            s = batch.column("s").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            s = s.reshape(batch.num_rows, width)
-            ids = batch.column("ids").flatten().to_pylist()
-            for name in ids:
-                index.setdefault(name, len(index))
-            row = np.repeat(np.arange(batch.num_rows), batch.column("ids").value_lengths().to_numpy())
-            w = np.zeros((batch.num_rows, len(index)))
-            w[row, [index[name] for name in ids]] = batch.column("ws").flatten().to_numpy(zero_copy_only=False)
-            sums = np.concatenate([sums, np.zeros((len(index) - len(sums), 2, width))])
-            sums[:, 0] += w.T @ s
-            sums[:, 1] += w.T @ (s * s)
-        for name, at in index.items():
-            first = list(range(0, width, block))
+        def emit():
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([name] * len(first), pa.string()),
-                    pa.array(first, pa.int32()),
-                    pa.array([sums[at, 0, i : i + block] for i in first], pa.list_(pa.float64())),
-                    pa.array([sums[at, 1, i : i + block] for i in first], pa.list_(pa.float64())),
+                    pa.array(list(index), pa.string()),
+                    pa.array([slab] * len(index), pa.int32()),
+                    *[pa.array(list(sums[: len(index), k]), pa.list_(pa.float64())) for k in (0, 1)],
                 ],
-                names=["id", "first", "ws", "wss"],
+                names=["id", "slab", "ws", "wss"],
             )
 
-    joined = vectors.join(per_region, "region").select("s", "ids", "ws")
-    partial = joined.mapInArrow(products, "id string, first int, ws array<double>, wss array<double>")
+        slab, index, sums = None, {}, None
+        for batch in batches:
+            slabs = batch.column("slab").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(slabs)) + 1).tolist(), len(slabs)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                piece = batch.slice(a, b - a)
+                lengths = np.unique(piece.column("s").value_lengths().to_numpy())
+                if slab != int(slabs[a]):
+                    if index:
+                        yield from emit()
+                    slab, index, sums = int(slabs[a]), {}, np.zeros((0, 2, int(lengths[0])))
+                if len(lengths) != 1 or lengths[0] != sums.shape[2]:
+                    raise ValueError("score arrays differ in length")
+                s = piece.column("s").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b - a, -1)
+                ids = piece.column("ids").flatten().to_pylist()
+                for name in ids:
+                    index.setdefault(name, len(index))
+                row = np.repeat(np.arange(b - a), piece.column("ids").value_lengths().to_numpy())
+                w = np.zeros((b - a, len(index)))
+                w[row, [index[name] for name in ids]] = piece.column("ws").flatten().to_numpy(zero_copy_only=False)
+                sums = np.concatenate([sums, np.zeros((len(index) - len(sums), *sums.shape[1:]))])
+                sums[:, 0] += w.T @ s
+                sums[:, 1] += w.T @ (s * s)
+        if index:
+            yield from emit()
+
+    joined = vectors.where(F.size("s") > 0).join(per_region, "region")
+    starts = F.sequence(F.lit(0), F.floor((F.size("s") - 1) / block).cast("int"))
+    cut = F.transform(starts, lambda b: F.slice("s", b * block + 1, block))
+    slabs = joined.select("ids", "ws", F.posexplode(cut).alias("slab", "s")).sortWithinPartitions("slab")
+    partial = slabs.select("slab", "s", "ids", "ws").mapInArrow(products, "id string, slab int, ws array<double>, wss array<double>")
 
     def total(column: str):
         return vector_to_array(Summarizer.sum(array_to_vector(column))).alias(column)
 
-    pieces = partial.groupBy("id", "first").agg(total("ws"), total("wss"))
-    names = F.array(*[F.lit(str(m)) for m in motifs])
-    rows = pieces.select("id", "first", F.posexplode(F.arrays_zip("ws", "wss")).alias("at", "v"))
-    return rows.select(
-        F.substring("id", 1, 1).alias("kind"),
-        F.expr("substring(id, 2)").alias("id"),
-        names[F.col("first") + F.col("at")].alias("motif"),
-        F.col("v.ws").alias("ws"),
-        F.col("v.wss").alias("wss"),
+    pieces = partial.groupBy("id", "slab").agg(total("ws"), total("wss"))
+    rows = pieces.select("id", "slab", F.posexplode(F.arrays_zip("ws", "wss")).alias("at", "v"))
+    rows = rows.select("id", (F.col("slab") * block + F.col("at")).alias("pos"), "v.ws", "v.wss").join(places, "pos", "full")
+    rows = materialize(rows)
+    odd = rows.agg(F.count_if(F.col("motif").isNull()).alias("unnamed"), F.count_if(F.col("id").isNull()).alias("unscored"), F.count("id").alias("n")).first()
+    if odd["n"] and (odd["unnamed"] or odd["unscored"]):
+        raise ValueError(f"score arrays and motif names are not aligned: {odd.asDict()}")
+    return rows.where("id IS NOT NULL").select(
+        F.substring("id", 1, 1).alias("kind"), F.expr("substring(id, 2)").alias("id"), "motif", "ws", "wss"
     )
 
 
@@ -226,14 +257,16 @@ def motif_enrichment(
     strata: DataFrame,
     *,
     tf: DataFrame | None = None,
-    motifs: Sequence[str] | None = None,
+    motifs: Sequence[str] | DataFrame | None = None,
+    block: int = BLOCK,
     check_invariance: bool = False,
 ) -> DataFrame:
     """Score every (factor, motif) pair, sorted by factor and falling score.
 
     `weights`: factor, region, weight (missing = 0). `strata`: region, stratum; only its
     regions count. `scores`: region, motif, score (missing = 0), or region and an array
-    ``s`` with the names of its entries in `motifs`. `tf`: motif, tf_annotation.
+    ``s`` with the names of its entries in `motifs`: a sequence, or a table of (pos, motif).
+    Such arrays are worked on in slabs of `block` motifs. `tf`: motif, tf_annotation.
 
     Weights must be finite and non-negative; a factor with no weight left is dropped. The
     output has weighted_score for weights that sum to 1 per factor, nes against the
@@ -243,6 +276,11 @@ def motif_enrichment(
     require_columns(weights, ["factor", "region", "weight"], "weights")
     require_columns(strata, ["region", "stratum"], "strata")
     require_columns(scores, ["region", "s"] if motifs is not None else ["region", "motif", "score"], "scores")
+    if motifs is not None:
+        if not isinstance(motifs, DataFrame):
+            named = [(k, str(m)) for k, m in enumerate(motifs)]
+            motifs = scores.sparkSession.createDataFrame(named, "pos int, motif string")
+        places = _places(motifs)
     strata = materialize(strata.select("region", "stratum"))
     require_unique(strata, ["region"], "a region is in two strata")
     w = weights.select(F.col("factor").cast("string").alias("factor"), "region", F.col("weight").cast("double").alias("weight"))
@@ -271,7 +309,7 @@ def motif_enrichment(
     sums = (
         _one_pass(w, scores.select("region", "motif", F.col("score").cast("double").alias("score")), strata)
         if motifs is None
-        else _one_pass_dense(w, scores.select("region", "s"), strata, motifs)
+        else _one_pass_dense(w, scores.select("region", "s"), strata, places, block)
     )
     sums = broadcast_if_small(sums)
     t = sums.where("kind = 'f'").select(F.col("id").alias("factor"), "motif", F.col("ws").alias("t"))
@@ -294,7 +332,7 @@ def motif_enrichment(
     if motifs is None:
         names = scores.select("motif").distinct()
     else:
-        names = scores.sparkSession.createDataFrame([(str(m),) for m in motifs], "motif string")
+        names = places.select("motif")
     grid = names.withColumn("factor", F.explode(F.array(*[F.lit(f) for f in factors])))
     full = (
         grid.join(F.broadcast(per_factor), "factor")

@@ -8,7 +8,6 @@ from factorloom.functions import interval_name, is_primary_interval, parse_inter
 from factorloom.operators import intervals, motif, risk, sequence
 from factorloom.plans import inputs as i
 from factorloom.plans.registry import query, rounded, table
-from factorloom.sources.scores import score_motifs
 from factorloom.sources.snps import thin_annotation
 
 
@@ -326,20 +325,20 @@ def motif_enrichment(spark, d):
     return _nes_digits(motif.motif_enrichment(weights, i.motif_scores(spark, d), _strata(spark, d), tf=tf))
 
 
-@query("motif_enrichment_dense", f"WITH {_NES.replace('motif AS motif_id', 'CAST(motif AS VARCHAR) AS motif_id')}, CAST(r AS INTEGER) AS n_regions FROM full_")
+_DENSE = i.EMB + """, scores AS (SELECT p_partkey AS region, factor AS motif, v AS score
+  FROM part JOIN emb ON vec_id = p_partkey % (SELECT count(*) FROM embeddings))"""
+
+
+@query("motif_enrichment_dense", f"WITH {_NES.replace(i.SCORES, _DENSE)}, CAST(r AS INTEGER) AS n_regions FROM full_")
 def motif_enrichment_dense(spark, d):
+    """Scores that are stored as arrays, in four slabs."""
+    cells, _ = i.cells(spark, d)
+    regions = table(spark, d, "part").select(F.col("p_partkey").alias("region"), (F.col("p_partkey") % cells.count()).alias("cell_id"))
+    vectors = regions.join(cells, "cell_id").select("region", F.col("x").alias("s"))
+    last = cells.agg(F.max(F.size("x")).alias("m")).select(F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("pos"))
+    names = last.select("pos", F.concat(F.lit("f"), F.col("pos").cast("string")).alias("motif"))
     weights = motif.soft_threshold(i.motif_weights(spark, d))
-    scores = i.motif_scores(spark, d)
-    places = score_motifs(scores)
-    names = [str(r["motif"]) for r in places.orderBy("pos").collect()]
-    entries = F.sort_array(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), F.col("score").cast("float").alias("v"))))
-    per_region = scores.join(F.broadcast(places), "motif").groupBy("region").agg(entries.alias("e"))
-    zeros = "array_repeat(CAST(0 AS FLOAT), {})"
-    gap = zeros.format("v.pos - (CASE WHEN i = 0 THEN -1 ELSE e[i - 1].pos END) - 1")
-    tail = zeros.format(f"{len(names) - 1} - element_at(e, -1).pos")
-    dense = F.expr(f"concat(flatten(transform(e, (v, i) -> concat({gap}, array(v.v)))), {tail})")
-    vectors = per_region.select("region", dense.alias("s"))
-    return _nes_digits(motif.motif_enrichment(weights, vectors, _strata(spark, d), motifs=names))
+    return _nes_digits(motif.motif_enrichment(weights, vectors, _strata(spark, d), motifs=names, block=16))
 
 
 @query(

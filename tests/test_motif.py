@@ -60,6 +60,14 @@ def test_enrichment_matches_the_closed_form_and_dense_equals_sparse(spark, toy):
     dense = spark.createDataFrame([(i, s[i].tolist()) for i in range(200)], "region int, s array<float>")
     again = grid(motif.motif_enrichment(weights, dense, members, motifs=[f"m{m}" for m in range(6)]))
     assert all(again[k]["nes"] == pytest.approx(got[k]["nes"], rel=1e-5) for k in got)
+    # Names as a table, in slabs of several sizes: one that divides the motifs, one that does not.
+    names = spark.createDataFrame([(m, f"m{m}") for m in reversed(range(6))], "pos int, motif string")
+    for block in (2, 4):
+        slabs = grid(motif.motif_enrichment(weights, dense, members, motifs=names, block=block))
+        assert all(slabs[k]["nes"] == pytest.approx(again[k]["nes"], rel=1e-12) for k in again)
+    for wrong in (names.limit(5), names.withColumn("pos", F.col("pos") + 1), names.withColumn("motif", F.lit("m")), names.union(names.selectExpr("6", "'x'"))):
+        with pytest.raises(ValueError, match="position|aligned"):
+            motif.motif_enrichment(weights, dense, members, motifs=wrong)
     meta = motif.enrichment_meta(motif.motif_enrichment(weights, scores, members), members)
     assert meta == {"n_regions": 200, "n_factors": 3, "n_motifs": 6, "n_strata": 5}
 
