@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.guards import require_columns
-from factorloom.operators.ordered import first_k_per_group, positions
+from factorloom.operators.ordered import positions
+from factorloom.session import broadcast_if_small, materialize
 
 SAMPLE_ROWS = 60_000
 SAMPLE_SEED = 42
@@ -16,6 +17,10 @@ SAMPLE_SEED = 42
 #: Above this many rows a sample is cut by position instead of a top-n.
 _TOP_N = 1_000_000
 
+#: Digits of a hash that a round of `first_by_hash` looks at, and rows of a group that may be ranked.
+_DIGITS = 3
+_RANKED = 100_000
+
 
 def hash_order(row: str, seed: int | Column) -> Column:
     """Sort key of a row under a seed: md5 of ``row:seed``."""
@@ -45,7 +50,40 @@ def subsample(
         return positions(df, order, "_at").where(F.col("_at") < n).drop("_at")
     groups = df.agg(F.count_distinct(stratify)).first()[0]
     cap = max(1, n // max(groups, 1))
-    return first_k_per_group(df, [stratify], order, cap, [row])
+    return first_by_hash(df, stratify, row, seed, cap)
+
+
+def first_by_hash(df: DataFrame, group: str, row: str, seed: int, k: int, *, ranked: int = _RANKED) -> DataFrame:
+    """The first `k` rows of every group in hash order.
+
+    Rows of a group are counted by the leading digits of their hash, which finds the digits of
+    its k-th row; rows below are taken by a filter and only those with these digits are ranked.
+    Digits are added until no group has more than `ranked` such rows, so no task sees k rows of a
+    group. `df` is read once a round, a second one only for groups of some hundred million rows, and once for the result.
+    """
+    hashed = df.withColumn("_h", hash_order(row, seed))
+    keys = hashed.select(group, "_h")
+    cuts, width, most = None, 0, ranked + 1
+    while most > ranked and width < 30:
+        here = keys.withColumn("_left", F.lit(k).cast("bigint"))
+        if cuts is not None:
+            here = keys.join(broadcast_if_small(cuts), group).where(F.substring("_h", 1, width) == F.col("_prefix"))
+        width += _DIGITS
+        counts = here.groupBy(group, F.substring("_h", 1, width).alias("_prefix")).agg(
+            F.count(F.lit(1)).alias("_c"), F.first("_left").alias("_left")
+        )
+        order = Window.partitionBy(group).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(order), F.lit(0)))
+        cuts = counts.where("_before < _left AND _before + _c >= _left")
+        cuts = materialize(cuts.select(group, "_prefix", (F.col("_left") - F.col("_before")).alias("_left"), "_c"))
+        most = cuts.agg(F.max("_c")).first()[0] or 0
+    met = hashed.join(broadcast_if_small(cuts.drop("_c")), group, "left")
+    digits = F.substring("_h", 1, width)
+    # A group without a cut has at most k rows.
+    below = met.where(F.col("_prefix").isNull() | (digits < F.col("_prefix")))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("_h", row))
+    edge = met.where(digits == F.col("_prefix")).withColumn("_place", place).where("_place <= _left")
+    return below.unionByName(edge.drop("_place")).select(*df.columns)
 
 
 def balanced_sample(

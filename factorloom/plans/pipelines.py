@@ -37,17 +37,17 @@ def trait_analysis(
     direction: str | None = "pos",
     min_cells: int = 20,
 ) -> TraitAnalysis:
-    """Correct a trait's tests, score the cells for it, summarise by group.
+    """Correct the tests of all traits, score the cells for one of them, summarise by group.
 
-    The tests of a trait are one family, so those of other traits have no part in its q. The
-    corrected results are written once; the scores read them.
+    The tests of a trait are one family. `results` of the answer holds every trait; it is written
+    once, and the scores read their trait from there.
     """
     keys = [by] if isinstance(by, str) else list(by)
-    one = materialize(add_fdr(results.where(results["trait"] == trait), by="trait"))
+    corrected = materialize(add_fdr(results, by="trait"))
     scores = score_from_z(
-        cells, one, x=x, names=names, model=model, trait=trait, cell=cell, direction=direction, keep=keys
+        cells, corrected, x=x, names=names, model=model, trait=trait, cell=cell, direction=direction, keep=keys
     )
-    return TraitAnalysis(one, scores, summarize_by(scores.frame, "cs", by=keys, min_cells=min_cells))
+    return TraitAnalysis(corrected, scores, summarize_by(scores.frame, "cs", by=keys, min_cells=min_cells))
 
 
 def motif_analysis(

@@ -23,12 +23,20 @@ from factorloom.plans.registry import query
 def trait_summary(spark, d):
     rows, names = i.cells(spark, d)
     done = trait_analysis(rows, i.results(spark, d), x="x", names=names, trait="t0", by="label")
-    tested = done.results.agg(F.min("fdr_q").alias("q"), F.count_if(F.col("fdr_q") < 0.6).alias("n")).first()
+    tested = done.results.where("trait = 't0'").agg(F.min("fdr_q").alias("q"), F.count_if(F.col("fdr_q") < 0.6).alias("n")).first()
     return _round_summary(done.summary.frame).withColumns(
         {"least_q": F.lit(round(tested["q"], 8)), "n_significant": F.lit(tested["n"]).cast("bigint")}
     )
 
 
+@query("trait_analysis_results", f"WITH {i.RESQ} SELECT trait, factor, round(p, 8) AS p, round(q, 8) AS fdr_q FROM resq")
+def trait_results(spark, d):
+    """The corrected tests of every trait, as the whole analysis leaves them."""
+    rows, names = i.cells(spark, d)
+    done = trait_analysis(rows, i.results(spark, d), x="x", names=names, trait="t0", by="label")
+    return done.results.select("trait", "factor", *[F.round(c, 8).alias(n) for c, n in (("p_1tailed", "p"), ("fdr_q", "fdr_q"))])
+
+
 _REGION_STRATA = f"""wid AS (SELECT DISTINCT regions.region, CAST(e - s AS DOUBLE) AS a, CAST(s AS DOUBLE) AS b FROM regions),
 {_edges_sql('ea', 'wid', 'a', 3)}, {_edges_sql('eb', 'wid', 'b', 2)},
 code AS (SELECT region, {_bin_sql('ea', 'a')} + 3 * {_bin_sql('eb', 'b')} AS c FROM wid),

@@ -210,3 +210,15 @@ def test_permutation_sums_do_not_depend_on_the_blocks(spark):
     for block in (1, 2, 5, 8):
         got = {(r["seed"], r["pos"]): r["vw"] for r in g.permutation_sums(nodes, edges, "c", seeds, perms, block=block).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("ranked", [100_000, 40, 1])
+def test_first_by_hash_equals_a_full_ranking(spark, ranked):
+    # One group holds most rows, one holds k of them, one fewer.
+    group = F.when(F.col("id") < 30, "few").when(F.col("id") < 80, "even").otherwise("hot")
+    df = spark.range(9000).select("id", group.alias("g"))
+    got = sampling.first_by_hash(df, "g", "id", 7, 50, ranked=ranked)
+    want = {}
+    for r in df.withColumn("h", sampling.hash_order("id", 7)).collect():
+        want.setdefault(r["g"], []).append((r["h"], r["id"]))
+    assert rows(got) == sorted((i, g) for g, found in want.items() for _, i in sorted(found)[:50])
