@@ -44,8 +44,9 @@ def trait_analysis(
     """
     keys = [by] if isinstance(by, str) else list(by)
     corrected = materialize(add_fdr(results, by="trait"))
+    one = corrected.where(corrected["trait"] == trait)
     scores = score_from_z(
-        cells, corrected, x=x, names=names, model=model, trait=trait, cell=cell, direction=direction, keep=keys
+        cells, one, x=x, names=names, model=model, trait=trait, cell=cell, direction=direction, keep=keys
     )
     return TraitAnalysis(corrected, scores, summarize_by(scores.frame, "cs", by=keys, min_cells=min_cells))
 
