@@ -51,13 +51,15 @@ TURNS = 4
 #: the entries about as often, and joins components anew.
 AT_ONCE = 8
 
-_PACK = 1 << 21
+#: Entries that a task packs at once, and bytes of text that it turns into tokens at once.
+_PACK = 1 << 19
+_SLICE = 1 << 20
 _ONE = np.uint64(1)
 
 
 def set_rows(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, distinct shingles in order)."""
-    for row, found in shingle_rows(column, width):
+    for row, found in shingle_rows(column, width, _SLICE):
         yield row, np.unique(found)
 
 
@@ -135,7 +137,7 @@ def frequent_tokens(texts: DataFrame, width: int, bound: int, most: int) -> np.n
 
 def _slices(column: pa.Array, width: int, frequent: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(distinct tokens of a text, which of them are frequent) for texts with words."""
-    for _, _, data, offsets in slices(column):
+    for _, _, data, offsets in slices(column, _SLICE):
         data, starts, ends, rows = words(data, offsets, NOT_SPACE)
         values, at = shingles(word_hashes(data, starts, ends), rows, width)
         keys = (values >> np.uint64(32 - bits)).astype(np.int64)
@@ -186,7 +188,7 @@ def rare_pairs(texts: DataFrame, width: int, frequent: np.ndarray) -> DataFrame:
                 prefix = misses(n) + depth(n)
                 if len(rare):
                     # The sign says that the prefix takes all rare tokens.
-                    held.append((rare[:prefix], node_of(tokens), -n if len(rare) < prefix else n))
+                    held.append((rare[:prefix].copy(), node_of(tokens), -n if len(rare) < prefix else n))
                     size += min(len(rare), prefix)
                 if size >= _PACK:
                     yield pack(held)

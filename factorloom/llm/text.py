@@ -121,9 +121,9 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarr
     return mix(values), at
 
 
-def shingle_rows(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
+def shingle_rows(column: pa.Array, width: int, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray]]:
     """(row of the column, its shingles in order), words parted by white space, A-Z lower-cased."""
-    for start, _, data, offsets in slices(column):
+    for start, _, data, offsets in slices(column, limit):
         data, starts, ends, rows = words(data, offsets, NOT_SPACE)
         values, at = shingles(word_hashes(data, starts, ends), rows, width)
         for i in range(len(offsets) - 1):
