@@ -4,6 +4,7 @@ Each stage takes the documents its predecessor kept, as written and read again,
 documents with their columns; the last one writes token sequences and returns what it reads
 back. Every stage decides by row: rows with a null doc_id or one that repeats are judged each by
 their own text. Columns beyond those of documents pass through untouched, whatever their names.
+Texts go to Python in Arrow batches of bounded bytes, a setting of the session.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm import jaccard, language, mixing, phrase_index, sequences
-from factorloom.llm.common import small, stored, table
+from factorloom.llm.common import bounded_batches, small, stored, table
 
 #: Vocabulary of the last stage.
 VOCABULARY = "word_bpe_49k.json"
@@ -38,6 +39,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The classifiers learn from the labelled rows of `docs` outside the held-out fold; without
     any such row only the letters count. A low score alone does not reject a document.
     """
+    bounded_batches(spark)
     model = language.learn(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -49,6 +51,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A null id counts as larger than any; of rows that repeat the smallest id one stays.
     """
+    bounded_batches(spark)
     docs, row = _numbered(docs)
     found = stored(jaccard.jaccard_join(docs, id_col=row).select(F.col("doc_id").alias("row"), "component_id"), "near")
     ids = found.join(docs.select(F.col(row).alias("row"), F.col("doc_id").alias("id")), "row")
@@ -60,6 +63,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not hold a notable share of benchmark windows."""
+    bounded_batches(spark)
     docs, row = _numbered(docs)
     found = phrase_index.decontaminate(docs, table(spark, sf_dir, "benchmark"), id_col=row)
     return _without(docs, row, found.where("contaminated").select("doc_id"))
@@ -74,6 +78,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token sequences of all documents, and one row per document read back from them."""
     import public_tokenizers
 
+    bounded_batches(spark)
     return sequences.tokenized(docs, public_tokenizers.path(VOCABULARY))
 
 

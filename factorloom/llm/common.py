@@ -7,12 +7,28 @@ from pyspark.sql import functions as F
 
 from factorloom.session import scratch_path, shuffle_partitions
 
-__all__ = ["held_out", "scratch_path", "shuffle_partitions", "small", "stored", "table"]
+__all__ = ["bounded_batches", "held_out", "scratch_path", "shuffle_partitions", "small", "stored", "table"]
 
 #: Most rows a table may have to be broadcast; beyond it the join is shuffled.
 SMALL_ROWS = 100_000
 
 
+#: Most bytes of an Arrow batch that whole texts travel to Python in (a longer single text is a batch of its own).
+BATCH_BYTES = 4 << 20
+
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end at BATCH_BYTES in this session, unless it names a bound of its own.
+
+    The executor holds a batch outside its heap, at up to twice its size while it grows, and the
+    Python worker holds it once more; Spark's default is 64 MB.
+    """
+    if _BATCH_CONF not in spark.conf.getAll:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
