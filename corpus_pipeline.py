@@ -9,6 +9,7 @@ Texts go to Python in Arrow batches of bounded bytes, a setting of the session.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,15 +21,24 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """`docs` written with a number for each row, and the name of that column."""
+    """`docs` with a column that tells its rows apart, and the name of that column.
+
+    A row read from files is named by a hash of its file and its place there, the same in every
+    pass and after lost tasks. Rows from elsewhere are numbered and written once.
+    """
     name = "row_number"
     while name in docs.columns:
         name += "_"
-    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered_docs"), name
+    try:
+        read = docs.metadataColumn("_metadata")
+        place = F.struct(F.xxhash64(read["file_path"]).alias("file"), read["row_index"].alias("place"))
+        return docs.withColumn(name, place), name
+    except AnalysisException:
+        return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered_docs"), name
 
 
 def _without(docs: DataFrame, name: str, gone: DataFrame) -> DataFrame:
-    """Numbered `docs` without the rows whose number is among `gone` (one column), and without the numbers."""
+    """`docs` of `_numbered` without the rows that `gone` (one column) names, and without that column."""
     gone = small(stored(gone.toDF(name), "gone"))
     return docs.join(gone, name, "left_anti").drop(name).select(*[F.col(f"`{c}`") for c in docs.columns if c != name])
 

@@ -520,3 +520,17 @@ def test_pipeline_decontaminate(spark):
             want.append(r["doc_id"])
     got = dict(corpus_pipeline.STAGES)["decontaminate"](spark, docs, DATA)
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(want) and len(want) < docs.count()
+
+
+def test_rows_told_apart(spark, tmp_path):
+    """Rows of files are named by their place, alike in every pass, also with a column `_metadata`; others are numbered."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, "a"), (1, "a"), (None, None), (2, "")]
+    for own in ("row_number", "_metadata"):
+        made = spark.createDataFrame(rows, f"`{own}` long, text string").repartition(3)
+        made.write.parquet(str(tmp_path / own))
+        for docs in (made, spark.read.parquet(str(tmp_path / own))):
+            found, name = corpus_pipeline._numbered(docs)
+            first, again = ({r[name]: (r[own], r["text"]) for r in found.select(*c).collect()} for c in ([name, own, "text"], [own, "text", name]))
+            assert len(first) == 4 and first == again
+            assert found.drop(name).columns == docs.columns
