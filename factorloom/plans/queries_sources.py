@@ -11,6 +11,7 @@ from factorloom.plans.queries_genome import _WINDOWS, _windows
 from factorloom.plans.queries_stats import _RATIO, _ratio_scores
 from factorloom.plans.registry import query, rounded, table
 from factorloom.session import scratch_path
+from factorloom.sources import manifest
 from factorloom.sources import results as res
 from factorloom.sources import scores as scs
 from factorloom.sources import sequences, snps
@@ -99,9 +100,11 @@ def write_thin_annotation(spark, d):
 )
 def pending_work(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("annot"), F.col("l_linestatus").alias("chrom"), "l_quantity")
-    path = scratch_path(spark, "done")
-    rows.where("annot = 'R'").write.partitionBy("annot", "chrom").parquet(path)
-    return res.pending_work(rows.select("annot", "chrom").distinct(), path, ["annot", "chrom"])
+    keys, path = ["annot", "chrom"], scratch_path(spark, "done")
+    manifest.write_work(rows, rows.where("annot = 'R'"), path, keys)
+    # Files of a run that was lost before it committed.
+    rows.where("annot = 'N' AND l_quantity < 10").write.mode("append").partitionBy(*keys).parquet(path)
+    return manifest.pending_work(rows.select(*keys).distinct(), path, keys)
 
 
 @query(

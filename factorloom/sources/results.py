@@ -11,17 +11,13 @@ from pyspark.sql import functions as F
 from factorloom.guards import require_none
 from factorloom.operators.testing import Z_COLUMN, add_fdr
 from factorloom.session import materialize
+from factorloom.sources.manifest import file_path
 
 #: How a path names its trait and annotation.
 FILE_LAYOUT = r"([^/]+)/([^/]+)\.results$"
 PARTITION_LAYOUT = r"trait=([^/]+)/annot=([^/]+)/[^/]+$"
 
 
-def _path() -> Column:
-    """File path with percent escapes undone."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-
-
 def results_files(
     spark: SparkSession, results_dir: str, *, pattern: str = "*.results", layout: str = r"([^/]+)\.results$"
 ) -> DataFrame:
@@ -35,7 +31,7 @@ def results_files(
         files = found.load(results_dir)
     except AnalysisException as error:
         raise FileNotFoundError(f"no results directory for annotations: {results_dir}") from error
-    return files.select(F.regexp_extract(_path(), layout, 1).alias("annot"), F.col("path")).orderBy("annot")
+    return files.select(F.regexp_extract(file_path(), layout, 1).alias("annot"), F.col("path")).orderBy("annot")
 
 
 def read_results(
@@ -75,7 +71,7 @@ def read_results(
     except AnalysisException as error:
         raise FileNotFoundError(f"no results for {traits} under {root}") from error
 
-    path = _path()
+    path = file_path()
     lines = F.filter(F.split("value", "\r?\n"), lambda v: F.length(v) > 0)
     files = raw.select(
         path.alias("_path"),
@@ -146,16 +142,3 @@ def read_arm(spark: SparkSession, path: str, arm: str) -> dict[str, DataFrame]:
         name: spark.read.parquet(f"{path}/{name}").where(F.col("arm") == arm).drop("arm")
         for name in ("results", "factor_selection")
     }
-
-
-def pending_work(work: DataFrame, done_path: str, keys: Sequence[str]) -> DataFrame:
-    """Rows of a work list whose output partition ``key=value/...`` does not exist yet."""
-    spark = work.sparkSession
-    try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(done_path)
-    except AnalysisException:
-        return work
-    done = files.select(*[F.regexp_extract(_path(), f"(?:^|/){k}=([^/]+)", 1).alias(k) for k in keys]).distinct()
-    as_text = work.select("*", *[F.col(k).cast("string").alias(f"_{k}") for k in keys])
-    done = done.withColumnsRenamed({k: f"_{k}" for k in keys})
-    return as_text.join(done, [f"_{k}" for k in keys], "left_anti").select(*work.columns)

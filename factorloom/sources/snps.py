@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorloom.guards import require_columns, require_rows
 from factorloom.operators.intervals import assign_points
 from factorloom.session import broadcast_if_small, materialize
+from factorloom.sources.manifest import commit
 
 # Fixed value: columns of the six-column variant table, in file order.
 SNP_COLUMNS = ("chrom", "snp", "cm", "bp", "a1", "a2")
@@ -95,11 +96,14 @@ def write_thin_annotation(
     """Write annotations as gzipped tab-separated files per annotation and chromosome.
 
     Rows keep their order: inside a file, and over the files of a folder in name order,
-    since a large chromosome spans several range partitions.
+    since a large chromosome spans several range partitions. The partitions are committed, see
+    `manifest`.
     """
     ordered = annotation.repartitionByRange(annot, chrom, row).sortWithinPartitions(annot, chrom, row)
+    seen = Observation()
     (
         ordered.select(annot, chrom, "value")
+        .observe(seen, F.count(F.lit(1)).alias("n"))
         .write.mode("overwrite")
         .partitionBy(annot, chrom)
         .option("sep", "\t")
@@ -107,6 +111,8 @@ def write_thin_annotation(
         .option("compression", "gzip")
         .csv(path)
     )
+    keys = [annot, chrom]
+    commit(annotation.sparkSession, path, keys, seen.get.get("n") or 0, fmt="csv", sep="\t", header="true")
 
 
 def read_thin_annotation(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from factorloom.operators import qc
 from factorloom.operators.sequence import gc_content
+from factorloom.sources import manifest
 from factorloom.sources import results as res
 from factorloom.sources import scores as scs
 from factorloom.sources import sequences, snps
@@ -94,8 +95,39 @@ def test_thin_annotation_files_hold_rows_in_order(spark, tmp_path):
     assert got == [float((i * 37) % 101) for i in range(500)]
     assert snps.read_thin_annotation(spark, str(out)).where("chrom = '2'").count() == 10
     work = spark.createDataFrame([("k1", "1"), ("k1", "3")], "annot string, chrom string")
-    assert rows(res.pending_work(work, str(out), ["annot", "chrom"])) == [("k1", "3")]
-    assert res.pending_work(work, str(tmp_path / "none"), ["annot", "chrom"]).count() == 2
+    assert rows(manifest.pending_work(work, str(out), ["annot", "chrom"])) == [("k1", "3")]
+    assert manifest.pending_work(work, str(tmp_path / "none"), ["annot", "chrom"]).count() == 2
+
+
+def test_only_committed_partitions_are_finished(spark, tmp_path):
+    keys, out = ["annot", "chrom"], tmp_path / "store"
+    data = [("k/1", 1, 1.0), ("k/1", 1, 2.0), ("k/1", 2, 3.0), (None, 2, 4.0), ("k 3", 1, 5.0)]
+    df = spark.createDataFrame(data, "annot string, chrom int, v double")
+    work = spark.createDataFrame([("k/1", 1), ("k/1", 2), (None, 2), ("k 3", 1), ("none", 9)], "annot string, chrom int")
+
+    def pending(**options):
+        return set(map(tuple, manifest.pending_work(work, str(out), keys, **options).collect()))
+
+    # A run that was lost while it wrote: part of one partition is there, nothing is committed.
+    df.where("v = 1").write.partitionBy(*keys).parquet(str(out))
+    assert len(pending()) == 5 and len(pending(committed=False)) == 4
+    # Two partitions are finished, one of them empty; rows outside the work list are not written.
+    first = work.where("annot = 'none' OR (annot = 'k/1' AND chrom = 1)")
+    manifest.write_work(df, first, str(out), keys)
+    assert pending() == {("k/1", 2), (None, 2), ("k 3", 1)}
+    assert spark.read.parquet(str(out)).count() == 2
+    manifest.write_work(df, manifest.pending_work(work, str(out), keys), str(out), keys)
+    assert pending() == set() and spark.read.parquet(str(out)).count() == 5
+    manifest.write_work(df, work.limit(0), str(out), keys)
+    assert pending() == set()
+    # A file that went away, or one more that nobody committed, opens its partition again.
+    df.where("annot = 'k 3'").write.mode("append").partitionBy(*keys).parquet(str(out))
+    next((out / "annot=__HIVE_DEFAULT_PARTITION__" / "chrom=2").glob("*.parquet")).unlink()
+    assert pending() == {(None, 2), ("k 3", 1)}
+    with pytest.raises(RuntimeError, match="nothing is committed"):
+        manifest.write_work(df.where("annot <> 'k 3'"), work.where("annot = 'k 3'"), str(out), keys)
+    with pytest.raises(KeyError, match="zz"):
+        manifest.write_work(df, work, str(out), ["zz"])
 
 
 def test_cell_scores_file(spark, tmp_path):
