@@ -22,7 +22,7 @@ def with_factor_column(df: DataFrame) -> DataFrame:
 
 def _suffixes(naming: str) -> tuple[str, str]:
     if naming not in ("suffix", "signed"):
-        raise ValueError(f"naming must be 'suffix' or 'signed', got {naming!r}")
+        raise ValueError(f"unknown naming {naming!r}; there are suffix and signed")
     return ("_pos", "_neg") if naming == "suffix" else ("+", "-")
 
 

@@ -164,7 +164,7 @@ def assign_points(
     """
     require_columns(points, [row, point_chrom, bp], "points")
     require_columns(intervals, [name, chrom, start, end], "intervals")
-    require_rows(intervals, "no peaks to assign against")
+    require_rows(intervals, "points need at least one interval; the table holds none")
     kept = intervals.select(
         F.col(name).alias("_name"),
         bare_chrom(chrom).alias("_c"),

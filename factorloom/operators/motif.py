@@ -88,7 +88,7 @@ def covariate_strata(
     """
     covariates = list(covariates)
     if not covariates:
-        raise ValueError("at least one covariate is required")
+        raise ValueError("strata need a covariate, none was named")
     bins = [n_bins] * len(covariates) if isinstance(n_bins, int) else list(n_bins)
     if len(bins) != len(covariates):
         raise ValueError("n_bins must be one number or one per covariate")

@@ -28,6 +28,8 @@ from factorloom.session import BROADCAST_ROWS, broadcast_if_small, materialize,
 
 SEG = "_seg"
 KEY = "_k"
+#: Most rows of a group that `first_k_per_group` lets one task rank.
+RANKED = 1_000_000
 
 #: Most split points fetched to the driver.
 MAX_SEGMENTS = 20_000
@@ -323,18 +325,20 @@ def first_k_per_group(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    k: Column | int,
+    k: int,
     spread: Sequence[str],
     buckets: int | None = None,
 ) -> DataFrame:
-    """The first `k` rows of each group in `order`, in two rounds.
+    """The first `k` rows of each group in `order`.
 
-    Rows are first ranked inside (group, hash bucket of `spread`); at most k per bucket
-    survive, so the second round sees at most k x buckets rows of any group. There are as many
-    buckets as shuffle partitions unless given.
+    Rows are first ranked inside (group, hash bucket of `spread`), of which there are as many as
+    shuffle partitions unless given; the second round then sees at most k x buckets rows of a
+    group. Where that is more than `RANKED` rows, places come from one range shuffle of all rows
+    (`positions`), so no task sees k rows of a group.
     """
     buckets = buckets or shuffle_partitions(df.sparkSession)
-    k = F.lit(k) if isinstance(k, int) else k
+    if k * buckets > RANKED:
+        return positions(df, order, "_place", keys).where(F.col("_place") < k).drop("_place")
     bucket = F.pmod(F.xxhash64(*spread), F.lit(buckets))
     rows = keyed(df, keys).withColumn("_b", bucket)
     rank = F.row_number().over(Window.partitionBy(KEY, "_b").orderBy(*order))

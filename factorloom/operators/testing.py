@@ -126,7 +126,7 @@ def bh_boundary(
 ) -> DataFrame:
     """Least extreme z still passing at `alpha` per family; NULL where nothing passes."""
     if tail not in ("upper", "lower"):
-        raise ValueError(f"tail must be 'upper' or 'lower', got {tail!r}")
+        raise ValueError(f"unknown tail {tail!r}; there are upper and lower")
     keys = _keys(by)
     require_columns(df, [q, z, *keys])
     passing = F.when(finite(_bt(q)) < F.lit(alpha), finite(_bt(z)))

@@ -71,7 +71,7 @@ def trait_concordance(
     """
     traits = list(traits)
     if len(traits) != 2:
-        raise ValueError(f"need exactly two traits, got {traits}")
+        raise ValueError(f"a comparison takes two traits, not {traits}")
     results = with_factor_column(results)
     require_columns(results, ["factor", "trait", z], "results")
     keys = ["factor", "direction"] if "direction" in results.columns else ["factor"]
@@ -85,7 +85,7 @@ def trait_concordance(
         F.avg(F.when(F.col("trait") == traits[1], v)).alias("z_right"),
     )
     wide = wide.where("z_left is not null and z_right is not null")
-    require_rows(wide, "no factor has a z-score for both traits")
+    require_rows(wide, "the two traits have no factor with a z-score in common")
     return wide.select(
         *keys,
         _label(wide, titles).alias("label"),

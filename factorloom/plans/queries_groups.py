@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factorloom.operators import boxes, factors, groups, matrix, qc, sampling
+from factorloom.operators import boxes, factors, groups, matrix, qc, sampling, sketches
 from factorloom.operators.factors import loadings_long
 from factorloom.plans.inputs import EMB, cells
 from factorloom.plans.registry import query, rounded, table
+from factorloom.session import materialize, scratch_path
 
 _Z95 = "1.959963984540054::DOUBLE"
 _SUMMARY = """count(*) AS n, count({v}) AS n_scored, round(avg({v}), 4) AS mean, round(quantile_cont({v}, 0.5), 4) AS median,
@@ -296,6 +297,35 @@ def robust_limits(spark, d):
     return rounded(boxes.robust_limits(table(spark, d, "lineitem"), "l_extendedprice"), 4)
 
 
+@query(
+    "quantile_sketches",
+    """SELECT l_returnflag, count(*) AS n, min(l_extendedprice) AS lowest, max(l_extendedprice) AS highest,
+      TRUE AS q1_within, TRUE AS q50_within, TRUE AS q995_within FROM lineitem GROUP BY 1""",
+)
+def quantile_sketches(spark, d):
+    """Sketches per (flag, status), merged per flag; the ranks of three quantiles are counted.
+
+    `rank_error` is kept with 99 % confidence; twice that is asked for, about five deviations.
+    """
+    rows, flag, points = table(spark, d, "lineitem"), "l_returnflag", {"q1": 0.01, "q50": 0.5, "q995": 0.995}
+    stored = scratch_path(spark, "sketches")
+    sketches.value_sketches(rows, "l_extendedprice", [flag, "l_linestatus"]).write.parquet(stored)
+    merged = sketches.merge_sketches(spark.read.parquet(stored), [flag])
+    # One row a flag.
+    found = sketches.sketch_quantiles(merged, points | {"lowest": 0.0, "highest": 1.0})
+    ranked = rows.select(flag, "l_extendedprice").join(F.broadcast(materialize(found)), flag)
+    slack = 2 * sketches.rank_error()
+    price = F.col("l_extendedprice")
+    checks = [
+        (
+            (F.count_if(price < F.col(c)) <= (p + slack) * F.max("n")) & (F.count_if(price <= F.col(c)) >= (p - slack) * F.max("n"))
+        ).alias(f"{c}_within")
+        for c, p in points.items()
+    ]
+    ends = [F.max(c).alias(c) for c in ("n", "lowest", "highest")]
+    return ranked.groupBy(flag).agg(*ends, *checks)
+
+
 @query(
     "robust_limits_symmetric",
     """WITH x AS (SELECT l_discount - 0.03 AS v FROM lineitem WHERE l_tax > 0.0), q AS (SELECT quantile_cont(v, 0.05) AS a, quantile_cont(v, 0.9) AS b FROM x WHERE v <> 0)

@@ -146,7 +146,7 @@ def test_strata_edge_cases(spark):
     df = spark.createDataFrame([(i, 1.0, float(i)) for i in range(6)], "region int, a double, b double")
     assert motif.covariate_strata(df, ["a"], 4).select("stratum").distinct().count() == 1
     assert motif.covariate_strata(df, ["b"], 5).count() == 2
-    with pytest.raises(ValueError, match="at least one"):
+    with pytest.raises(ValueError, match="none was named"):
         motif.covariate_strata(df, [], 3)
     with pytest.raises(ValueError, match="per covariate"):
         motif.covariate_strata(df, ["a", "b"], [3])

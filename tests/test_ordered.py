@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from factorloom.operators import boxes, groups, sketches
 from factorloom.operators import ordered as o
 from tests.conftest import NAN, close
 
@@ -124,7 +125,9 @@ def test_running_carries_across_segments(skewed):
             top = v if top is None else max(top, v)
 
 
-def test_first_k_per_group(skewed):
+@pytest.mark.parametrize("ranked", [o.RANKED, 10])
+def test_first_k_per_group(skewed, monkeypatch, ranked):
+    monkeypatch.setattr(o, "RANKED", ranked)
     data, df = skewed
     got = o.first_k_per_group(df, ["k"], [df.id.desc()], 7, ["id"])
     found = {}
@@ -132,3 +135,35 @@ def test_first_k_per_group(skewed):
         found.setdefault(r["k"], []).append(r["id"])
     for k, items in by_key(data).items():
         assert sorted(found[k], reverse=True) == sorted((i for i, _ in items), reverse=True)[:7]
+
+
+def test_sketches_keep_their_rank_error_and_merge(skewed):
+    data, df = skewed
+    points = {"low": 0.0, "mid": 0.5, "q90": 0.9, "high": 1.0}
+    stored = sketches.value_sketches(df.withColumn("part", df.id % 5), "v", ["k", "part"], k=200)
+    found = sketches.sketch_quantiles(sketches.merge_sketches(stored, ["k"], k=200), points)
+    groups = by_key(data)
+    got = {r["k"]: r for r in found.collect()}
+    assert set(got) == set(groups)
+    for k, items in groups.items():
+        v = np.sort([x for _, x in items if not np.isnan(x)])
+        assert got[k]["n"] == len(v) and got[k]["low"] == v[0] and got[k]["high"] == v[-1]
+        slack = 2 * sketches.rank_error(200) * len(v)
+        for name in ("mid", "q90"):
+            below, upto = np.searchsorted(v, got[k][name], "left"), np.searchsorted(v, got[k][name], "right")
+            assert below - slack <= points[name] * len(v) <= upto + slack
+    assert sketches.approximate_quantiles(df.where("v is null"), "v", points).count() == 0
+
+
+def test_summaries_boxes_and_limits_take_a_sketch(skewed):
+    _, df = skewed
+    exact = groups.summarize_by(df, "v", by="k", quantile_points=(90,)).frame
+    close_by = groups.summarize_by(df, "v", by="k", quantile_points=(90,), sketch_k=4000).frame
+    want, got = ({r["k"]: r for r in f.collect()} for f in (exact, close_by))
+    assert exact.columns == close_by.columns and set(want) == set(got)
+    assert all(got[k]["mean"] == pytest.approx(want[k]["mean"]) and abs(got[k]["q90"] - want[k]["q90"]) < 1.5 for k in want)
+    box = {r["label"]: r for r in boxes.box_stats(df, "v", "k", whis="minmax", sketch_k=4000).collect()}
+    plain = {r["label"]: r for r in boxes.box_stats(df, "v", "k", whis="minmax").collect()}
+    assert all(box[k]["whislo"] == plain[k]["whislo"] and abs(box[k]["q3"] - plain[k]["q3"]) < 1.5 for k in plain)
+    (a, b), (c, e) = boxes.robust_limits(df, "v", sketch_k=4000).first(), boxes.robust_limits(df, "v").first()
+    assert abs(a - c) < 2 and abs(b - e) < 3 and a < b
