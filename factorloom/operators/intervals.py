@@ -10,13 +10,15 @@ level, bin), and no interval is copied more than twice per level.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from factorloom.functions import bare_chrom
 from factorloom.guards import require_columns, require_none, require_rows, require_unique
 from factorloom.operators.ordered import by_order, keyed, running
+from factorloom.session import materialize
 
 #: log2 of the bin length of each level; the last one takes any length.
 LEVELS = (9, 12, 15, 18, 21, 24, 27, 30, 33, 40, 62)
@@ -237,23 +239,60 @@ def restrict_to_reference(
     return table.join(reference.select(key, order), key)
 
 
-def region_map(
+@dataclass(frozen=True)
+class RegionMap:
+    """Pairs (region, feature, overlap) and how much of both tables they reach."""
+
+    pairs: DataFrame
+    coverage: dict[str, int]
+
+
+def _named_once(df: DataFrame, name: str, message: str) -> int:
+    """Number of rows; a repeated name raises. Both come from one aggregation by name."""
+    seen = Observation()
+    names = df.groupBy(name).agg(F.count(F.lit(1)).alias("_c")).observe(
+        seen, F.sum("_c").alias("rows"), F.max("_c").alias("most")
+    )
+    names.write.format("noop").mode("overwrite").save()
+    if (seen.get.get("most") or 0) > 1:
+        require_unique(df, [name], message)
+    return seen.get.get("rows") or 0
+
+
+def map_regions(
     features: DataFrame,
     regions: DataFrame,
     *,
     feature: str = "peak",
     region: str = "region",
     fraction: float = 0.4,
-) -> DataFrame:
-    """Pairs (region, feature) whose overlap exceeds `fraction` of either one.
+) -> RegionMap:
+    """`region_map` with its coverage: matched and total counts of regions and features.
 
-    Both tables have chrom, start, end. Repeated names are refused; no overlap at all, or
-    none above the fraction, raises.
+    Totals are seen while names are checked. The pairs are written once; matched names are
+    counted in what was written, so neither table nor the join is read again.
     """
     require_columns(features, [feature, "chrom", "start", "end"], "features")
     require_columns(regions, [region, "chrom", "start", "end"], "regions")
-    require_unique(features, [feature], "feature names repeat")
-    require_unique(regions, [region], "region names repeat")
+    totals = {
+        "features": _named_once(features, feature, "feature names repeat"),
+        "regions": _named_once(regions, region, "region names repeat"),
+    }
+    pairs = materialize(_close_pairs(features, regions, feature, region, fraction))
+    hit = pairs.agg(F.count_distinct(region).alias("regions"), F.count_distinct(feature).alias("features")).first()
+    if not hit["regions"]:
+        raise ValueError(_NO_OVERLAP)
+    coverage = {f"{side}{kind}": n for side in ("regions", "features") for kind, n in (("_matched", hit[side]), ("", totals[side]))}
+    return RegionMap(pairs, coverage)
+
+
+_NO_OVERLAP = (
+    "no overlap between the two interval sets; check that they share a genome build and "
+    "chromosome naming"
+)
+
+
+def _close_pairs(features: DataFrame, regions: DataFrame, feature: str, region: str, fraction: float) -> DataFrame:
     pairs = overlap_pairs(
         features.select(feature, "chrom", "start", "end"), regions.select(region, "chrom", "start", "end")
     )
@@ -261,24 +300,26 @@ def region_map(
     close = (F.col("overlap") / (F.col("end") - F.col("start")) > share) | (
         F.col("overlap") / (F.col("end_2") - F.col("start_2")) > share
     )
-    kept = pairs.where(close).select(F.col(f"{region}_2").alias(region), feature, "overlap")
-    require_rows(
-        kept,
-        "no overlap between the two interval sets; check that they share a genome build and "
-        "chromosome naming",
-    )
-    return kept
+    return pairs.where(close).select(F.col(f"{region}_2").alias(region), feature, "overlap")
 
 
-def region_map_coverage(pairs: DataFrame, features: DataFrame, regions: DataFrame) -> dict[str, int]:
-    """Matched and total counts of regions and features of a region map."""
-    hit = pairs.agg(
-        F.count_distinct(pairs.columns[0]).alias("r"), F.count_distinct(pairs.columns[1]).alias("f")
-    ).first()
-    return {
-        "regions_matched": hit["r"],
-        "regions": regions.count(),
-        "features_matched": hit["f"],
-        "features": features.count(),
-    }
+def region_map(
+    features: DataFrame,
+    regions: DataFrame,
+    *,
+    feature: str = "peak",
+    region: str = "region",
+    fraction: float = 0.4,
+) -> DataFrame:
+    """Pairs (region, feature) whose overlap exceeds `fraction` of either one.
 
+    Both tables have chrom, start, end. Repeated names are refused; no overlap at all, or
+    none above the fraction, raises. `map_regions` gives the coverage as well.
+    """
+    require_columns(features, [feature, "chrom", "start", "end"], "features")
+    require_columns(regions, [region, "chrom", "start", "end"], "regions")
+    require_unique(features, [feature], "feature names repeat")
+    require_unique(regions, [region], "region names repeat")
+    kept = _close_pairs(features, regions, feature, region, fraction)
+    require_rows(kept, _NO_OVERLAP)
+    return kept

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from factorloom.guards import finite, require_columns, require_rows, require_unique
@@ -260,6 +260,7 @@ def motif_enrichment(
     motifs: Sequence[str] | DataFrame | None = None,
     block: int = BLOCK,
     check_invariance: bool = False,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """Score every (factor, motif) pair, sorted by factor and falling score.
 
@@ -272,6 +273,10 @@ def motif_enrichment(
     output has weighted_score for weights that sum to 1 per factor, nes against the
     within-stratum permutation null, nes_unstratified against the unrestricted one, and
     n_regions. Factor names are fetched to the driver.
+
+    `check_invariance` lets a copy of the first factor with weights times a million ride the same
+    pass; scores that differ raise. `observation` gets the counts of `enrichment_meta` from
+    the job that first computes the result.
     """
     require_columns(weights, ["factor", "region", "weight"], "weights")
     require_columns(strata, ["region", "stratum"], "strata")
@@ -287,13 +292,22 @@ def motif_enrichment(
     # Read by the checks, the weight moments and the pass over the scores.
     w = materialize(w.join(strata, "region").select("factor", "region", "stratum", "weight"))
     bad = w.agg(
-        F.count_if(finite("weight").isNull()).alias("odd"), F.count_if(F.col("weight") < 0).alias("below")
+        F.count_if(finite("weight").isNull()).alias("odd"),
+        F.count_if(F.col("weight") < 0).alias("below"),
+        F.min(F.when(F.col("weight") > 0, F.col("factor"))).alias("first"),
     ).first()
     if bad["odd"]:
         raise ValueError(f"non-finite weights: {bad['odd']}")
     if bad["below"]:
         raise ValueError(f"negative weights: {bad['below']}")
 
+    first = bad["first"] if check_invariance else None
+    if first is not None:
+        twin = w.where(F.col("factor") == F.lit(first)).withColumns(
+            {"factor": F.lit(_TWIN), "weight": F.col("weight") * _TWIN_SCALE}
+        )
+        w = w.unionByName(twin)
+
     sizes = strata.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_g"))
     by_stratum = (
         w.groupBy("factor", "stratum")
@@ -304,7 +318,7 @@ def motif_enrichment(
     per_factor = by_stratum.groupBy("factor").agg(F.sum("sw").alias("w1"), F.sum("sw2").alias("w2"))
     per_factor = per_factor.where("w1 > 0")
     factors = sorted(r[0] for r in per_factor.select("factor").collect())
-    n = strata.count()
+    n, n_strata = strata.agg(F.count(F.lit(1)), F.count_distinct("stratum")).first()
 
     sums = (
         _one_pass(w, scores.select("region", "motif", F.col("score").cast("double").alias("score")), strata)
@@ -356,37 +370,52 @@ def motif_enrichment(
         nes(F.col("e"), F.col("var")).alias("nes"),
         flat.alias("nes_unstratified"),
     )
+    if first is not None:
+        rows = _without_twin(materialize(rows), first)
     if tf is not None:
         rows = rows.join(tf.select(F.col("motif").alias("motif_id"), "tf_annotation"), "motif_id", "left")
     rows = rows.withColumn("n_regions", F.lit(n))
-    if check_invariance and factors:
-        _check_invariance(rows, weights, scores, strata, motifs, factors[0])
     order = ["factor", "motif_id", "weighted_score", "nes", "nes_unstratified"]
     order += ["tf_annotation"] if tf is not None else []
-    return rows.select(*order, "n_regions").orderBy("factor", F.desc("nes"))
+    rows = rows.select(*order, "n_regions").orderBy("factor", F.desc("nes"))
+    if observation is None:
+        return rows
+    named = len([f for f in factors if f != _TWIN])
+    return rows.observe(
+        observation,
+        F.count(F.lit(1)).alias("n_pairs"),
+        F.max("n_regions").alias("n_regions"),
+        F.max(F.lit(named)).alias("n_factors"),
+        F.max(F.lit(n_strata)).alias("n_strata"),
+    )
+
 
+#: Name of the scaled copy of a factor; no factor is named by this control character alone.
+_TWIN = "\x01"
+_TWIN_SCALE = 1e6
 
-def _check_invariance(rows, weights, scores, strata, motifs, factor: str) -> None:
-    """Raise if multiplying one factor's weights changes its scores."""
-    scaled = weights.where(F.col("factor") == factor).withColumn("weight", F.col("weight") * 1e6)
-    again = motif_enrichment(scaled, scores, strata, motifs=motifs)
-    gap = rows.where(F.col("factor") == factor).alias("a").join(again.alias("b"), "motif_id")
-    worst = gap.agg(F.max(F.abs(F.col("a.nes") - F.col("b.nes")))).first()[0]
-    if worst is None or worst >= 1e-6:
+
+def _without_twin(rows: DataFrame, factor: str) -> DataFrame:
+    """`rows` without the scaled copy of `factor`; scores that differ from it raise."""
+    pair = rows.where(F.col("factor").isin(factor, _TWIN)).groupBy("motif_id")
+    gaps = [(F.max(c) - F.min(c)).alias(c) for c in ("nes", "nes_unstratified")]
+    worst = pair.agg(*gaps).agg(F.max(F.greatest("nes", "nes_unstratified"))).first()[0]
+    # No motif, no score to compare.
+    if worst is not None and not worst < 1e-6:
         raise AssertionError(f"scores change with the scale of the weights: {worst}")
+    return rows.where(F.col("factor") != _TWIN)
 
 
-def enrichment_meta(rows: DataFrame, strata: DataFrame) -> dict[str, int]:
-    """Counts that describe a run: regions, factors, motifs, strata."""
-    counts = rows.agg(
-        F.count_distinct("factor").alias("f"), F.count_distinct("motif_id").alias("m"), F.max("n_regions").alias("r")
-    ).first()
-    return {
-        "n_regions": counts["r"],
-        "n_factors": counts["f"],
-        "n_motifs": counts["m"],
-        "n_strata": strata.agg(F.count_distinct("stratum")).first()[0],
-    }
+def enrichment_meta(observation: Observation) -> dict[str, int]:
+    """Counts that describe a run, seen by an `Observation` that went with `motif_enrichment`.
+
+    Waits until its result was computed; nothing is counted again.
+    """
+    seen = observation.get
+    counts = {c: seen.get(c) or 0 for c in ("n_regions", "n_factors", "n_strata")}
+    pairs = seen.get("n_pairs") or 0
+    counts["n_motifs"] = pairs // counts["n_factors"] if counts["n_factors"] else 0
+    return {c: counts[c] for c in ("n_regions", "n_factors", "n_motifs", "n_strata")}
 
 
 def used_regions(scores: DataFrame, regions: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from factorloom.functions import interval_name, is_primary_interval, parse_interval
 from factorloom.operators import intervals, motif, risk, sequence
 from factorloom.plans import inputs as i
 from factorloom.plans.registry import query, rounded, table
+from factorloom.session import scratch_path
 from factorloom.sources.snps import thin_annotation
 
 
@@ -341,13 +343,20 @@ def motif_enrichment_dense(spark, d):
     return _nes_digits(motif.motif_enrichment(weights, vectors, _strata(spark, d), motifs=names, block=16))
 
 
+@query("motif_enrichment_checked", f"WITH {_NES}, CAST(r AS INTEGER) AS n_regions FROM full_")
+def motif_enrichment_checked(spark, d):
+    """With a scaled copy of the first factor on the same pass; scores that differ from it raise."""
+    weights = motif.soft_threshold(i.motif_weights(spark, d))
+    return _nes_digits(motif.motif_enrichment(weights, i.motif_scores(spark, d), _strata(spark, d), check_invariance=True))
+
+
 @query(
     "region_map_coverage",
     f"""WITH {_MAP} SELECT count(DISTINCT region) AS regions_matched, (SELECT count(*) FROM regions) AS regions,
       count(DISTINCT peak) AS features_matched, (SELECT count(*) FROM peaks) AS features FROM mp""",
 )
 def region_map_coverage(spark, d):
-    counts = intervals.region_map_coverage(_region_map(spark, d), i.peaks(spark, d), i.regions(spark, d))
+    counts = intervals.map_regions(i.peaks(spark, d), i.regions(spark, d)).coverage
     return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} bigint" for c in counts))
 
 
@@ -365,6 +374,8 @@ def used_regions(spark, d):
       (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS n_motifs, (SELECT count(DISTINCT stratum) FROM strata) AS n_strata""",
 )
 def enrichment_meta(spark, d):
-    strata = _strata(spark, d)
-    counts = motif.enrichment_meta(motif.motif_enrichment(i.motif_weights(spark, d), i.motif_scores(spark, d), strata), strata)
+    seen = Observation()
+    found = motif.motif_enrichment(i.motif_weights(spark, d), i.motif_scores(spark, d), _strata(spark, d), observation=seen)
+    found.write.parquet(scratch_path(spark, "enrichment"))
+    counts = motif.enrichment_meta(seen)
     return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} bigint" for c in counts))

@@ -86,8 +86,13 @@ def test_region_map_rule_is_strict_and_either_sided(spark):
         intervals.region_map(features, regions.where("region = 'r3'"))
     with pytest.raises(ValueError, match="repeat"):
         intervals.region_map(features.union(features), regions)
-    cover = intervals.region_map_coverage(intervals.region_map(features, regions), features, regions)
-    assert cover == {"regions_matched": 1, "regions": 3, "features_matched": 1, "features": 2}
+    found = intervals.map_regions(features, regions)
+    assert rows(found.pairs.select("region", "peak")) == [("r2", "chr1:200-1200")]
+    with pytest.raises(ValueError, match="no overlap"):
+        intervals.map_regions(features, regions.where("region = 'r3'"))
+    with pytest.raises(ValueError, match="repeat"):
+        intervals.map_regions(features.union(features), regions)
+    assert found.coverage == {"regions_matched": 1, "regions": 3, "features_matched": 1, "features": 2}
 
 
 def test_reference_restriction(spark):

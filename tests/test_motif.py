@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from factorloom.operators import motif, sequence
@@ -68,7 +69,9 @@ def test_enrichment_matches_the_closed_form_and_dense_equals_sparse(spark, toy):
     for wrong in (names.limit(5), names.withColumn("pos", F.col("pos") + 1), names.withColumn("motif", F.lit("m")), names.union(names.selectExpr("6", "'x'"))):
         with pytest.raises(ValueError, match="position|aligned"):
             motif.motif_enrichment(weights, dense, members, motifs=wrong)
-    meta = motif.enrichment_meta(motif.motif_enrichment(weights, scores, members), members)
+    seen = Observation()
+    motif.motif_enrichment(weights, scores, members, check_invariance=True, observation=seen).collect()
+    meta = motif.enrichment_meta(seen)
     assert meta == {"n_regions": 200, "n_factors": 3, "n_motifs": 6, "n_strata": 5}
 
 
@@ -103,6 +106,16 @@ def test_pairs_that_never_meet_and_empty_factors(spark):
     assert got[("a", "m")]["nes"] == 0.0 and got[("a", "far")]["nes"] == 0.0
 
 
+def test_a_score_that_depends_on_scale_raises(spark):
+    def found(gap):
+        data = [("a", "m", 1.0, 2.0), (motif._TWIN, "m", 1.0 + gap, 2.0), ("b", "m", 7.0, 7.0)]
+        return spark.createDataFrame(data, "factor string, motif_id string, nes double, nes_unstratified double")
+
+    assert motif._without_twin(found(0.0), "a").count() == 2
+    with pytest.raises(AssertionError, match="scale"):
+        motif._without_twin(found(1e-3), "a")
+
+
 def test_weight_guards(spark, toy):
     weights, scores, members = long(spark, *toy)
     with pytest.raises(ValueError, match="negative"):
