@@ -387,7 +387,7 @@ def balanced_sample(spark, d):
 )
 def balanced_sample_replacement(spark, d):
     rows = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    return sampling.balanced_sample(rows, "s_nationkey", row="s_suppkey", min_count=50, seed=3)
+    return sampling.balanced_sample(rows, "s_nationkey", row="s_suppkey", min_count=50, seed=3, replacement=True)
 
 
 @query(

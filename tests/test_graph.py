@@ -185,6 +185,12 @@ def test_balanced_sample(spark):
     assert {r["c"]: r["count"] for r in few.groupBy("c").count().collect()} == {"a": 10, "b": 10}
 
 
+def test_balanced_sample_with_replacement_of_large_categories(spark):
+    df = spark.range(100).select("id", F.when(F.col("id") < 40, "a").otherwise("b").alias("c"))
+    got = sampling.balanced_sample(df, "c", row="id", min_count=5, replacement=True)
+    assert sorted((r["c"], r["draw"]) for r in got.collect()) == [(c, i) for c in "ab" for i in range(5)]
+
+
 def test_permutations_are_bijections(spark):
     got = sampling.permutations(spark.range(50), "id", [1, 2]).collect()
     for seed in (1, 2):
