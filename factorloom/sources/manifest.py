@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.guards import require_columns
-from factorloom.session import materialize
+from factorloom.session import broadcast_if_small, materialize
 
 #: Folder of the manifest inside the output; readers of the output skip names with an underscore.
 MANIFEST = "_manifest"
@@ -22,9 +22,9 @@ MANIFEST = "_manifest"
 _NULL_KEY = "__HIVE_DEFAULT_PARTITION__"
 
 
-def file_path() -> Column:
+def file_path(raw: str = "_metadata.file_path") -> Column:
     """Path of the file a row comes from, with percent escapes undone."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.url_decode(F.replace(F.col(raw), F.lit("+"), F.lit("%2B")))
 
 
 def _texts(keys: Sequence[str]) -> list[Column]:
@@ -33,8 +33,8 @@ def _texts(keys: Sequence[str]) -> list[Column]:
 
 
 def _folders(keys: Sequence[str]) -> list[Column]:
-    """Keys of a file, from its folders, which escape some characters once more."""
-    found = [F.regexp_extract(file_path(), f"(?:^|/){k}=([^/]+)/", 1) for k in keys]
+    """Keys of a file `_file`, from its folders, which escape some characters once more."""
+    found = [F.regexp_extract(file_path("_file"), f"(?:^|/){k}=([^/]+)/", 1) for k in keys]
     return [F.url_decode(F.replace(v, F.lit("+"), F.lit("%2B"))).alias(f"_{k}") for v, k in zip(found, keys, strict=True)]
 
 
@@ -49,7 +49,9 @@ def _per_partition(files: DataFrame | None, spark: SparkSession, keys: Sequence[
     named = [f"_{k}" for k in keys]
     if files is None:
         return spark.createDataFrame([], ", ".join(f"{k} string" for k in named) + f", {count} bigint")
-    return files.select(*_folders(keys)).groupBy(*named).agg(F.count(F.lit(1)).alias(count))
+    # Counted by file first, so that names are taken apart once a file and not once a row.
+    by_file = files.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count(F.lit(1)).alias("_c"))
+    return by_file.select(*_folders(keys), "_c").groupBy(*named).agg(F.sum("_c").alias(count))
 
 
 def _files(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
@@ -91,7 +93,9 @@ def write_work(
     require_columns(work, keys, "work list")
     spark, named = rows.sparkSession, [f"_{k}" for k in keys]
     todo = materialize(work.select(*keys).distinct())
-    listed = rows.select("*", *_texts(keys)).join(todo.select(*_texts(keys)), named, "left_semi").drop(*named)
+    # A shuffle by the few keys would put all rows of a partition in one task.
+    wanted = broadcast_if_small(todo.select(*_texts(keys)).distinct())
+    listed = rows.select("*", *_texts(keys)).join(wanted, named, "left_semi").drop(*named)
     seen = Observation()
     writer = listed.observe(seen, F.count(F.lit(1)).alias("n")).write.format(fmt).options(**options)
     writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).save(path)

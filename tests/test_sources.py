@@ -99,6 +99,12 @@ def test_thin_annotation_files_hold_rows_in_order(spark, tmp_path):
     assert manifest.pending_work(work, str(tmp_path / "none"), ["annot", "chrom"]).count() == 2
 
 
+def test_rows_of_one_partition_are_written_by_several_tasks(spark, tmp_path):
+    df = spark.range(0, 4000, 1, 4).select(F.lit("a").alias("k"), "id")
+    manifest.write_work(df, df.select("k"), str(tmp_path / "o"), ["k"])
+    assert len(list((tmp_path / "o" / "k=a").glob("*.parquet"))) == 4
+
+
 def test_only_committed_partitions_are_finished(spark, tmp_path):
     keys, out = ["annot", "chrom"], tmp_path / "store"
     data = [("k/1", 1, 1.0), ("k/1", 1, 2.0), ("k/1", 2, 3.0), (None, 2, 4.0), ("k 3", 1, 5.0)]
