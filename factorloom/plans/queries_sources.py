@@ -89,7 +89,8 @@ def read_cell_scores(spark, d):
 def write_thin_annotation(spark, d):
     loads = i.peak_loadings(spark, d).where("direction = 'pos'").withColumnRenamed("factor", "annot")
     path = scratch_path(spark, "annot")
-    snps.write_thin_annotation(snps.thin_annotation(i.snps(spark, d), i.peaks(spark, d), loads), path)
+    values, names = snps.thin_values(i.snps(spark, d), i.peaks(spark, d), loads)
+    snps.write_thin_annotation(values, path, names=names)
     back = snps.read_thin_annotation(spark, path)
     return back.groupBy("annot", "chrom").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
 

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from factorloom.guards import require_columns, require_rows
 from factorloom.operators.intervals import assign_points
-from factorloom.session import broadcast_if_small, materialize
+from factorloom.session import broadcast_if_small, materialize, shuffle_partitions
 from factorloom.sources.manifest import commit
 
 # Fixed value: columns of the six-column variant table, in file order.
 SNP_COLUMNS = ("chrom", "snp", "cm", "bp", "a1", "a2")
 
+#: Values of annotations that a writing task sorts.
+SORTED_ROWS = 8_000_000
+
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Text lines with their place in the input: row_ix, value; files in path order.
@@ -71,35 +74,78 @@ def thin_annotation(
     names are fetched; an interval carries one value per annotation.
     """
     require_columns(loadings, [peak, annot, loading], "loadings")
-    names = sorted(r[0] for r in loadings.select(annot).distinct().collect())
-    per_peak = loadings.groupBy(peak).agg(
-        F.map_from_entries(F.collect_list(F.struct(annot, F.col(loading).cast("double")))).alias("_m")
+    values, names = thin_values(
+        points, intervals, loadings, row=row, chrom=chrom, peak=peak, annot=annot, loading=loading, **columns
     )
+    return _per_annotation(values, names, annot).select(annot, chrom, row, "value")
+
+
+def thin_values(
+    points: DataFrame,
+    intervals: DataFrame,
+    loadings: DataFrame,
+    *,
+    row: str = "row_ix",
+    chrom: str = "chrom",
+    peak: str = "peak",
+    annot: str = "annot",
+    loading: str = "loading",
+    **columns: str | bool,
+) -> tuple[DataFrame, list[str]]:
+    """`thin_annotation` with one row per point: chrom, row, an array ``values``; and the names of its entries.
+
+    The intervals are written once with their arrays, since checks and the join read them.
+    """
+    require_columns(loadings, [peak, annot, loading], "loadings")
+    names = sorted(r[0] for r in loadings.select(annot).distinct().collect())
+    kind = dict(loadings.dtypes)[annot]
+    places = points.sparkSession.createDataFrame(list(enumerate(names)), f"_at int, `{annot}` {kind}")
+    placed = loadings.join(F.broadcast(places), annot)
+    entry = F.struct("_at", F.col(loading).cast("double").alias("_v"))
+    per_peak = placed.groupBy(peak).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+    # An interval with every annotation has its values in their order; else they are looked up.
+    whole = F.transform("_e", lambda e: e["_at"]) == F.array(*[F.lit(k) for k in range(len(names))])
+    found = F.map_from_entries("_e")
+    sparse = F.array(*[F.coalesce(F.try_element_at(found, F.lit(k)), F.lit(0.0)) for k in range(len(names))])
+    dense = F.transform("_e", lambda e: F.coalesce(e["_v"], F.lit(0.0)))
+    per_peak = per_peak.select(peak, F.when(whole, dense).otherwise(sparse).alias("_values"))
     # The loadings ride on the intervals, so points without one meet no second join.
-    loaded = intervals.join(per_peak, peak, "left")
-    found = assign_points(points, loaded, row=row, name=peak, carry=["_m"], **columns)
-    values = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias(annot),
-                F.coalesce(F.try_element_at(F.col("_m"), F.lit(n)), F.lit(0.0)).alias("value"),
-            )
-            for n in names
-        ]
+    loaded = materialize(intervals.join(per_peak, peak, "left"))
+    met = assign_points(points, loaded, row=row, name=peak, carry=["_values"], **columns)
+    none = F.array(*[F.lit(0.0) for _ in names])
+    return met.select(chrom, row, F.coalesce("_values", none).alias("values")), names
+
+
+def _per_annotation(values: DataFrame, names: list[str], annot: str) -> DataFrame:
+    """Rows of `thin_values` once per annotation."""
+    others = [c for c in values.columns if c != "values"]
+    labels = F.array(*[F.lit(n) for n in names])
+    return values.select(*others, F.posexplode("values").alias("_at", "value")).select(
+        labels[F.col("_at")].alias(annot), *others, "value"
     )
-    return found.select(row, chrom, F.inline(values)).select(annot, chrom, row, "value")
 
 
 def write_thin_annotation(
-    annotation: DataFrame, path: str, *, row: str = "row_ix", chrom: str = "chrom", annot: str = "annot"
+    annotation: DataFrame, path: str, *, row: str = "row_ix", chrom: str = "chrom", annot: str = "annot",
+    names: list[str] | None = None,
 ) -> None:
     """Write annotations as gzipped tab-separated files per annotation and chromosome.
 
     Rows keep their order: inside a file, and over the files of a folder in name order,
     since a large chromosome spans several range partitions. The partitions are committed, see
     `manifest`.
+
+    With `names`, `annotation` is a table of `thin_values`: points are shuffled instead of values, and
+    a range partition holds so many points that a task sorts about `SORTED_ROWS` values.
     """
-    ordered = annotation.repartitionByRange(annot, chrom, row).sortWithinPartitions(annot, chrom, row)
+    if names is None:
+        ranged = annotation.repartitionByRange(annot, chrom, row)
+    else:
+        # Counted and sampled for the ranges, then shuffled.
+        points = materialize(annotation)
+        width = max(shuffle_partitions(points.sparkSession), -(-points.count() * len(names) // SORTED_ROWS))
+        ranged = _per_annotation(points.repartitionByRange(width, chrom, row), names, annot)
+    ordered = ranged.sortWithinPartitions(annot, chrom, row)
     seen = Observation()
     (
         ordered.select(annot, chrom, "value")

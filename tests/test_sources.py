@@ -99,6 +99,25 @@ def test_thin_annotation_files_hold_rows_in_order(spark, tmp_path):
     assert manifest.pending_work(work, str(tmp_path / "none"), ["annot", "chrom"]).count() == 2
 
 
+def test_thin_values_are_written_in_the_order_of_points(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snps, "SORTED_ROWS", 300)
+    points = spark.createDataFrame([(i, "1", i + 1) for i in range(500)], "row_ix long, chrom string, bp long").repartition(7)
+    peaks = spark.createDataFrame([(f"p{k}", "chr1", k * 50, k * 50 + 25) for k in range(10)], "peak string, chrom string, start long, end long")
+    loads = [(f"p{k}", a, k + v) for k in range(9) for a, v in (("k1", 0.25), ("k2", 0.5)) if (k, a) != (3, "k1")]
+    loads = spark.createDataFrame(loads, "peak string, annot string, loading double")
+    values, names = snps.thin_values(points, peaks, loads)
+    out = tmp_path / "wide"
+    snps.write_thin_annotation(values, str(out), names=names)
+    for a, v in (("k1", 0.25), ("k2", 0.5)):
+        files = sorted((out / f"annot={a}" / "chrom=1").glob("*.csv.gz"))
+        got = [float(t) for f in files for t in gzip.open(f, "rt").read().splitlines()[1:]]
+        held = [(i // 50) for i in range(500)]
+        want = [k + v if i % 50 < 25 and k < 9 and (k, a) != (3, "k1") else 0.0 for i, k in enumerate(held)]
+        assert len(files) > 1 and got == want
+    long = snps.thin_annotation(points, peaks, loads.withColumn("annot", F.expr("int(substring(annot, 2))")))
+    assert dict(long.dtypes)["annot"] == "int" and long.where("annot = 2 AND value > 0").count() == 225
+
+
 def test_rows_of_one_partition_are_written_by_several_tasks(spark, tmp_path):
     df = spark.range(0, 4000, 1, 4).select(F.lit("a").alias("k"), "id")
     manifest.write_work(df, df.select("k"), str(tmp_path / "o"), ["k"])
