@@ -105,7 +105,9 @@ def overlap_pairs(
         & (s2 < e1)
         & (F.col("_bin") == shift)
     )
-    return a.join(b, met).select(
+    # Sizes of files say little of the keys made above: a side that looks small would be built as a
+    # hash table in the driver and in every task.
+    return a.join(b.hint("merge"), met).select(
         *left.columns,
         *[f"{c}_2" for c in right.columns],
         (F.least(e1, e2) - first_shared).alias("overlap"),
@@ -314,12 +316,13 @@ def region_map(
     """Pairs (region, feature) whose overlap exceeds `fraction` of either one.
 
     Both tables have chrom, start, end. Repeated names are refused; no overlap at all, or
-    none above the fraction, raises. `map_regions` gives the coverage as well.
+    none above the fraction, raises. The pairs are written once, as their readers take them more
+    than once. `map_regions` gives the coverage as well.
     """
     require_columns(features, [feature, "chrom", "start", "end"], "features")
     require_columns(regions, [region, "chrom", "start", "end"], "regions")
     require_unique(features, [feature], "feature names repeat")
     require_unique(regions, [region], "region names repeat")
-    kept = _close_pairs(features, regions, feature, region, fraction)
+    kept = materialize(_close_pairs(features, regions, feature, region, fraction))
     require_rows(kept, _NO_OVERLAP)
     return kept

@@ -166,6 +166,13 @@ def test_track_offsets_follow_chromosome_order(risky):
     assert risk.top_risk_per_group(table, 1, by="risk_rate").count() == 3
 
 
+def test_sides_of_a_pair_join_are_not_broadcast(spark):
+    side = spark.createDataFrame([("a", "1", 0, 10), ("b", "1", 5, 90)], "n string, chrom string, start long, end long")
+    pairs = intervals.overlap_pairs(side, side)
+    assert pairs.count() == 4
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_thin_annotation_fills_zero_in_order(spark):
     snps = points(spark, "1", [50, 150, 250])
     loads = spark.createDataFrame([("chr1:100-200", "k1", 0.7), ("chr1:200-300", "k2", 0.2)], "peak string, annot string, loading double")
