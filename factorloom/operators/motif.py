@@ -66,9 +66,11 @@ def regionise(
     require_columns(pairs, [region, feature], "region map")
     require_columns(weights, [feature, factor, weight], "weights")
     matched = pairs.groupBy(region).agg(F.count(F.lit(1)).alias("_n"))
-    sums = pairs.select(region, feature).join(weights.select(feature, factor, weight), feature)
-    sums = sums.groupBy(region, factor).agg(F.sum(F.col(weight).cast("double")).alias("_w"))
-    return sums.join(matched, region).select(region, factor, (F.col("_w") / F.col("_n")).alias(weight))
+    # The counts ride on the pairs, of which a task hashes its part, so the long weights are not sorted.
+    counted = pairs.select(region, feature).join(matched, region)
+    rows = weights.select(feature, factor, weight).join(counted.hint("shuffle_hash"), feature)
+    mean = F.sum(F.col(weight).cast("double")) / F.first("_n")
+    return rows.groupBy(region, factor).agg(mean.alias(weight))
 
 
 def covariate_strata(
