@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factorloom.functions import p_one_tailed, significant
 from factorloom.guards import finite, require_columns
 from factorloom.operators.ordered import KEY, join_values, keyed, positions, running, unkeyed, value_ranks
+from factorloom.session import materialize
 
 Z_COLUMN = "Coefficient_z-score"
 
@@ -36,10 +37,13 @@ def bh_qvalues(
     not be smaller than the number of finite p-values of any family. Equal p-values share
     their q, so the work runs on distinct p-values with counts: their cumulative count is
     the rank, and a running minimum from the largest p down makes q monotone.
+
+    The rows are written once: q comes back to them by equal p, and sums of doubles computed a
+    second time may differ in their last digit.
     """
     keys = _keys(by)
     require_columns(df, [p, *keys])
-    rows = df.withColumn("_p", finite(_bt(p)))
+    rows = materialize(df.withColumn("_p", finite(_bt(p))))
     ranks = value_ranks(rows, "_p", keys)
     if n is not None:
         most = ranks.agg(F.max("total")).first()[0] or 0

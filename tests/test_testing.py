@@ -107,3 +107,12 @@ def test_significance(spark):
 def test_input_columns_survive(spark):
     df = frame(spark, [0.1, 0.2]).withColumn("note", F.lit("x"))
     assert testing.bh_qvalues(df, "p").columns == ["i", "p", "note", "fdr_q"]
+
+
+def test_q_belongs_to_the_p_that_were_ranked(spark, tmp_path):
+    path = str(tmp_path / "p")
+    spark.createDataFrame([(1, 0.01), (2, 0.02)], "id int, p double").write.parquet(path)
+    got = testing.bh_qvalues(spark.read.parquet(path), "p")
+    # Rows computed anew would hold other values than the ranks, as sums of doubles may.
+    spark.createDataFrame([(1, 0.011), (2, 0.021)], "id int, p double").write.mode("overwrite").parquet(path)
+    assert sorted((r["id"], r["fdr_q"]) for r in got.collect()) == [(1, 0.02), (2, 0.02)]
