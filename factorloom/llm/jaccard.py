@@ -16,7 +16,8 @@ Sets that are equal are one node from the start. Rare entries meet packed by has
 pairs come with their number of common tokens. Entries that many nodes share are never paired with each
 other: each node is compared with a few of the entry and components form. Of components that
 still share an entry all pairs of nodes that may link are compared, each once however many
-entries it shares. All candidates are verified on whole sets.
+entries it shares: first by bitmaps, which bound how much two sets have in common (a pair that
+they rule out is no row), then on whole sets like all candidates.
 """
 
 from __future__ import annotations
@@ -56,6 +57,9 @@ _PACK = 1 << 19
 _SLICE = 1 << 20
 _ONE = np.uint64(1)
 
+#: Longs of a bitmap of a set.
+BITMAP = 16
+
 
 def set_rows(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, distinct shingles in order)."""
@@ -71,6 +75,15 @@ def node_of(tokens: np.ndarray) -> int:
         return int(mix(np.array([total ^ np.bitwise_xor.reduce(mix(tokens))]))[0].view(np.int64))
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """For each of 64 * BITMAP hash classes whether the set has an odd number of its tokens.
+
+    Two sets differ in at least as many tokens as their bitmaps differ in bits.
+    """
+    kind = (mix(tokens ^ np.uint64(0x632BE59BD9B4E019)) % np.uint64(64 * BITMAP)).astype(np.int64)
+    return np.packbits((np.bincount(kind, minlength=64 * BITMAP) & 1).astype(bool)).view(np.int64)
+
+
 def _bits(df: DataFrame) -> int:
     """Bits of a token that name its hash range: several ranges a partition."""
     return max(4, int(np.ceil(np.log2(8 * shuffle_partitions(df.sparkSession)))))
@@ -296,6 +309,12 @@ def _fits(na: str, nb: str, fa: str, fb: str):
     return (100 * F.least(*n) >= 75 * F.greatest(*n)) & (7 * F.least(fa, fb).cast("long") >= 3 * (n[0] + n[1]))
 
 
+def _bitmaps_fit():
+    """Whether bitmaps allow a link: linked sets differ in at most a seventh of their sizes' sum."""
+    differ = [F.bit_count(F.col("bitmap_a")[i].bitwiseXOR(F.col("bitmap_b")[i])) for i in range(BITMAP)]
+    return 7 * sum(differ[1:], differ[0]).cast("long") <= F.col("n_a").cast("long") + F.col("n_b")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -338,28 +357,38 @@ def root_pairs(left: DataFrame) -> DataFrame:
     return stored(met.select("root_a", "root_b").distinct(), "root_pairs")
 
 
-def open_members(left: DataFrame) -> DataFrame:
-    """(node, root, n, f) once for each node of the open entries."""
+def open_members(left: DataFrame, whole: DataFrame) -> DataFrame:
+    """(node, root, n, f, bitmap) once for each node of the open entries."""
     found = left.groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.max("f").alias("f"))
-    return stored(found, "members")
+    return stored(found.join(whole.select("node", "bitmap"), "node"), "members")
 
 
-def count_open(met: DataFrame, members: DataFrame) -> int:
-    """How many pairs of nodes the pairs of components stand for."""
+def by_size(met: DataFrame, members: DataFrame) -> DataFrame:
+    """(root_a, root_b, k_a, k_b): the pairs of components with their numbers of nodes, the smaller component as a."""
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("k"))
-    a, b = (sizes.select(F.col("root").alias(f"root_{s}"), F.col("k").alias(f"k_{s}")) for s in ("a", "b"))
-    return int(met.join(a, "root_a").join(b, "root_b").agg(F.sum(F.col("k_a") * F.col("k_b"))).first()[0] or 0)
+    x, y = (sizes.select(F.col("root").alias(f"root_{s}"), F.struct("k", "root").alias(s)) for s in "ab")
+    sides = met.join(x, "root_a").join(y, "root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return stored(sides.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for c in ("root", "k") for s in "ab"]), "sized_pairs")
+
+
+def count_open(sized: DataFrame) -> int:
+    """How many pairs of nodes the pairs of components of `by_size` stand for."""
+    return int(sized.agg(F.sum(F.col("k_a") * F.col("k_b"))).first()[0] or 0)
 
 
-def open_pairs(met: DataFrame, members: DataFrame) -> DataFrame:
-    """All pairs of nodes of the paired components, each once, that sizes and frequent tokens allow."""
-    a, b = (members.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "f")]) for s in ("a", "b"))
-    found = met.join(a, "root_a").join(b, "root_b").where(_fits("n_a", "n_b", "f_a", "f_b"))
-    return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+def open_pairs(sized: DataFrame, members: DataFrame) -> DataFrame:
+    """All pairs of nodes of the paired components, each once, that sizes, frequent tokens and bitmaps allow.
+
+    The smaller component's nodes are joined first. A pair that cannot link is compared, but makes no row.
+    """
+    a, b = (members.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "f", "bitmap")]) for s in "ab")
+    one, other = sized.join(a, "root_a").alias("one"), b.alias("other")
+    may = (F.col("one.root_b") == F.col("other.root_b")) & _fits("n_a", "n_b", "f_a", "f_b") & _bitmaps_fit()
+    return one.join(other, may).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
 
 def whole_sets(nodes: DataFrame, texts: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """(node, tokens) of the wanted nodes, from one whole text each, written to the shared folder."""
+    """(node, tokens, bitmap) of the wanted nodes, from one whole text each, written to the shared folder."""
     named = stored(rows.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "named")
     # A set that only rows with a null id hold is looked for among all of these.
     wanted = small(stored(named.select(F.col("doc_id").alias("wanted")).distinct(), "wanted"))
@@ -367,14 +396,16 @@ def whole_sets(nodes: DataFrame, texts: DataFrame, rows: DataFrame, width: int)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, found = [], []
+            node, found, maps = [], [], []
             for _, tokens in set_rows(batch.column(1), width):
                 if len(tokens):
                     node.append(node_of(tokens))
                     found.append(tokens.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "tokens"])
+                    maps.append(bitmap(tokens))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, maps)]
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), *lists], names=["node", "tokens", "bitmap"])
 
-    found = chosen.mapInArrow(sets, "node long, tokens array<long>")
+    found = chosen.mapInArrow(sets, "node long, tokens array<long>, bitmap array<long>")
     return stored(found.join(small(named.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
@@ -424,12 +455,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         # stars find nothing new, all pairs left are compared, each once.
         turn += 1
         left = open_entries(entries, roots)
-        met, members = root_pairs(left), open_members(left)
-        total = count_open(met, members)
+        members = open_members(left, whole)
+        sized = by_size(root_pairs(left), members)
+        total = count_open(sized)
         if not total:
             break
         last = total <= AT_ONCE * number or turn > TURNS
-        pairs = stored((open_pairs(met, members) if last else star_pairs(left, turn, CENTRES)).join(known, ["a", "b"], "left_anti"), "pairs")
+        pairs = stored((open_pairs(sized, members) if last else star_pairs(left, turn, CENTRES)).join(known, ["a", "b"], "left_anti"), "pairs")
         found = verify(pairs, whole)
         if found.isEmpty():
             if not last:

@@ -246,6 +246,43 @@ def test_jaccard_groups(spark):
     assert all(got[i]["n_shingles"] == len(s) for i, s in sets.items())
 
 
+def test_jaccard_near_misses(spark, monkeypatch):
+    """Copies of one text with so many edits that few link: pairs that cannot link make no rows."""
+    rng = np.random.RandomState(2)
+    base = [f"b{i}" for i in range(150)]
+    texts = {}
+    for i in range(150):
+        words = list(base)
+        for k in rng.choice(150, rng.randint(2, 9), replace=False):
+            words[k] = f"e{i}_{k}"
+        texts[i] = " ".join(words)
+    compared, links = [], []
+
+    def verify(pairs, whole, real=jaccard.verify):
+        found = real(pairs, whole)
+        compared.append(pairs.count())
+        links.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "verify", verify)
+    got = by_id(jaccard.jaccard_join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    assert {i: r["component_id"] for i, r in got.items()} == linked({i: shingle_set(t) for i, t in texts.items()})
+    # Without bitmaps 1,748 pairs are left after the first star, 33 of which link.
+    assert sum(compared[1:]) <= 8 * sum(links[1:])
+
+
+def test_bitmaps_bound():
+    """Bitmaps of two sets never differ in more bits than the sets do in tokens."""
+    rng = np.random.RandomState(4)
+    for n in (1, 16, 100, 3000):
+        tokens = rng.randint(0, 1 << 62, 2 * n).astype(np.uint64)
+        for shared in (0, n // 2, n):
+            a, b = tokens[:n], tokens[n - shared : 2 * n - shared]
+            bits = np.unpackbits((jaccard.bitmap(a) ^ jaccard.bitmap(b)).view(np.uint8)).sum()
+            assert bits <= 2 * (n - shared)
+    assert len(jaccard.bitmap(tokens)) == jaccard.BITMAP
+
+
 @given
 def test_jaccard_given(spark):
     docs = given_texts(spark)
