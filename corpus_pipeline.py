@@ -2,7 +2,8 @@
 
 Each stage takes the documents its predecessor kept, as written and read again, and returns
 documents with their columns; the last one writes token sequences and returns what it reads
-back. Every stage decides by row: rows with a null doc_id or one that repeats are judged each by
+back. Tables that a stage writes on the way are deleted when it returns, but for those that its
+result reads. Every stage decides by row: rows with a null doc_id or one that repeats are judged each by
 their own text. Columns beyond those of documents pass through untouched, whatever their names.
 Texts go to Python in Arrow batches of bounded bytes, a setting of the session.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm import jaccard, language, mixing, phrase_index, sequences
-from factorloom.llm.common import bounded_batches, small, stored, table
+from factorloom.llm.common import bounded_batches, passing, small, stored, table
 
 #: Vocabulary of the last stage.
 VOCABULARY = "word_bpe_49k.json"
@@ -46,12 +47,12 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
         place = F.struct(F.xxhash64(read["file_path"]).alias("file"), read["row_index"].alias("place"))
         return docs.withColumn(name, place), name
     except AnalysisException:
-        return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered_docs"), name
+        return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered_docs", keep=True), name
 
 
 def _without(docs: DataFrame, name: str, gone: DataFrame) -> DataFrame:
     """`docs` of `_numbered` without the rows that `gone` (one column) names, and without that column."""
-    gone = small(stored(gone.toDF(name), "gone"))
+    gone = small(stored(gone.toDF(name), "gone", keep=True))
     return docs.join(gone, name, "left_anti").drop(name).select(*[F.col(f"`{c}`") for c in docs.columns if c != name])
 
 
@@ -76,22 +77,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     _release(spark)
     bounded_batches(spark)
-    docs, row = _numbered(docs)
-    found = stored(jaccard.jaccard_join(docs, id_col=row).select(F.col("doc_id").alias("row"), "component_id"), "near")
-    ids = found.join(docs.select(F.col(row).alias("row"), F.col("doc_id").alias("id")), "row")
-    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("rows"))
-    stays = first.where("rows > 1").select(F.col("first.row").alias("row"), "component_id")
-    more = found.join(stays.select("component_id"), "component_id", "left_semi")
-    return _without(docs, row, more.join(stays, "row", "left_anti").select("row"))
+    with passing(spark):
+        docs, row = _numbered(docs)
+        found = stored(jaccard.jaccard_join(docs, id_col=row).select(F.col("doc_id").alias("row"), "component_id"), "near")
+        ids = found.join(docs.select(F.col(row).alias("row"), F.col("doc_id").alias("id")), "row")
+        first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("rows"))
+        stays = first.where("rows > 1").select(F.col("first.row").alias("row"), "component_id")
+        more = found.join(stays.select("component_id"), "component_id", "left_semi")
+        return _without(docs, row, more.join(stays, "row", "left_anti").select("row"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not hold a notable share of benchmark windows."""
     _release(spark)
     bounded_batches(spark)
-    docs, row = _numbered(docs)
-    found = phrase_index.decontaminate(docs, table(spark, sf_dir, "benchmark"), id_col=row)
-    return _without(docs, row, found.where("contaminated").select("doc_id"))
+    with passing(spark):
+        docs, row = _numbered(docs)
+        found = phrase_index.decontaminate(docs, table(spark, sf_dir, "benchmark"), id_col=row)
+        return _without(docs, row, found.where("contaminated").select("doc_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.session import scratch_path, shuffle_partitions
 
-__all__ = ["bounded_batches", "held_out", "scratch_path", "shuffle_partitions", "small", "stored", "table"]
+__all__ = ["bounded_batches", "held_out", "passing", "scratch_path", "shuffle_partitions", "small", "stored", "table"]
 
 #: Most rows a table may have to be broadcast; beyond it the join is shuffled.
 SMALL_ROWS = 100_000
@@ -34,9 +38,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once to the shared folder and read back: a lineage cut that survives lost executors."""
+#: Folders written in the blocks of `passing` that are open, innermost last.
+_WRITTEN: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that `stored` writes in this block are deleted from the shared folder when it ends.
+
+    What is read after the block must be stored with `keep`: it goes to the block around, if
+    there is one, or stays.
+    """
+    token = _WRITTEN.set((*_WRITTEN.get(), []))
+    try:
+        yield
+    finally:
+        folders = _WRITTEN.get()[-1]
+        _WRITTEN.reset(token)
+        for folder in folders:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """`df` written once to the shared folder and read back: a lineage cut that survives lost executors.
+
+    In a block of `passing` the table lasts as long as the block, unless it is to `keep`.
+    """
     path = scratch_path(df.sparkSession, name)
+    blocks = _WRITTEN.get()[: -1 if keep else None]
+    if blocks:
+        blocks[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

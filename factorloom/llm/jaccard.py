@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import shuffle_partitions, small, stored
+from factorloom.llm.common import passing, shuffle_partitions, small, stored
 from factorloom.llm.components import components
 from factorloom.llm.text import NOT_SPACE, mix, shingle_rows, shingles, slices, word_hashes, words
 
@@ -428,7 +428,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smallest id. Rows that repeat an id are judged each by its text. Only the two named columns
     are read; an empty table gives an empty result.
     """
-    texts = _texts(docs, id_col, text_col)
+    with passing(docs.sparkSession):
+        return _joined(_texts(docs, id_col, text_col), width)
+
+
+def _joined(texts: DataFrame, width: int) -> DataFrame:
     id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,7 +443,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 node[i] = node_of(tokens) if len(tokens) else 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node)], names=["doc_id", "n", "node"])
 
-    rows = stored(texts.mapInArrow(sets, f"doc_id {id_type}, n long, node long"), "rows")
+    rows = stored(texts.mapInArrow(sets, f"doc_id {id_type}, n long, node long"), "rows", keep=True)
     named = rows.where("n > 0")
     frequent = frequent_tokens(texts, width, FREQUENT, FREQUENT_MOST)
     entries = shared_entries(texts, width, frequent).withColumn("root", F.col("node"))
@@ -473,7 +477,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = named.groupBy("node").agg(F.min("doc_id").alias("low"))
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_node = stored(placed.join(lowest, "root").select("node", "component_id"), "of_node")
+    of_node = stored(placed.join(lowest, "root").select("node", "component_id"), "of_node", keep=True)
     return rows.join(of_node, (rows["node"] == of_node["node"]) & (rows["n"] > 0), "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),

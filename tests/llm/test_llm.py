@@ -1,6 +1,7 @@
 """The operators on text against brute force, round trips, held-out labels and odd rows."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorloom.llm import chat, credentials, exact, jaccard, language, mixing, phrase_index, queries, sequences, substring, text, toxicity
+from factorloom.session import shared_dir
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -509,6 +511,16 @@ def test_jaccard_null_bridge(spark):
     assert sorted((str(r["doc_id"]), r["component_id"]) for r in found) == [("1", 1), ("3", 1), ("None", 1)]
 
 
+def test_passing_tables_go(spark):
+    """Of the tables that op8 writes on the way, only those that its result reads stay."""
+    here = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(here))
+    words = " ".join(f"w{i}" for i in range(30))
+    found = jaccard.jaccard_join(spark.createDataFrame([(1, words), (2, words + " x"), (3, "other")], "doc_id long, text string"))
+    assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(here)) - before) == ["of_node", "rows"]
+    assert sorted((r["doc_id"], r["component_id"]) for r in found.collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_pipeline_odd(spark, odd, empty, tmp_path):
     """Each stage on nulls, repeated ids and clashing columns decides by row."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
