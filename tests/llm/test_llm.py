@@ -521,6 +521,16 @@ def test_passing_tables_go(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in found.collect()) == [(1, 1), (2, 1), (3, 3)]
 
 
+def test_passing_windows_go(spark):
+    """op1's windows and their pairs are gone before texts are joined, and the passage is still found."""
+    here = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(here))
+    words = " ".join(f"w{i}" for i in range(80))
+    found = substring.repeated_passages(spark.createDataFrame([(1, words), (2, words + " x"), (3, "other")], "doc_id long, text string"))
+    assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(here)) - before) == ["candidates", "ids"]
+    assert [(r["doc_a"], r["a_start"], r["a_stop"], r["doc_b"]) for r in found.collect()] == [(1, 0, 80, 2)]
+
+
 def test_pipeline_odd(spark, odd, empty, tmp_path):
     """Each stage on nulls, repeated ids and clashing columns decides by row."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
