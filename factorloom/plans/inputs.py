@@ -150,7 +150,9 @@ def peak_loadings(spark: SparkSession, d: str) -> DataFrame:
     rows, names = cells(spark, d)
     n = rows.count()
     vectors = rows.select("cell_id", "x")
-    placed = peaks(spark, d).withColumn("cell_id", F.col("p_partkey") % n).join(vectors, "cell_id")
+    # The file of parts is small beside its rows with names; by its size the planner would broadcast them.
+    named = peaks(spark, d).withColumn("cell_id", F.col("p_partkey") % n).hint("merge")
+    placed = named.join(vectors, "cell_id")
     long = loadings_long(placed, "x", names, ["peak"])
     arms = F.array(
         F.struct(F.lit("pos").alias("direction"), F.greatest("value", F.lit(0.0)).alias("loading")),
