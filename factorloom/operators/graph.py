@@ -3,7 +3,8 @@
 Nodes carry all factor values in one array, so each neighbourhood mean costs one join and
 one aggregation of edges whatever the number of factors. Columns that need the same graph
 (centred values, a permuted copy, residuals) ride along in one longer array, and sums over nodes
-are vector sums. The permutation null goes in blocks of seeds, so a node never holds all permutations.
+are vector sums. The permutation null goes over renamed edges, in blocks of seeds, so a node never
+holds all permutations and no array is sent along an edge.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ from factorloom.session import BROADCAST_ROWS, broadcast_if_small, materialize
 PERM_CONTROL = "_perm_control"
 COVARIATE = "_covariate"
 
-#: Permutations that share one pass over the edges.
-SEED_BLOCK = 8
+#: Permutations that share one pass over the edges; an edge holds two nodes for each.
+SEED_BLOCK = 64
+
+#: Groups that the permuted nodes are dealt into at least, and bytes of arrays in a group.
+PARTS = 8
+NODE_BYTES = 64 << 20
 
 #: Relative energy below which a centred column counts as constant.
 _VANISHED = 1e-12
@@ -283,27 +288,102 @@ def _permuted(nodes: DataFrame, v: str, seeds: Sequence[int], perms: DataFrame)
     return lists.select("id", F.flatten(F.transform("_l", lambda s: s["_o"])).alias("_perms"))
 
 
+def _packed(batches):
+    """Rows (a, v) with the doubles of v as bytes: a null array in each row of edges is slow to send."""
+    import pyarrow as pa
+
+    for batch in batches:
+        flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array([row.tobytes() for row in flat], pa.binary())], names=["a", "v"])
+
+
+def _edge_products(seeds: int):
+    """Rows (o, a, b, w, v) in order of `o` to the sums (at, vw) of w * v[a] * v[b] by `at`.
+
+    `o` is key * (seeds + 1) + at + 1: a key's nodes (at = -1; a, v) come before its edges, so a task
+    holds the nodes of one key and a batch of edges.
+    """
+
+    def products(batches):
+        import numpy as np
+        import pandas as pd
+        import pyarrow as pa
+
+        key, ids, held, index, table, sums = None, [], [], None, None, None
+        for batch in batches:
+            o = batch.column("o").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(o)) + 1).tolist(), len(o)]
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                if start == stop:
+                    continue
+                piece = batch.slice(start, stop - start)
+                now, at = divmod(int(o[start]), seeds + 1)
+                if now != key:
+                    key, ids, held, index = now, [], [], None
+                if at == 0:
+                    ids.append(piece.column("a").to_pandas())
+                    held.append(np.frombuffer(b"".join(piece.column("v").to_pylist())).reshape(stop - start, -1))
+                    continue
+                if index is None:
+                    index, table, held = pd.Index(pd.concat(ids)), np.concatenate(held), []
+                    sums = np.zeros((seeds, table.shape[1])) if sums is None else sums
+                a, b = (index.get_indexer(piece.column(c).to_pandas()) for c in ("a", "b"))
+                weighted = table[a] * piece.column("w").to_numpy()[:, None]
+                sums[at - 1] += np.einsum("ij,ij->j", weighted, table[b])
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(seeds), pa.int32()), pa.array(list(sums), pa.list_(pa.float64()))], names=["at", "sums"]
+            )
+
+    return products
+
+
 def permutation_sums(
     nodes: DataFrame, edges: DataFrame, v: str, seeds: Sequence[int], perms: DataFrame, *, block: int = SEED_BLOCK
 ) -> DataFrame:
     """(seed, pos, vw): the product of every permuted value with its neighbour mean, summed over the nodes.
 
-    Seeds go in blocks. A block is one join of the edges with the block's permuted arrays and one
-    vector sum, so what a node holds does not depend on the number of permutations; its result
-    has one row per seed of the block and position, and is written before the next block starts.
+    That is the sum over the edges i -> j of v[p(i)] * v[p(j)] / degree(i), so edges are renamed by each
+    permutation and no array goes along an edge. Nodes are dealt into groups; a renamed edge goes
+    to the pair of groups of its ends, and every group's arrays to the pairs it is in. Groups hold
+    about NODE_BYTES of arrays, at most; beyond PARTS such groups their number, and with it what is sent of
+    the arrays, grows with the table. Seeds go in blocks, each written before the next one starts.
     """
+    size = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(v)).alias("width")).first()
+    parts = max(PARTS, -(-size["n"] * max(size["width"] or 0, 1) * 8 // NODE_BYTES))
+    dealt = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
+    pair = lambda p, q: F.least(p, q) * parts + F.greatest(p, q)
+
+    known = edges.select("src", "dst").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    degrees = known.groupBy("src").agg((F.lit(1.0) / F.count(F.lit(1))).alias("w"))
+    links = known.join(degrees, "src")
+    kind = dict(nodes.dtypes)["id"]
+    arrays = nodes.select(F.col("id").alias("a"), as_doubles(v).alias("v")).mapInArrow(_packed, f"a {kind}, v binary")
+    arrays = arrays.withColumns({"_p": dealt("a"), "_q": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
+
     out = None
+    if len(seeds) > block:
+        links = materialize(links)
     for start in range(0, len(seeds), block):
-        some = list(seeds[start : start + block])
-        copies = _permuted(nodes, v, some, perms)
-        linked = neighbour_mean(copies, edges, x="_perms", out="_w").where("_w IS NOT NULL")
-        whole = linked.groupBy(F.lit(0).alias("_all")).agg(_vector_sum(_products("_perms", "_w")).alias("_s"))
-        width = F.size("_s") / F.lit(len(some))
-        long = whole.select(width.cast("int").alias("_m"), F.posexplode("_s").alias("_at", "vw"))
-        order = F.array(*[F.lit(s) for s in sorted(some)])
-        sums = materialize(
-            long.select(order[(F.col("_at") / F.col("_m")).cast("int")].alias("seed"), F.pmod("_at", "_m").alias("pos"), "vw")
+        some = sorted(seeds[start : start + block])
+        n = len(some)
+        lists = perms.where(F.col("seed").isin(*some)).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("seed", "other"))).alias("_l"))
+        moved = lists.select("id", F.transform("_l", lambda s: s["other"]).alias("_o"))
+        ends = links.join(moved.select(F.col("id").alias("src"), F.col("_o").alias("a")), "src")
+        ends = ends.join(moved.select(F.col("id").alias("dst"), F.col("_o").alias("b")), "dst")
+        renamed = ends.select("w", F.posexplode(F.arrays_zip("a", "b")).alias("at", "e")).select("at", "e.a", "e.b", "w")
+        sent = renamed.withColumn("key", pair(dealt("a"), dealt("b"))).select(
+            "key", (F.col("key") * (n + 1) + F.col("at") + 1).alias("o"), "a", "b", "w", F.lit(None).cast("binary").alias("v")
+        )
+        held = arrays.withColumn("key", pair(F.col("_p"), F.col("_q"))).select(
+            "key", (F.col("key") * (n + 1)).alias("o"), "a", F.lit(None).cast(kind).alias("b"),
+            F.lit(None).cast("double").alias("w"), "v",
         )
+        met = held.unionByName(sent).repartition("key").sortWithinPartitions("o").drop("key")
+        partial = met.mapInArrow(_edge_products(n), "at int, sums array<double>")
+        long = partial.select("at", F.posexplode("sums").alias("pos", "s")).groupBy("at", "pos").agg(F.sum("s").alias("vw"))
+        order = F.array(*[F.lit(s) for s in some])
+        sums = materialize(long.select(order[F.col("at")].alias("seed"), "pos", "vw"))
         out = sums if out is None else out.unionByName(sums)
     return out
 
