@@ -403,6 +403,46 @@ def test_every_pair_of_a_key():
     assert {(1, 1, 51, 5, 4, 54), (1, 1, 51, 5, 5, 55)} <= set(map(tuple, rows.tolist()))
 
 
+def test_blocks_meet_in_rounds(spark, monkeypatch):
+    """op1's disk: blocks of a widespread key meet in rounds that send each text twice, and no pair is left out."""
+    rng = np.random.RandomState(12)
+    words = lambda n: [f"w{rng.randint(10**9)}" for _ in range(n)]
+    passage, other = words(60), words(60)
+    texts = {k: " ".join([*words(9), *(other if k % 5 == 4 else passage), *words(9)]) for k in range(30)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    held = spark.createDataFrame([(1 + k % 2 * (k > 20), k) for k in texts], "key long, doc_id long")
+    keys = {k: 1 + k % 2 * (k > 20) for k in texts}
+    tokens = {k: t.copy() for k, t in text.shingle_rows(pa.array(texts.values()), 5)}
+    want = sorted(
+        (a, s, t + 4, b, u, v + 4)
+        for a in texts for b in texts if a < b and keys[a] == keys[b]
+        for s, t, u, v, _ in substring.passages(tokens[a], tokens[b], 46, 0.75)
+    )
+    sent, write = [], substring.stored
+
+    def stored(frame, name, keep=False):
+        if name == "block_passages":
+            sent.append(name)
+        return write(frame, name, keep)
+
+    monkeypatch.setattr(substring, "stored", stored)
+    for block, rounds in ((30, 1), (10, 2), (8, 3), (4, 5)):
+        monkeypatch.setattr(substring, "BLOCK", block)
+        sent.clear()
+        assert sorted(tuple(r)[:6] for r in substring.block_passages(df, held, 5, 46, 0.75).collect()) == want and want
+        assert len(sent) == rounds
+
+
+def test_common_counts():
+    rng = np.random.RandomState(13)
+    a, b = ([rng.randint(0, 5000, rng.randint(1, 900)) for _ in range(9)] for _ in range(2))
+    brute = lambda x, y: np.array([[np.isin(p, q).sum() for q in y] for p in x])
+    assert (substring.common_counts(a, b) == brute(a, b)).all()
+    apart = ~np.eye(9, dtype=bool)
+    assert (substring.common_counts(a, a) == brute(a, a))[apart].all()
+    assert not substring.common_counts([np.array([1])], [np.array([2])]).any()
+
+
 def test_star_windows():
     """Every window of a document meets each window of the smallest, or the span around them."""
     key = np.array([5] * 9, np.uint64)
