@@ -54,7 +54,7 @@ AT_ONCE = 8
 
 #: Entries that a task packs at once, and bytes of text that it turns into tokens at once.
 _PACK = 1 << 19
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _ONE = np.uint64(1)
 
 #: Longs of a bitmap of a set.

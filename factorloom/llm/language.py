@@ -35,7 +35,8 @@ AMBIGUOUS = 0.6
 
 UNKNOWN = "und"
 
-_SLICE = 1 << 19
+#: Bytes of text that are weighed at once: each takes about 200 bytes of arrays.
+_SLICE = 1 << 16
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)

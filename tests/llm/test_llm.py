@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -433,6 +434,18 @@ def test_blocks_meet_in_rounds(spark, monkeypatch):
         assert len(sent) == rounds
 
 
+def test_arrays_of_a_slice_are_small():
+    """pipeline's memory: a worker's arrays follow a slice of some hundred KB, not the batch."""
+    column = pa.array([LONG[k : k + 50_000] for k in range(40)])
+    model = language.Model(list("abcd"), language.codewords(4), [np.ones((language.BUCKETS, 7), np.float32)] * 3, np.ones(7))
+    for work in (lambda: language.answers(column, model), lambda: [0 for _ in text.shingle_rows(column, 5)]):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 32 << 20
+
+
 def test_common_counts():
     rng = np.random.RandomState(13)
     a, b = ([rng.randint(0, 5000, rng.randint(1, 900)) for _ in range(9)] for _ in range(2))
