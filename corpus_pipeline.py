@@ -10,29 +10,17 @@ Texts go to Python in Arrow batches of bounded bytes, a setting of the session.
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm import jaccard, language, mixing, phrase_index, sequences
-from factorloom.llm.common import bounded_batches, passing, small, stored, table
+from factorloom.llm.common import bounded_batches, passing, release, small, stored, table
 
 #: Vocabulary of the last stage.
 VOCABULARY = "word_bpe_49k.json"
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of stages that are over.
-
-    Its cleaner learns of unused shuffles when the driver collects garbage, which a driver with
-    little to do may put off for many minutes.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """`docs` with a column that tells its rows apart, and the name of that column.
 
@@ -62,7 +50,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The classifiers learn from the labelled rows of `docs` outside the held-out fold; without
     any such row only the letters count. A low score alone does not reject a document.
     """
-    _release(spark)
+    release(spark)
     bounded_batches(spark)
     model = language.learn(docs)
     if model is None:
@@ -75,7 +63,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A null id counts as larger than any; of rows that repeat the smallest id one stays.
     """
-    _release(spark)
+    release(spark)
     bounded_batches(spark)
     with passing(spark):
         docs, row = _numbered(docs)
@@ -89,7 +77,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not hold a notable share of benchmark windows."""
-    _release(spark)
+    release(spark)
     bounded_batches(spark)
     with passing(spark):
         docs, row = _numbered(docs)
@@ -99,7 +87,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target says."""
-    _release(spark)
+    release(spark)
     return mixing.emit(mixing.mix(docs))
 
 
@@ -107,7 +95,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token sequences of all documents, and one row per document read back from them."""
     import public_tokenizers
 
-    _release(spark)
+    release(spark)
     bounded_batches(spark)
     return sequences.tokenized(docs, public_tokenizers.path(VOCABULARY))
 
