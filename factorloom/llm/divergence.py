@@ -46,29 +46,24 @@ _DEALT = 32
 #: Rows of counts that a task holds before it sends them.
 _HELD = 1 << 20
 
+#: Bits of the number of hashes by which a task knows the terms that it has sent.
+_SEEN_BITS = 21
+
 _PARTIAL = "gid long, digest long, term string, n long, docs long"
 
 
-def _told_apart(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a place of each term, term of each place), where places of one hash but other bytes are other terms."""
-    other = starts[first][of]
-    lengths = ends - starts
-    same = lengths == (ends - starts)[first][of]
-    at = np.flatnonzero(same)
-    within = np.arange(int(lengths[at].sum())) - np.repeat(np.cumsum(lengths[at]) - lengths[at], lengths[at])
-    equal = data[np.repeat(starts[at], lengths[at]) + within] == data[np.repeat(other[at], lengths[at]) + within]
-    same[at] = np.logical_and.reduceat(equal, np.cumsum(lengths[at]) - lengths[at]) if len(at) else same[at]
-    if same.all():
-        return first, of
-    known: dict[bytes, int] = {}
-    first, of = first.tolist(), of.copy()
-    for i in np.flatnonzero(~same).tolist():
-        term = data[starts[i] : ends[i]].tobytes()
-        if term not in known:
-            known[term] = len(first)
-            first.append(i)
-        of[i] = known[term]
-    return np.array(first), of
+def _distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(terms, term of each place) of all terms of `data`, which a place's bytes alone tell apart."""
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    places = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[TERM[data]])])
+    found = places.dictionary_encode()
+    return found.dictionary, found.indices.to_numpy()
+
+
+def _hashes(terms: pa.Array) -> np.ndarray:
+    """One hash per term of `_distinct`."""
+    offsets = np.frombuffer(terms.buffers()[1], np.int32)[: len(terms) + 1].astype(np.int64)
+    return word_hashes(np.frombuffer(terms.buffers()[2], np.uint8), offsets[:-1], offsets[1:])
 
 
 def _combined(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -85,37 +80,36 @@ def _counter(bits: int, spelled: bool):
     a digest (n null). If `spelled`, one kind of rows: occurrences and documents per group and term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, size, rest = np.zeros(0, np.uint64), [], 0, 0
+        # A hash lies in the place that its first bits name, so a later one may drive it out: its term is then sent once more.
+        seen, held, size, rest = np.zeros(1 << _SEEN_BITS, np.uint64), [], 0, 0
+        seen[0] = ~seen[0]
         for batch in batches:
             gids = batch.column(0).to_numpy()
             for start, _, data, offsets in slices(batch.column(1)):
                 data, starts, ends, rows = words(data, offsets, TERM)
                 if not len(starts):
                     continue
-                whole = word_hashes(data, starts, ends)
-                _, first, of = np.unique(whole, return_index=True, return_inverse=True)
-                first, of = _told_apart(data, starts, ends, first, of)
-                doc = np.repeat(np.arange(start, start + len(rows) - 1), np.diff(rows))
-                names, group = np.unique(gids[start : start + len(rows) - 1], return_inverse=True)
+                terms, of = _distinct(data, starts, ends)
+                whole = _hashes(terms)
+                texts = len(rows) - 1
+                names, group = np.unique(gids[start : start + texts], return_inverse=True)
                 # In this order places of one group and term lie together, and in order of documents.
-                keys = of * len(names) + group[doc - start]
-                order = np.argsort(keys, kind="stable")
-                keys, doc = keys[order], doc[order]
+                doc = np.repeat(np.arange(texts), np.diff(rows))
+                keys, doc = np.divmod(np.sort((of * np.int64(len(names)) + group[doc]) * texts + doc), texts)
                 fresh = np.append(True, keys[1:] != keys[:-1])
                 new = np.flatnonzero(fresh)
                 n = np.diff(np.append(new, len(keys)))
                 docs = np.add.reduceat(fresh | np.append(True, doc[1:] != doc[:-1]), new, dtype=np.int64)
                 term, gid = keys[new] // len(names), names[keys[new] % len(names)]
-                digests = whole[first] >> np.uint64(64 - bits)
-                spell = lambda at: [data[starts[i] : ends[i]].tobytes() for i in at]
+                digests = whole >> np.uint64(64 - bits)
                 if spelled:
-                    strings = np.array(spell(first), object)
-                    yield _rows(gid, digests[term], strings[term], n, docs)
+                    yield _rows(gid, digests[term], terms.take(pa.array(term)), n, docs)
                     continue
-                at = np.flatnonzero(~np.isin(whole[first], seen))
+                place = whole >> np.uint64(64 - _SEEN_BITS)
+                at = np.flatnonzero(seen[place] != whole)
                 if len(at):
-                    yield _rows(None, digests[at], spell(first[at]), None, None)
-                    seen = np.union1d(seen, whole[first[at]]) if len(seen) < _HELD else whole[first[at]]
+                    yield _rows(None, digests[at], terms.take(pa.array(at)), None, None)
+                    seen[place] = whole
                 held.append((gid, digests[term], n, docs))
                 size += len(gid)
                 if size >= rest + _HELD:
@@ -133,7 +127,7 @@ def _counter(bits: int, spelled: bool):
 
 def _rows(gid, digests, terms, n, docs) -> pa.RecordBatch:
     long = lambda x: pa.nulls(len(digests), pa.int64()) if x is None else pa.array(x.astype(np.int64))
-    strings = pa.nulls(len(digests), pa.string()) if terms is None else pa.array(terms, pa.binary()).cast(pa.string())
+    strings = pa.nulls(len(digests), pa.string()) if terms is None else terms.cast(pa.string())
     names = [c.split(" ")[0] for c in _PARTIAL.split(", ")]
     return pa.RecordBatch.from_arrays([long(gid), pa.array(digests.view(np.int64)), strings, long(n), long(docs)], names=names)
 
