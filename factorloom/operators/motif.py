@@ -24,6 +24,9 @@ from factorloom.session import broadcast_if_small, materialize
 #: Motifs of a slab of a dense product.
 BLOCK = 256
 
+#: Bytes of sums that a task of the pass over long scores holds before it emits them.
+SUMS_BYTES = 64 << 20
+
 #: Smallest stratum with a defined permutation variance.
 MIN_STRATUM_SIZE = 2
 DEFAULT_THRESHOLD_PCT = 50.0
@@ -144,19 +147,80 @@ def gc_width_strata(
     return covariate_strata(materialize(rows), ["gc", "width"], [gc_bins, width_bins], min_size=min_size)
 
 
-def _one_pass(weights: DataFrame, scores: DataFrame, strata: DataFrame) -> DataFrame:
-    """(kind, id, motif, ws, wss): weighted sums of scores and of their squares.
+def _one_pass(weights: DataFrame, scores: DataFrame, strata: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """(kind, id, motif, ws, wss): weighted sums of scores, kind f for `factors`, kind g for strata with weight 1; those also of squares.
 
-    Kind f holds factors, kind g strata with weight 1.
+    A region is one row with its weights, its stratum and its scores, so no row is made for a (factor, region,
+    motif). A task adds up one row of sums for each motif it meets and emits them, at the end or when they
+    are SUMS_BYTES, so what is shuffled are rows of sums. Names of strata are fetched to the driver.
     """
-    tagged = weights.select("region", F.lit("f").alias("kind"), F.col("factor").alias("id"), "weight")
-    members = strata.select(
-        "region", F.lit("g").alias("kind"), F.col("stratum").cast("string").alias("id"), F.lit(1.0).alias("weight")
-    )
-    joined = scores.join(tagged.unionByName(members), "region")
-    product = F.col("weight") * F.col("score")
-    return joined.groupBy("kind", "id", "motif").agg(
-        F.sum(product).alias("ws"), F.sum(product * F.col("score")).alias("wss")
+    spark, groups = weights.sparkSession, sorted((r[0] for r in strata.select("stratum").distinct().collect()), key=str)
+    width, n = len(factors) + 2 * len(groups), len(factors)
+    if not width:
+        return scores.select(F.lit("f").alias("kind"), F.lit("").alias("id"), "motif", F.lit(0.0).alias("ws"), F.lit(0.0).alias("wss")).where("false")
+    places = spark.createDataFrame(list(zip(factors, range(n), strict=True)), "factor string, pos int")
+    used = weights.where("weight <> 0").join(F.broadcast(places), "factor")
+    per_region = used.groupBy("region").agg(F.collect_list("pos").alias("at"), F.collect_list("weight").alias("w"))
+    kind = dict(strata.dtypes)["stratum"]
+    numbers = spark.createDataFrame([(g, k) for k, g in enumerate(groups)], f"stratum {kind}, g int")
+    members = strata.join(F.broadcast(numbers), strata["stratum"].eqNullSafe(numbers["stratum"])).select("region", "g")
+    scored = scores.where("score IS NOT NULL AND motif IS NOT NULL").groupBy("region").agg(F.collect_list("motif").alias("motifs"), F.collect_list("score").alias("s"))
+    joined = scored.join(members, "region").join(per_region, "region", "left").select("g", "at", "w", "motifs", "s")
+
+    def add(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        known, sums, motif_type = {}, np.zeros((1024, width)), None
+
+        def emit():
+            names = pa.array(list(known), motif_type)
+            for k in range(0, len(names), 10_000):
+                part = names.slice(k, 10_000)
+                flat = pa.array(sums[k : k + len(part)].reshape(-1))
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * width), flat)
+                yield pa.RecordBatch.from_arrays([part, rows], names=["motif", "sums"])
+
+        for batch in batches:
+            motif_type = batch.column("motifs").type.value_type
+            counts = batch.column("motifs").value_lengths().to_numpy()
+            motifs = batch.column("motifs").flatten().dictionary_encode()
+            code = np.array([known.setdefault(m, len(known)) for m in motifs.dictionary.to_pylist()], np.int64)[motifs.indices.to_numpy()]
+            score = batch.column("s").flatten().to_numpy()
+            row, group = np.repeat(np.arange(len(counts)), counts), batch.column("g").to_numpy()
+            held = batch.column("at").value_lengths().fill_null(0).to_numpy()
+            w = np.zeros((len(counts), n))
+            np.add.at(w, (np.repeat(np.arange(len(counts)), held), batch.column("at").flatten().to_numpy()), batch.column("w").flatten().to_numpy())
+            while len(known) > len(sums):
+                sums = np.concatenate([sums, np.zeros_like(sums)])
+            step = max(1, (16 << 20) // (8 * max(n, 1)))
+            for k in range(0, len(row), step):
+                order = k + np.argsort(code[k : k + step], kind="stable")
+                of, x = code[order], score[order]
+                first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                products = w[row[order]]
+                products *= x[:, None]
+                odd = ~np.isfinite(x)
+                # A weight of 0 stands for none.
+                products[odd] = np.where(w[row[order[odd]]] == 0, 0.0, products[odd])
+                sums[of[first], :n] += np.add.reduceat(products, first, axis=0)
+                at = n + 2 * group[row[order]]
+                np.add.at(sums, (of, at), x)
+                np.add.at(sums, (of, at + 1), x * x)
+            if len(known) * width * 8 > SUMS_BYTES:
+                yield from emit()
+                known, sums = {}, np.zeros((1024, width))
+        if known:
+            yield from emit()
+
+    partial = joined.mapInArrow(add, f"motif {dict(scores.dtypes)['motif']}, sums array<double>")
+    total = vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums")
+    rows = materialize(partial.groupBy("motif").agg(total))
+    of_factors = rows.select("motif", F.posexplode(F.slice("sums", 1, n)).alias("pos", "ws")).join(F.broadcast(places), "pos")
+    pair = F.transform(F.sequence(F.lit(0), F.lit(len(groups) - 1)), lambda g: F.struct(F.element_at("sums", n + 1 + 2 * g).alias("ws"), F.element_at("sums", n + 2 + 2 * g).alias("wss")))
+    of_strata = rows.select("motif", F.posexplode(pair).alias("g", "v")).join(F.broadcast(numbers), "g")
+    return of_factors.select(F.lit("f").alias("kind"), F.col("factor").alias("id"), "motif", "ws", F.lit(0.0).alias("wss")).unionByName(
+        of_strata.select(F.lit("g").alias("kind"), F.col("stratum").cast("string").alias("id"), "motif", "v.ws", "v.wss")
     )
 
 
@@ -323,7 +387,7 @@ def motif_enrichment(
     n, n_strata = strata.agg(F.count(F.lit(1)), F.count_distinct("stratum")).first()
 
     sums = (
-        _one_pass(w, scores.select("region", "motif", F.col("score").cast("double").alias("score")), strata)
+        _one_pass(w, scores.select("region", "motif", F.col("score").cast("double").alias("score")), strata, factors)
         if motifs is None
         else _one_pass_dense(w, scores.select("region", "s"), strata, places, block)
     )
