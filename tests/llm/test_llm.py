@@ -477,6 +477,20 @@ def test_arrays_of_a_slice_are_small():
         assert peak < 32 << 20
 
 
+def test_words_are_hashed_by_parts():
+    """pipeline's memory: what a worker holds to hash words does not follow the slice, and hashes are the same."""
+    column = pa.array([" ".join(f"w{k}" for k in range(600_000))])
+    ((_, _, data, offsets),) = text.slices(column, 8 << 20)
+    data, starts, ends, _ = text.words(data, offsets, text.ALNUM)
+    tracemalloc.start()
+    hashes = text.word_hashes(data, starts, ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20
+    some = np.concatenate([[0], np.arange(32_760, 32_780), [599_999]])
+    assert (hashes[some] == np.concatenate([text.word_hashes(data, starts[i : i + 1], ends[i : i + 1]) for i in some])).all()
+
+
 def test_common_counts():
     rng = np.random.RandomState(13)
     a, b = ([rng.randint(0, 5000, rng.randint(1, 900)) for _ in range(9)] for _ in range(2))
